@@ -31,7 +31,7 @@ QUOTE1, QUOTE2, GLUE, LAST = 5, 6, 7, 8
 #: States: start of a token; in letters, numbers, others, white space; after a joining blank; one or two letters to go.
 START, IN_L, IN_N, IN_O, IN_S, GLUED, TAIL1, TAIL2 = range(8)
 #: Distinct slices that a worker keeps merged before it starts anew, and the longest slice, in bytes, that merges side by side.
-CACHE_SLICES, CACHE_CHARS = 1_000_000, 64
+CACHE_SLICES, CACHE_CHARS = 300_000, 64
 
 
 @lru_cache(1)

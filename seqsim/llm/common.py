@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word, wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python task turns into numpy arrays at a time; a longer text is one piece of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqsim.llm import byte_bpe, exact_dedup, simhash
+from seqsim.llm import byte_bpe, exact_dedup, language, licenses, mixing, quality, simhash, url_filter
 from seqsim.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,5 +53,82 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_simhash, op7_exact_dedup)}
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+RULES = [url_filter.Rule(v, p) for v, p in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+OP3_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')
+), fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parts, rules
+  WHERE ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY 1
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.quality(table(spark, sf_dir, "documents")).select(*names)
+
+
+OP8_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS host,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, words[i:i + 2] AS w FROM docs, unnest(range(1, len(words) - 1)) AS r(i)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) AS o(k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, host, text, n, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS plain
+  FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM docs)
+), held AS (SELECT * FROM lines WHERE words > 0
+), dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM held GROUP BY doc_id
+), hosts AS (SELECT host, count(DISTINCT text) AS docs FROM docs GROUP BY host
+), common AS (
+  SELECT host, plain FROM held JOIN hosts USING (host) GROUP BY host, plain, docs
+  HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05 * docs
+), gone AS (SELECT doc_id, sum(words) AS n FROM held JOIN common USING (host, plain) GROUP BY doc_id
+), facts AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+         coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone
+  FROM docs LEFT JOIN repeats USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.3 * n_words AS kept
+FROM facts
+"""
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.fit(docs.where(~language.held_out())))
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op3_url_filter, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language)}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL}
