@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqsim.llm import byte_bpe, exact_dedup, language, licenses, mixing, quality, simhash, url_filter
+from seqsim.llm import byte_bpe, exact_dedup, language, licenses, mixing, quality, simhash, suffix_dedup, url_filter
 from seqsim.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,12 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    gone = F.col("n_bytes") - F.length("kept")
+    return out.select("doc_id", "n_bytes", gone.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 RULES = [url_filter.Rule(v, p) for v, p in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))]
 
 
@@ -130,5 +136,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op3_url_filter, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_suffix_dedup, op3_url_filter, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language)}
 ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL}
