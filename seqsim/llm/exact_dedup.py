@@ -172,7 +172,7 @@ def exact_dedup(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_
     )
     # the bytes of one text from each side, for digests that meet
     spots = met.select("sha", F.explode(F.array("new_top", "old_top")).alias("id")).distinct()
-    shown = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(spots, "id")
+    shown = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(spots.hint("merge"), "id")  # one plan at every size
     equal = shown.where(F.sha2("t", 256) == F.col("sha")).groupBy("sha").agg((F.min("t") == F.max("t")).alias("equal"))
     same = met.join(equal, "sha", "left").where("coalesce(equal, true)")
     joint = same.select("sha", F.greatest("new_top", "old_top").alias("joint_top"), (F.col("new_n") + F.col("old_n")).alias("joint_n"))
