@@ -1 +1 @@
-"""seqsim functions."""
+"""Column functions over sequences."""

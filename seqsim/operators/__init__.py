@@ -1 +1 @@
-"""seqsim operators."""
+"""Operators: DataFrame in, DataFrame out."""

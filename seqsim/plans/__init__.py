@@ -1 +1 @@
-"""seqsim plans."""
+"""Registered queries over the driver's tables."""

@@ -1,4 +1,355 @@
-"""Registered queries and their SQL."""
+"""Queries over the driver's tables, and the SQL that DuckDB runs for each.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no receptor sequences. Those used here are the words of all documents, upper-cased, that consist of
+amino-acid letters and are at least nine letters long, as CDR3 loops are: occurrences (seq_id, seq, rep, freq), where
+seq_id is the document's id times a million plus the word's place, rep the document's source and freq 1 + doc_id % 3.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqsim.functions import sequences as S
+from seqsim.operators import neighbors as N
+from seqsim.operators import overlap as O
+from seqsim.operators import pipelines as L
+from seqsim.operators import prep as P
+from seqsim.operators import stats as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAST = 9
+
+WORDS_SQL = f"""words AS (
+  SELECT doc_id, source AS rep, (1 + doc_id % 3)::BIGINT AS freq, unnest(w) AS seq, unnest(range(len(w))) AS place
+  FROM (SELECT doc_id, source, string_split_regex(translate(text, '{LOWER}', '{UPPER}'), '[^A-Z]+') AS w FROM documents)
+)"""
+SEQS_SQL = f"""{WORDS_SQL}, seqs AS (
+  SELECT doc_id * 1000000 + place AS seq_id, seq, rep, freq FROM words WHERE regexp_full_match(seq, '[{S.ALPHABET}]{{{LEAST},}}')
+), useqs AS (SELECT DISTINCT seq FROM seqs)"""
+PROFILE_SQL = f"{SEQS_SQL}, profile AS (SELECT rep, seq, sum(freq)::BIGINT AS freq FROM seqs GROUP BY 1, 2)"
+#: Distances in SQL, each null or false for what is too far.
+NEAR_SQL = {
+    "levenshtein": "abs(length(a.seq) - length(b.seq)) <= {d} AND levenshtein(a.seq, b.seq) <= {d}",
+    "hamming": "CASE WHEN length(a.seq) = length(b.seq) THEN hamming(a.seq, b.seq) <= {d} ELSE false END",
+}
+DIST_SQL = {"levenshtein": "levenshtein(a.seq, b.seq)", "hamming": "CASE WHEN length(a.seq) = length(b.seq) THEN hamming(a.seq, b.seq) END"}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+        return query
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    split = F.split(F.translate("text", LOWER, UPPER), "[^A-Z]+")
+    return docs.select("doc_id", F.col("source").alias("rep"), (F.col("doc_id") % 3 + 1).alias("freq"), F.posexplode(split).alias("place", "seq"))
+
+
+def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.valid_rows(words(spark, sf_dir), least=LEAST)
+    return found.select((F.col("doc_id") * 1_000_000 + F.col("place")).alias("seq_id"), "seq", "rep", "freq")
+
+
+def pair_query(name: str, distance: int, measure: str, find: Callable[[DataFrame], DataFrame]) -> None:
+    near = NEAR_SQL[measure].format(d=distance)
+    sql = f"WITH {SEQS_SQL} SELECT a.seq AS seq_a, b.seq AS seq_b, {DIST_SQL[measure]}::BIGINT AS dist FROM useqs a JOIN useqs b ON a.seq < b.seq AND {near}"
+    register(name, sql)(lambda spark, sf_dir: find(seqs(spark, sf_dir)).withColumn("dist", F.col("dist").cast("bigint")))
+
+
+for _d in (1, 2, 3):
+    pair_query(f"nn_lev_d{_d}", _d, "levenshtein", lambda s, d=_d: N.distinct_pairs(s, d))
+for _d in (1, 2):
+    pair_query(f"nn_hamming_d{_d}", _d, "hamming", lambda s, d=_d: N.distinct_pairs(s, d, "hamming"))
+pair_query("nn_bruteforce", 1, "levenshtein", lambda s: N.exhaustive_pairs(s, 1))
+pair_query("nn_lookup", 1, "levenshtein", N.looked_up_pairs)
+pair_query("nn_custom_measure", 2, "hamming", lambda s: N.distinct_pairs(s, 2, S.hamming, edits=2))
+
+
+@register("nn_symmetric", f"""WITH {SEQS_SQL}, p AS (SELECT a.seq AS x, b.seq AS y, levenshtein(a.seq, b.seq)::BIGINT AS dist FROM useqs a JOIN useqs b ON a.seq <> b.seq AND {NEAR_SQL["levenshtein"].format(d=1)}) SELECT * FROM p""")
+def nn_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = N.distinct_pairs(seqs(spark, sf_dir), 1).select(F.col("seq_a").alias("x"), F.col("seq_b").alias("y"), F.col("dist").cast("bigint").alias("dist"))
+    return N.mirrored(pairs)
+
+
+@register("nn_members", f"WITH {SEQS_SQL} SELECT s.seq_id, s.seq, (SELECT count(*) FROM useqs b WHERE b.seq <> s.seq AND abs(length(b.seq) - length(s.seq)) <= 1 AND levenshtein(b.seq, s.seq) <= 1) AS n_links, count(*) OVER (PARTITION BY s.seq) AS n_equal FROM seqs s")
+def nn_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each occurrence with the links of its sequence and the occurrences equal to it."""
+    rows = seqs(spark, sf_dir)
+    links = N.mirrored(N.distinct_pairs(rows, 1), "seq_a", "seq_b").groupBy("seq_a").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("n_equal"))
+    named = sizes.join(links, sizes["seq"] == links["seq_a"], "left").select("seq", F.coalesce("n", F.lit(0)).alias("n_links"), "n_equal")
+    return rows.select("seq_id", "seq").join(named, "seq").select("seq_id", "seq", "n_links", "n_equal")
+
+
+@register("nn_between_sources", f"WITH {SEQS_SQL}, q AS (SELECT DISTINCT seq FROM seqs WHERE rep = 'src1'), i AS (SELECT DISTINCT seq FROM seqs WHERE rep = 'src2') SELECT a.seq AS seq_q, b.seq AS seq_i, levenshtein(a.seq, b.seq)::BIGINT AS dist FROM q a JOIN i b ON {NEAR_SQL['levenshtein'].format(d=1)}")
+def nn_between_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seqs(spark, sf_dir)
+    return N.neighbors_between(rows.where("rep = 'src1'"), rows.where("rep = 'src2'"), 1).withColumn("dist", F.col("dist").cast("bigint"))
+
+
+@register("nn_permutation_invariance", "SELECT NULL::VARCHAR AS seq_a, NULL::VARCHAR AS seq_b, NULL::INTEGER AS dist, NULL::VARCHAR AS side WHERE false")
+def nn_permutation_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search on the rows and on the shuffled rows: no difference."""
+    rows = seqs(spark, sf_dir)
+    return T.differences(N.distinct_pairs(rows, 1), N.distinct_pairs(P.shuffled(rows, ["seq_id"], 7), 1))
+
+
+@register("nn_strategies_agree", "SELECT NULL::VARCHAR AS seq_a, NULL::VARCHAR AS seq_b, NULL::INTEGER AS dist, NULL::VARCHAR AS side WHERE false")
+def nn_strategies_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seqs(spark, sf_dir)
+    return T.differences(N.distinct_pairs(rows, 1), N.looked_up_pairs(rows))
+
+
+def overlap_sql(distance: int, measure: str) -> str:
+    near = NEAR_SQL[measure].format(d=distance)
+    return f"""WITH {PROFILE_SQL}, met AS (
+  SELECT a.seq AS s, b.seq AS t FROM useqs a JOIN useqs b ON {near}
+) SELECT r.rep AS rep_x, q.rep AS rep_y, sum(r.freq * q.freq)::BIGINT AS freq
+FROM met JOIN profile r ON r.seq = s JOIN profile q ON q.seq = t WHERE r.rep <= q.rep GROUP BY 1, 2"""
+
+
+for _measure, _short in (("levenshtein", "lev"), ("hamming", "ham")):
+    for _d in (1, 2):
+        register(f"overlap_{_short}_d{_d}", overlap_sql(_d, _measure))(lambda spark, sf_dir, d=_d, m=_measure: O.repertoire_overlap(seqs(spark, sf_dir), d, m))
+
+
+@register("overlap_exact", f"WITH {PROFILE_SQL} SELECT a.rep AS rep_x, b.rep AS rep_y, sum(a.freq * b.freq)::BIGINT AS freq FROM profile a JOIN profile b ON a.seq = b.seq AND a.rep <= b.rep GROUP BY 1, 2")
+def overlap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.exact_overlap(seqs(spark, sf_dir))
+
+
+@register("overlap_symmetric", f"SELECT rep_x, rep_y, freq FROM ({overlap_sql(1, 'levenshtein').replace('WHERE r.rep <= q.rep ', '')})")
+def overlap_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.symmetric(O.repertoire_overlap(seqs(spark, sf_dir), 1))
+
+
+_REPS = [f"src{i}" for i in range(20)]
+
+
+@register("overlap_matrix", f"SELECT rep_x, {', '.join(f'coalesce(sum(freq) FILTER (rep_y = {chr(39)}{r}{chr(39)}), 0)::BIGINT AS {r}' for r in _REPS)} FROM ({overlap_sql(1, 'hamming').replace('WHERE r.rep <= q.rep ', '')}) GROUP BY rep_x")
+def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = O.symmetric(O.repertoire_overlap(seqs(spark, sf_dir), 1, "hamming"))
+    return cells.groupBy("rep_x").pivot("rep_y", _REPS).agg(F.sum("freq")).na.fill(0)
+
+
+_DELETIONS = "[substr(left(seq, 18), 1, i - 1) || substr(left(seq, 18), i + 1) for i in range(1, least(length(seq), 18) + 1)]"
+
+
+@register("deletion_variants_d1", f"WITH {SEQS_SQL} SELECT DISTINCT seq, unnest(list_append({_DELETIONS}, left(seq, 18))) AS variant FROM useqs")
+def deletion_variants_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seqs(spark, sf_dir).select("seq").distinct().select("seq", F.explode(S.deletion_variants(F.col("seq"), 1)).alias("variant"))
+
+
+@register("variant_group_sizes", f"WITH {SEQS_SQL}, v AS (SELECT DISTINCT seq, unnest(list_append({_DELETIONS}, left(seq, 18))) AS variant FROM useqs) SELECT variant, count(*) AS n, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM v GROUP BY variant HAVING count(*) > 1")
+def variant_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.variant_group_sizes(seqs(spark, sf_dir), 1)
+
+
+@register("candidate_pair_counts", f"WITH {SEQS_SQL}, v AS (SELECT DISTINCT seq, unnest(list_append({_DELETIONS}, left(seq, 18))) AS variant FROM useqs), g AS (SELECT count(*) AS n FROM v GROUP BY variant HAVING count(*) > 1) SELECT count(*) AS n_groups, max(n) AS largest, sum(n * (n - 1) // 2)::BIGINT AS pairs FROM g")
+def candidate_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.variant_group_sizes(seqs(spark, sf_dir), 1).agg(F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest"), F.sum("pairs").alias("pairs"))
+
+
+@register("valid_alphabet_filter", f"WITH {WORDS_SQL} SELECT doc_id, count(*) AS n_words, count(*) FILTER (regexp_full_match(seq, '[{S.ALPHABET}]{{1,18}}')) AS n_valid FROM words GROUP BY doc_id")
+def valid_alphabet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(S.is_valid(F.col("seq"), 1, 18)).alias("n_valid"))
+
+
+@register("length_split_report", f"WITH {WORDS_SQL} SELECT rep, count(*) AS total, count(*) FILTER (length(seq) > 18) AS longer FROM words WHERE regexp_full_match(seq, '[{S.ALPHABET}]+') GROUP BY rep")
+def length_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.length_report(P.valid_rows(words(spark, sf_dir)), ["rep"])
+
+
+@register("clonotype_counts", f"WITH {SEQS_SQL} SELECT seq, sum(freq)::BIGINT AS count FROM seqs GROUP BY seq")
+def clonotype_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.clonotype_counts(seqs(spark, sf_dir), count="freq")
+
+
+@register("repertoire_counts", f"WITH {SEQS_SQL} SELECT rep, seq, sum(freq)::BIGINT AS count FROM seqs GROUP BY rep, seq")
+def repertoire_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.repertoire_counts(seqs(spark, sf_dir), count="freq")
+
+
+@register("long_repertoire_counts", f"WITH {WORDS_SQL} SELECT rep, seq, sum(freq)::BIGINT AS count FROM words WHERE regexp_full_match(seq, '[{S.ALPHABET}]{{13,}}') GROUP BY rep, seq")
+def long_repertoire_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.repertoire_counts(P.valid_rows(words(spark, sf_dir), least=13), count="freq")
+
+
+@register("repertoire_offsets", f"WITH {SEQS_SQL}, sizes AS (SELECT rep, count(DISTINCT seq) AS count FROM seqs GROUP BY rep) SELECT rep, count, (sum(count) OVER (ORDER BY rep))::BIGINT AS end, (sum(count) OVER (ORDER BY rep) - count)::BIGINT AS start FROM sizes".replace("AS end", 'AS "end"'))
+def repertoire_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.offsets(P.repertoire_sizes(P.repertoire_counts(seqs(spark, sf_dir), count="freq")), "rep", "count")
+
+
+@register("rows_to_repertoires", f"WITH {SEQS_SQL}, sizes AS (SELECT rep, count(*) AS count FROM seqs GROUP BY rep), o AS (SELECT row_number() OVER (ORDER BY rep) - 1 AS rep, count, sum(count) OVER (ORDER BY rep) AS stop FROM sizes), r AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS n, seq_id FROM seqs) SELECT r.n AS row, r.seq_id, o.rep FROM r JOIN o ON n >= stop - count AND n < stop")
+def rows_to_repertoires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows numbered in order, dealt to repertoires of given sizes."""
+    rows = seqs(spark, sf_dir)
+    codes = P.factorized(rows.select(F.col("seq_id").cast("string").alias("seq"), "seq_id"), "seq", "seq_id")
+    sizes = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("count"))
+    info = P.factorized(sizes.select(F.col("rep").alias("seq"), F.col("rep").alias("seq_id"))).select(F.col("seq").alias("r"), F.col("code").alias("rep")).join(sizes.withColumnRenamed("rep", "r"), "r").select("rep", "count")
+    return O.repertoire_rows(codes.select(F.col("code").alias("row"), F.col("first").alias("seq_id")), info).select("row", "seq_id", "rep")
+
+
+@register("factorize_ids", f"WITH {SEQS_SQL}, f AS (SELECT seq, min(seq_id) AS first FROM seqs GROUP BY seq) SELECT seq, first, row_number() OVER (ORDER BY first) - 1 AS code FROM f")
+def factorize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.factorized(seqs(spark, sf_dir))
+
+
+@register("dedup_keep_first", f"WITH {SEQS_SQL} SELECT seq, rep, freq, seq_id FROM seqs QUALIFY row_number() OVER (PARTITION BY rep, seq ORDER BY seq_id) = 1")
+def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.first_of(seqs(spark, sf_dir), ["rep", "seq"], ["seq_id"])
+
+
+@register("quantile_length_filter", f"WITH {WORDS_SQL}, w AS (SELECT doc_id * 1000000 + place AS seq_id, seq, length(seq) AS len FROM words WHERE seq <> ''), q AS (SELECT quantile_cont(len, 0.001) AS lo, quantile_cont(len, 0.999) AS hi FROM w) SELECT len::BIGINT AS len, count(*) AS n FROM w, q WHERE len > lo AND len < hi GROUP BY len")
+def quantile_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = words(spark, sf_dir).where("seq != ''").select(F.length("seq").cast("bigint").alias("len"))
+    return P.inside_quantiles(rows, "len", 0.001, 0.999).groupBy("len").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Antibody-like rows: v and j from the document's source and language, seq from its words."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = seqs(spark, sf_dir).withColumn("doc_id", F.floor(F.col("seq_id") / 1_000_000))
+    return P.first_of(rows.join(docs, "doc_id").select(F.col("seq_id").alias("id"), F.col("rep").alias("v"), F.col("lang").alias("j"), "seq"), ["v", "j", "seq"], ["id"])
+
+
+LINEAGE_SQL = f"{SEQS_SQL}, rows AS (SELECT seq_id AS id, rep AS v, lang AS j, seq, length(seq) AS len FROM seqs JOIN documents ON doc_id = seq_id // 1000000 QUALIFY row_number() OVER (PARTITION BY rep, lang, seq ORDER BY seq_id) = 1)"
+_EVERY = "SELECT a.id AS id_a, b.id AS id_b, hamming(a.seq, b.seq)::BIGINT AS dist, a.len::BIGINT AS len FROM rows a JOIN rows b ON a.v = b.v AND a.j = b.j AND a.len = b.len AND a.id < b.id WHERE CASE WHEN a.len = b.len THEN hamming(a.seq, b.seq) < 0.15 * a.len ELSE false END"
+_MIDDLE = "hamming(substr(a.seq, (a.len // 2 - 3 + 1)::INT, 6), substr(b.seq, (b.len // 2 - 3 + 1)::INT, 6)) <= 1"
+
+
+def longs(df: DataFrame) -> DataFrame:
+    return df.withColumns({"dist": F.col("dist").cast("bigint"), "len": F.col("len").cast("bigint")})
+
+
+@register("lineage_kmer_prefilter", f"WITH {LINEAGE_SQL}, every AS ({_EVERY}) SELECT e.* FROM every e JOIN rows a ON a.id = id_a JOIN rows b ON b.id = id_b WHERE {_MIDDLE}")
+def lineage_kmer_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(L.lineage_pairs(lineage_rows(spark, sf_dir)))
+
+
+@register("lineage_exhaustive", f"WITH {LINEAGE_SQL} {_EVERY}")
+def lineage_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(L.lineage_pairs_exhaustive(lineage_rows(spark, sf_dir)))
+
+
+@register("lineage_recall", f"WITH {LINEAGE_SQL}, every AS ({_EVERY}), found AS (SELECT e.* FROM every e JOIN rows a ON a.id = id_a JOIN rows b ON b.id = id_b WHERE {_MIDDLE}), n AS (SELECT (SELECT count(*) FROM found) AS found, (SELECT count(*) FROM every) AS every) SELECT found, every, found / every AS recall FROM n")
+def lineage_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lineage_rows(spark, sf_dir)
+    return L.recall(L.lineage_pairs(rows), L.lineage_pairs_exhaustive(rows))
+
+
+@register("vjl_group_counts", f"WITH {LINEAGE_SQL} SELECT v, j, len::BIGINT AS len, count(*) AS n FROM rows GROUP BY v, j, len HAVING count(*) > 5")
+def vjl_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.frequent_groups(lineage_rows(spark, sf_dir).withColumn("len", F.length("seq").cast("bigint")), ["v", "j", "len"], 5)
+
+
+@register("kmer_window", f"WITH {SEQS_SQL} SELECT seq, substr(seq, (length(seq) // 2 - 3 + 1)::INT, 6) AS mid FROM useqs")
+def kmer_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seqs(spark, sf_dir).select("seq").distinct().select("seq", S.middle_window(F.col("seq"), 6).alias("mid"))
+
+
+@register("threshold_tallies", f"WITH {SEQS_SQL}, p AS (SELECT levenshtein(a.seq, b.seq) AS dist FROM useqs a JOIN useqs b ON a.seq < b.seq AND {NEAR_SQL['levenshtein'].format(d=2)}) SELECT t.threshold::BIGINT AS threshold, count(dist) FILTER (dist <= t.threshold) AS n FROM (VALUES (0), (1), (2)) t(threshold), p GROUP BY 1")
+def threshold_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.tallies(N.distinct_pairs(seqs(spark, sf_dir), 2), "dist", (0, 1, 2)).withColumn("threshold", F.col("threshold").cast("bigint"))
+
+
+@register("tcrdist_neighbors")
+def tcrdist_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.first_of(seqs(spark, sf_dir), ["seq"], ["seq_id"]).select("seq_id", "seq", F.concat(F.lit("TRBV"), F.substring("rep", 4, 3), F.lit("*01")).alias("gene"))
+    return L.tcrdist_neighbors(rows, edits=2)
+
+
+@register("hist_equal_width", "SELECT (o_orderkey * 64) // 15000 AS bin, count(*) AS n FROM orders WHERE o_orderkey >= 0 AND o_orderkey < 15000 GROUP BY 1")
+def hist_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.histogram(read(spark, sf_dir, "orders"), "o_orderkey", 0, 15_000, 64)
+
+
+DAYS_SQL = "days AS (SELECT o_orderdate::DATE::VARCHAR AS day, count(*) AS n FROM orders GROUP BY 1)"
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("prefix_sum", f"WITH {DAYS_SQL} SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS total FROM days")
+def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.running_sum(days(spark, sf_dir), "n", ["day"])
+
+
+@register("prefix_sum_by_key", "SELECT l_orderkey, l_linenumber, (sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM lineitem")
+def prefix_sum_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.running_sum(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_linenumber", ["l_linenumber"], ["l_orderkey"])
+
+
+@register("bin_assignment", f"WITH {DAYS_SQL}, t AS (SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS total FROM days) SELECT day, n, total, total >> 8 AS part FROM t")
+def bin_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.bin_assignment(days(spark, sf_dir), "day", "n", 8)
+
+
+@register("bin_bounds", f"WITH {DAYS_SQL}, t AS (SELECT day, (sum(n) OVER (ORDER BY day))::BIGINT AS total FROM days) SELECT total >> 8 AS part, max(day) AS bound FROM t GROUP BY 1")
+def bin_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.bin_bounds(days(spark, sf_dir), "day", "n", 8)
+
+
+@register("group_mean_sem", "SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 8) AS sem FROM lineitem GROUP BY 1, 2")
+def group_mean_sem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return T.summary(rows, ["l_returnflag", "l_linestatus"], "l_quantity").withColumns({"mean": F.round("mean", 6), "sem": F.round("sem", 8)})
+
+
+@register("loglog_regression", "WITH r AS (SELECT l_returnflag, ln(l_quantity::DOUBLE) AS x, ln(l_extendedprice::DOUBLE) AS y FROM lineitem) SELECT l_returnflag, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)), 6) AS slope_se FROM r GROUP BY 1")
+def loglog_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = lambda c: F.ln(F.col(c).cast("double"))
+    out = T.fit(read(spark, sf_dir, "lineitem"), log("l_quantity"), log("l_extendedprice"), ["l_returnflag"])
+    return out.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "slope_se")})
+
+
+@register("pivot_mean", "SELECT l_returnflag, round(avg(l_quantity::DOUBLE) FILTER (l_linestatus = 'F'), 6) AS F, round(avg(l_quantity::DOUBLE) FILTER (l_linestatus = 'O'), 6) AS O FROM lineitem GROUP BY 1")
+def pivot_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return T.pivot_mean(rows, "l_returnflag", "l_linestatus", "l_quantity", ["F", "O"]).withColumns({"F": F.round("F", 6), "O": F.round("O", 6)})
+
+
+@register("max_count_groups", "WITH n AS (SELECT o_custkey, count(*) AS c FROM orders GROUP BY 1) SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM n WHERE c = (SELECT max(c) FROM n))")
+def max_count_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.largest_groups(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"])
+
+
+@register("speedup_vs_first", f"WITH {DAYS_SQL} SELECT day, n, first(n) OVER (PARTITION BY left(day, 7) ORDER BY day) / n AS speedup FROM days")
+def speedup_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.speedup(days(spark, sf_dir).withColumn("month", F.substring("day", 1, 7)), "day", "n", ["month"]).drop("month")
+
+
+@register("seeded_sample")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: 500 sequences."""
+    return P.sample(seqs(spark, sf_dir).select("seq").distinct(), ["seq"], 500, seed=1)
+
+
+@register("per_group_sample")
+def per_group_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: up to 50 sequences of each of 8 repertoires."""
+    held = P.repertoire_counts(seqs(spark, sf_dir), count="freq")
+    return P.sample_repertoires(held, P.repertoire_sizes(held), 8, ["src0"], seed=1, most=50)
+
+
+@register("result_set_diff", f"WITH {SEQS_SQL}, a AS (SELECT rep, seq FROM seqs WHERE freq = 1), b AS (SELECT rep, seq FROM seqs WHERE freq = 2) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def result_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seqs(spark, sf_dir)
+    return T.differences(rows.where("freq = 1").select("rep", "seq"), rows.where("freq = 2").select("rep", "seq"))

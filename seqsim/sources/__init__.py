@@ -1 +1 @@
-"""seqsim sources."""
+"""Readers and writers."""

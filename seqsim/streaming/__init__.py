@@ -1 +1 @@
-"""seqsim streaming."""
+"""Streams of sequences."""
