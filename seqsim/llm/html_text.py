@@ -48,7 +48,8 @@ MORE = frozenset("article articlebody body content contents entry main page para
 KINDS = ("h1 h2 h3 h4 h5 h6", "p pre blockquote", "div section main article", "ul ol li dl dt dd", "a", "b i em strong span u small sub sup code mark abbr time", "html body", "table tbody tr td th")
 KIND = {t: k for k, names in enumerate(KINDS) for t in names.split()}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
+OPEN = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"x-label=([01])")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -70,7 +71,12 @@ def parse(source: str) -> Page:
     """The elements and texts of a page; any input gives a tree. A block's start and end appear as texts of None."""
     page = Page(["html"], [-1], [0], [0], [-1], [])
     stack, at, lowered = [0], 0, None
+    close = source.rfind(">")
     while at < len(source):
+        if at > close:  # what is left can't be markup; a tag that isn't closed is dropped
+            rest = OPEN.split(source[at:], maxsplit=1)[0]
+            page.parts.append((stack[-1], html.unescape(rest)))
+            break
         m = TOKEN.match(source, at)
         at, name = m.end(), m[2]
         if name is None:
