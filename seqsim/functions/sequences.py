@@ -57,16 +57,18 @@ def within_levenshtein(a: Column, b: Column, distance: int) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Places at which two sequences of one length differ; null for different lengths."""
-    places = F.sequence(F.lit(1), F.length(a))
-    differ = F.size(F.filter(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    return F.when(F.length(a) == F.length(b), F.when(F.length(a) == 0, 0).otherwise(differ))
+    """Places at which two sequences of one length differ; null for different lengths. The first places are compared
+    one by one in generated code, any others by a lambda."""
+    differ = [F.when(F.substring(a, i, 1) != F.substring(b, i, 1), 1).otherwise(0) for i in range(1, PREFIX + 1)]
+    beyond = F.filter(F.sequence(F.lit(PREFIX + 1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    rest = F.when(F.length(a) > PREFIX, F.size(beyond)).otherwise(0)
+    return F.when(F.length(a) == F.length(b), sum(differ[1:], differ[0]) + rest)
 
 
 def within_hamming(a: Column, b: Column, distance: int) -> Column:
-    """The Hamming distance if it is at most `distance`, else null. The banded Levenshtein distance, which is never
-    larger, turns most pairs down first."""
-    return F.when((F.length(a) == F.length(b)) & (F.levenshtein(a, b, distance) >= 0), named(hamming(a, b), lambda h: F.when(h <= distance, h)))
+    """The Hamming distance, or null where it is surely over `distance`: the banded Levenshtein distance, which is
+    never larger, turns most pairs down."""
+    return F.when((F.length(a) == F.length(b)) & (F.levenshtein(a, b, distance) >= 0), hamming(a, b))
 
 
 def middle_window(seq: Column, k: int) -> Column:

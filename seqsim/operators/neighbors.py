@@ -23,11 +23,11 @@ class SequenceError(ValueError):
 
 
 def verifier(distance: int, measure: str | Verify) -> Verify:
-    """A function of two columns that gives their distance if it is small enough, else null."""
+    """A function of two columns that gives their distance; it may be null for what is too far."""
     if distance < 1:
         raise SequenceError("the distance must be 1 or more")
     if callable(measure):
-        return lambda a, b: S.named(measure(a, b), lambda d: F.when(d <= distance, d))
+        return measure
     if measure == "levenshtein":
         return lambda a, b: S.within_levenshtein(a, b, distance)
     if measure == "hamming":
@@ -35,6 +35,11 @@ def verifier(distance: int, measure: str | Verify) -> Verify:
     raise SequenceError(f"unknown measure {measure!r}")
 
 
+def verified(met: DataFrame, a: str, b: str, distance: int, measure: str | Verify) -> DataFrame:
+    """(a, b, dist) of the rows whose sequences are within `distance`."""
+    return met.select(a, b, verifier(distance, measure)(F.col(a), F.col(b)).alias("dist")).where(F.col("dist") <= distance)
+
+
 def variants(useqs: DataFrame, distance: int, measure: str | Verify, edits: int | None = None) -> DataFrame:
     """(key, seq): hashed deletion variants; for Hamming, which needs one length, hashed with it."""
     exploded = useqs.select("seq", F.explode(S.deletion_variants(F.col("seq"), edits or distance)).alias("variant"))
@@ -48,14 +53,13 @@ def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "lev
     measure: "levenshtein", "hamming" or a function of two columns; for a function, `edits` says how many edits its
     candidates may be apart. Null sequences have no pairs.
     """
-    verify = verifier(distance, measure)
+    verifier(distance, measure)  # wrong arguments fail here
     keys = variants(useqs.select("seq").where("seq is not null").distinct(), distance, measure, edits)
     a, b = keys.withColumnRenamed("seq", "seq_a"), keys.withColumnRenamed("seq", "seq_b")
     met = a.join(b, "key").where(F.col("seq_a") < F.col("seq_b"))
     if measure == "hamming":
         met = met.where(F.length("seq_a") == F.length("seq_b"))
-    judged = met.select("seq_a", "seq_b", verify(F.col("seq_a"), F.col("seq_b")).alias("dist"))
-    return judged.where("dist is not null").distinct()
+    return verified(met, "seq_a", "seq_b", distance, measure).distinct()
 
 
 def looked_up_pairs(useqs: DataFrame) -> DataFrame:
@@ -73,13 +77,11 @@ def looked_up_pairs(useqs: DataFrame) -> DataFrame:
 def exhaustive_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "levenshtein", blocks: int = 16) -> DataFrame:
     """As distinct_pairs, by comparing everything: a check for small inputs. Sequences are dealt into blocks and each
     block meets each other once, so that no task holds more than two blocks."""
-    verify = verifier(distance, measure)
     base = useqs.select("seq").where("seq is not null").distinct().withColumn("block", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     a = base.select(F.col("seq").alias("seq_a"), F.col("block").alias("i"), F.explode(every).alias("j"))
     b = base.select(F.col("seq").alias("seq_b"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    judged = a.join(b, ["i", "j"]).where("seq_a < seq_b").select("seq_a", "seq_b", verify(F.col("seq_a"), F.col("seq_b")).alias("dist"))
-    return judged.where("dist is not null")
+    return verified(a.join(b, ["i", "j"]).where("seq_a < seq_b"), "seq_a", "seq_b", distance, measure)
 
 
 def expanded(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -121,11 +123,9 @@ def neighbors_within(seqs: DataFrame, distance: int = 1, measure: str | Verify =
 
 def neighbors_between(queries: DataFrame, index: DataFrame, distance: int = 1, measure: str = "levenshtein") -> DataFrame:
     """(seq_q, seq_i, dist) of distinct sequences of two tables within `distance`, equal ones at 0."""
-    verify = verifier(distance, measure)
     q = variants(queries.select("seq").where("seq is not null").distinct(), distance, measure).withColumnRenamed("seq", "seq_q")
     i = variants(index.select("seq").where("seq is not null").distinct(), distance, measure).withColumnRenamed("seq", "seq_i")
-    judged = q.join(i, "key").select("seq_q", "seq_i", verify(F.col("seq_q"), F.col("seq_i")).alias("dist"))
-    return judged.where("dist is not null").distinct()
+    return verified(q.join(i, "key"), "seq_q", "seq_i", distance, measure).distinct()
 
 
 def variant_group_sizes(useqs: DataFrame, distance: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seqsim.operators.neighbors import variants, verifier
+from seqsim.operators.neighbors import variants, verified
 
 
 def write_index(useqs: DataFrame, path: str, distance: int, measure: str = "levenshtein", files: int | None = None) -> None:
@@ -18,10 +18,8 @@ def write_index(useqs: DataFrame, path: str, distance: int, measure: str = "leve
 
 def lookup(queries: DataFrame, index: DataFrame, distance: int, measure: str = "levenshtein") -> DataFrame:
     """(seq_q, seq_i, dist) of query sequences and those of an index written for this distance and measure."""
-    verify = verifier(distance, measure)
     q = variants(queries.select("seq").where("seq is not null").distinct(), distance, measure).withColumnRenamed("seq", "seq_q")
-    judged = q.join(index.withColumnRenamed("seq", "seq_i"), "key").select("seq_q", "seq_i", verify(F.col("seq_q"), F.col("seq_i")).alias("dist"))
-    return judged.where("dist is not null").distinct()
+    return verified(q.join(index.withColumnRenamed("seq", "seq_i"), "key"), "seq_q", "seq_i", distance, measure).distinct()
 
 
 def neighbors_stream(stream: DataFrame, index_path: str, out_path: str, checkpoint: str, distance: int, measure: str = "levenshtein", once: bool = True) -> StreamingQuery:
