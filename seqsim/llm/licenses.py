@@ -58,6 +58,11 @@ def permuted(h: Column, band: int) -> Column:
     return F.xxhash64(h, F.lit(band))
 
 
+def least(hashes: Column, band: int) -> Column:
+    """(v, h): the least of the hashes in a band's order, and the hash itself."""
+    return F.array_min(F.transform(hashes, lambda h: F.struct(permuted(h, band).alias("v"), h.alias("h"))))
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs and each license found in it: (id_col, license, n_windows, first_word, containment).
 
@@ -68,7 +73,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(templates.items()), "license string, template string")
-    bands = F.array(*(F.array_min(F.transform("t", lambda h, b=b: F.struct(permuted(h, b).alias("v"), h.alias("h")))) for b in range(BANDS)))
+    bands = F.array(*(least(F.col("t"), b) for b in range(BANDS)))
     known = known.select("license", shingles(F.col("template")).alias("s")).select("license", F.array_distinct("s").alias("t"), F.size("s").alias("n"))
     known = known.select("license", "t", "n", F.posexplode(bands).alias("band", "least")).select("license", "t", "n", "band", F.col("least.v").alias("v"), F.col("least.h").alias("key"))
     keys = sorted({r["key"] for r in known.select("key").collect()})
@@ -83,7 +88,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
     pairs = near.select("uid", "id", "h", F.col("x.at").alias("at"), F.col("x.key").alias("key")).join(F.broadcast(known), "key")
     laid = pairs.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("n") + 1), F.col("at"))).alias("from"))
     window = laid.withColumn("s", F.slice("h", F.col("from") + 1, "n"))
-    agrees = F.array(*(F.array_min(F.transform("s", lambda h, b=b: permuted(h, b))) for b in range(BANDS)))[F.col("band")] == F.col("v")
+    agrees = F.array(*(least(F.col("s"), b)["v"] for b in range(BANDS)))[F.col("band")] == F.col("v")
     met = window.where(agrees).select("uid", "id", "license", "from", (F.size(F.array_intersect("t", "s")) / F.size("t")).alias("containment")).where(F.col("containment") >= CONTAINED)
     best = met.groupBy("uid", "id", "license").agg(F.max(F.struct("containment", (-F.col("from")).alias("back"))).alias("x"), F.count_distinct("from").alias("n_windows"))
     return best.select(F.col("id").alias(id_col), "license", "n_windows", (-F.col("x.back")).cast("bigint").alias("first_word"), F.col("x.containment").alias("containment"))
