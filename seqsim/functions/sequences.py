@@ -45,15 +45,32 @@ def deletion_variants(seq: Column, distance: int, prefix: int | None = PREFIX) -
     return grown
 
 
+def masked_variants(seq: Column, distance: int, prefix: int = PREFIX) -> Column:
+    """The distinct strings with `distance` letters of the prefix masked (all, if it has no more). Sequences of one
+    length share one exactly if their prefixes differ in `distance` places or fewer."""
+
+    def masked(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.lit("*"), F.substring(s, i + 1, F.length(s))))
+
+    def all_masked(k: int) -> Callable[[Column], Column]:
+        return lambda s: F.length(s) - F.length(F.replace(s, F.lit("*"), F.lit(""))) == F.least(F.length(s), F.lit(k))
+
+    head = F.substring(seq, 1, prefix)
+    grown = F.array(head)
+    for k in range(1, distance + 1):
+        step = named(grown, lambda held: F.array_distinct(F.flatten(F.transform(held, masked))))
+        grown = F.filter(step, all_masked(k))
+    return F.when(F.length(seq) > 0, grown).otherwise(F.array(head))
+
+
 def variant_count(length: int, distance: int) -> int:
     """Deletion variants of a sequence of distinct letters."""
     return sum(comb(length, k) for k in range(min(length, distance) + 1))
 
 
 def within_levenshtein(a: Column, b: Column, distance: int) -> Column:
-    """The Levenshtein distance if it is at most `distance`, else null."""
-    d = F.levenshtein(a, b, distance)
-    return F.when(d >= 0, d)
+    """The Levenshtein distance if it is at most `distance`, else -1."""
+    return F.levenshtein(a, b, distance)
 
 
 def hamming(a: Column, b: Column) -> Column:

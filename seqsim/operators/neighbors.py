@@ -37,14 +37,24 @@ def verifier(distance: int, measure: str | Verify) -> Verify:
 
 def verified(met: DataFrame, a: str, b: str, distance: int, measure: str | Verify) -> DataFrame:
     """(a, b, dist) of the rows whose sequences are within `distance`."""
-    return met.select(a, b, verifier(distance, measure)(F.col(a), F.col(b)).alias("dist")).where(F.col("dist") <= distance)
+    near = F.col("dist") >= 0 if measure == "levenshtein" else F.col("dist") <= distance
+    return met.select(a, b, verifier(distance, measure)(F.col(a), F.col(b)).alias("dist")).where(near)
 
 
-def variants(useqs: DataFrame, distance: int, measure: str | Verify, edits: int | None = None) -> DataFrame:
-    """(key, seq): hashed deletion variants; for Hamming, which needs one length, hashed with it."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over all shuffle partitions. Rows that are few may still mean much work, which adaptive execution,
+    going by bytes, would put into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def variants(seqs: DataFrame, distance: int, measure: str | Verify, edits: int | None = None) -> DataFrame:
+    """(key, seq) of the distinct sequences: hashed deletion variants, or for Hamming masked ones with the length."""
+    useqs = spread(seqs.select("seq").where("seq is not null").distinct(), "seq")
+    if measure == "hamming":
+        exploded = useqs.select("seq", F.explode(S.masked_variants(F.col("seq"), distance)).alias("variant"))
+        return exploded.select(F.xxhash64("variant", F.length("seq")).alias("key"), "seq")
     exploded = useqs.select("seq", F.explode(S.deletion_variants(F.col("seq"), edits or distance)).alias("variant"))
-    key = F.xxhash64("variant", F.length("seq")) if measure == "hamming" else F.xxhash64("variant")
-    return exploded.select(key.alias("key"), "seq")
+    return exploded.select(F.xxhash64("variant").alias("key"), "seq")
 
 
 def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "levenshtein", edits: int | None = None) -> DataFrame:
@@ -54,9 +64,9 @@ def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "lev
     candidates may be apart. Null sequences have no pairs.
     """
     verifier(distance, measure)  # wrong arguments fail here
-    keys = variants(useqs.select("seq").where("seq is not null").distinct(), distance, measure, edits)
+    keys = spread(variants(useqs, distance, measure, edits), "key")
     a, b = keys.withColumnRenamed("seq", "seq_a"), keys.withColumnRenamed("seq", "seq_b")
-    met = a.join(b, "key").where(F.col("seq_a") < F.col("seq_b"))
+    met = a.join(b.hint("merge"), "key").where(F.col("seq_a") < F.col("seq_b"))
     if measure == "hamming":
         met = met.where(F.length("seq_a") == F.length("seq_b"))
     return verified(met, "seq_a", "seq_b", distance, measure).distinct()
@@ -81,7 +91,7 @@ def exhaustive_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "l
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     a = base.select(F.col("seq").alias("seq_a"), F.col("block").alias("i"), F.explode(every).alias("j"))
     b = base.select(F.col("seq").alias("seq_b"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    return verified(a.join(b, ["i", "j"]).where("seq_a < seq_b"), "seq_a", "seq_b", distance, measure)
+    return verified(spread(a, "i", "j").join(b.hint("merge"), ["i", "j"]).where("seq_a < seq_b"), "seq_a", "seq_b", distance, measure)
 
 
 def expanded(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -123,9 +133,9 @@ def neighbors_within(seqs: DataFrame, distance: int = 1, measure: str | Verify =
 
 def neighbors_between(queries: DataFrame, index: DataFrame, distance: int = 1, measure: str = "levenshtein") -> DataFrame:
     """(seq_q, seq_i, dist) of distinct sequences of two tables within `distance`, equal ones at 0."""
-    q = variants(queries.select("seq").where("seq is not null").distinct(), distance, measure).withColumnRenamed("seq", "seq_q")
-    i = variants(index.select("seq").where("seq is not null").distinct(), distance, measure).withColumnRenamed("seq", "seq_i")
-    return verified(q.join(i, "key"), "seq_q", "seq_i", distance, measure).distinct()
+    q = variants(queries, distance, measure).withColumnRenamed("seq", "seq_q")
+    i = variants(index, distance, measure).withColumnRenamed("seq", "seq_i")
+    return verified(q.join(i.hint("merge"), "key"), "seq_q", "seq_i", distance, measure).distinct()
 
 
 def variant_group_sizes(useqs: DataFrame, distance: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
 from seqsim.functions.tcrdist import loop_score
-from seqsim.operators.neighbors import distinct_pairs, expanded, mirrored
+from seqsim.operators.neighbors import distinct_pairs, expanded, mirrored, spread
 
 
 def close_pairs(met: DataFrame, cutoff: float) -> DataFrame:
@@ -36,11 +36,14 @@ def lineage_pairs(rows: DataFrame, k: int = 6, distance: int = 1, cutoff: float
     return close_pairs(lineage_candidates(rows, k, distance), cutoff)
 
 
-def lineage_pairs_exhaustive(rows: DataFrame, cutoff: float = 0.15) -> DataFrame:
-    """As lineage_pairs, without the filter: every two rows of one v, j and length are compared."""
+def lineage_pairs_exhaustive(rows: DataFrame, cutoff: float = 0.15, blocks: int = 8) -> DataFrame:
+    """As lineage_pairs, without the filter: every two rows of one v, j and length are compared. A group's rows are
+    dealt into blocks, each of which meets the whole group, so that a large group has several tasks."""
+    group = ["v", "j", "len", "block"]
     base = rows.select("id", "v", "j", "seq", F.length("seq").alias("len"))
-    a, b = (base.select("v", "j", "len", F.col("id").alias(f"id_{s}"), F.col("seq").alias(f"seq_{s}")) for s in "ab")
-    return close_pairs(a.join(b, ["v", "j", "len"]).where("id_a < id_b"), cutoff)
+    a = base.select("v", "j", "len", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").alias("id_a"), F.col("seq").alias("seq_a"))
+    b = base.select("v", "j", "len", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("id").alias("id_b"), F.col("seq").alias("seq_b"))
+    return close_pairs(spread(a, *group).join(b.hint("merge"), group).where("id_a < id_b"), cutoff)
 
 
 def recall(found: DataFrame, every: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def recall(found: DataFrame, every: DataFrame) -> DataFrame:
 def scored(pairs: DataFrame, rows: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
     """Pairs (x, y) of rows (seq_id, seq, gene) with `tcrdist`, up to `most`; genes: (gene_a, gene_b, dist), else 0."""
     a, b = (rows.select(F.col("seq_id").alias(s), F.col("seq").alias(f"seq_{s}"), F.col("gene").alias(f"gene_{s}")) for s in "xy")
-    both = pairs.select("x", "y").join(a, "x").join(b, "y")
+    both = spread(pairs.select("x", "y"), "x", "y").join(a, "x").join(b, "y")
     extra: Column = F.lit(0)
     if genes is not None:
         both = both.join(genes.select(F.col("gene_a").alias("gene_x"), F.col("gene_b").alias("gene_y"), F.col("dist").alias("extra")), ["gene_x", "gene_y"], "left")
