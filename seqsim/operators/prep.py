@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsim.functions.sequences import is_valid
+from seqsim.sources.storage import saved
 
 
 def valid_rows(df: DataFrame, seq: str = "seq", mode: str = "drop", least: int = 1, most: int | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def factorized(df: DataFrame, seq: str = "seq", order: str = "seq_id") -> DataFr
     codes is added up from the sizes of the ranges, of which there are as many as tasks.
     """
     firsts = df.where(F.col(seq).isNotNull()).groupBy(F.col(seq).alias("seq")).agg(F.min(order).alias("first"))
-    ranged = firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ranged = saved(firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("base"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(before.select("part", "base", "before")), "part").select("seq", "first", (F.col("at") - F.col("base") + F.col("before")).alias("code"))
