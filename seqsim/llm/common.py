@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A word, wherever a contract speaks of words.
-WORD = r"[^\x20\x09-\x0D]+"
+from seqsim.sources.storage import saved
+
+__all__ = ["first_rows", "keyed", "pieces", "saved", "table", "texts"]
+
 #: Bytes of text that a Python task turns into numpy arrays at a time; a longer text is one piece of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -22,24 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about CHUNK_BYTES of one text or binary column, so that memory is bounded."""
     for batch in batches:
