@@ -136,6 +136,29 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+_QUOTED = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in sorted(licenses.TEMPLATES.items()))
+OP9_SQL = f"""
+WITH t(license, text) AS (VALUES {_QUOTED}
+), texts AS (
+  SELECT license AS name, true AS is_template, text FROM t UNION ALL SELECT doc_id::VARCHAR, false, coalesce(text, '') FROM documents
+), words AS (
+  SELECT name, is_template, [x for x in regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') if x <> ''] AS w FROM texts
+), grams AS (
+  SELECT name, is_template, i, array_to_string(w[i:i + 4], ' ') AS g FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0
+), templates AS (
+  SELECT name AS license, g, count(*) OVER (PARTITION BY name) AS n FROM grams WHERE is_template
+), sizes AS (SELECT license, count(DISTINCT g) AS size FROM templates GROUP BY 1
+), hits AS (
+  SELECT DISTINCT d.name::BIGINT AS doc_id, license, n, i, g FROM grams d JOIN templates USING (g) WHERE NOT is_template
+), windows AS (
+  SELECT doc_id, license, a, count(DISTINCT g) AS held FROM hits, unnest(range(greatest(i - n + 1, 1), i + 1)) AS r(a) GROUP BY 1, 2, 3
+), met AS (
+  SELECT doc_id, license, a, held / size AS containment FROM windows JOIN sizes USING (license) WHERE held / size >= 0.8
+)
+SELECT doc_id, license, count(*) AS n_windows, arg_max(a - 1, (containment, -a))::BIGINT AS first_word, max(containment) AS containment FROM met GROUP BY 1, 2
+"""
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.predict(docs, language.fit(docs.where(~language.held_out())))
@@ -143,4 +166,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language)}
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_licenses": OP9_SQL}
