@@ -40,9 +40,9 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 SCOPES = frozenset("html body div section article main aside nav header footer form ul ol dl table td th blockquote".split())
 CLOSES_P = BLOCKS - {"br", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "title"}
 LESS = frozenset(
-    "ad ads advert advertisement adverts alert aside author avatar banner bio breadcrumb breadcrumbs button byline captcha caption comment comments consent cookie cookies copyright dialog disclaimer discussion "
+    "ad ads advert advertisement adverts alert aside author avatar banner bio breadcrumb breadcrumbs button byline captcha comment comments consent cookie cookies copyright dialog disclaimer discussion "
     "footer form gdpr head header iframe input login masthead menu meta modal nav navbar navigation newsletter noscript notice notification pagination pager popup privacy promo promoted recommended related reply "
-    "replies respond script search select share sharing shout sidebar sidenav signup social sponsor sponsored style subscribe svg tag tags textarea title toc toolbar topbar trending widget".split()
+    "replies respond script search select share sharing shout sidebar sidenav signup social sponsor sponsored style subscribe svg tag tags textarea toc toolbar topbar trending widget".split()
 )
 MORE = frozenset("article articlebody body content contents entry main page paragraph post prose story text".split())
 KINDS = ("h1 h2 h3 h4 h5 h6", "p pre blockquote", "div section main article", "ul ol li dl dt dd", "a", "b i em strong span u small sub sup code mark abbr time", "html body", "table tbody tr td th")
@@ -115,7 +115,7 @@ def parse(source: str) -> Page:
         label = LABEL.search(attributes) if attributes else None
         page.tag.append(name)
         page.parent.append(stack[-1])
-        page.less.append(len(words & LESS))
+        page.less.append(len(words & LESS) + (name == "title"))
         page.more.append(len(words & MORE))
         page.label.append(int(label[1]) if label else -1)
         node = len(page.tag) - 1

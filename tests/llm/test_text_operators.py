@@ -216,10 +216,10 @@ def test_html_query(spark):
 
 def test_html_kinds(spark):
     prose = "Here is a long paragraph of prose, which goes on for a while. " * 4
-    body = f"<h1>Title</h1><p>{prose}<p>More &amp; more<br>lines.</p>"
+    body = f"<h1 class='entry-title'>Title</h1><p>{prose}<p>More &amp; more<br>lines.</p>"
     around = '<nav><a href=/>Home</a></nav>{}<div class="comments"><p>' + prose + '</p></div><aside class="sidebar"><p>' + prose + "</p></aside><form><p>Mail</p></form><footer>c</footer>"
     want = " ".join(f"Title {prose} More & more lines.".split())
-    sources = [around.format(f"<article>{body}</article>"), around.format(f'<div class="post-content">{body}</div>'), around.format(f"<main><article>{body}<div class='share'><a>Share</a></div></article></main>"), f"<html><body><script>if (a<b) x='</p>'</script><div class='cookie-notice'>We use cookies</div><article>{body}</article></body>"]
+    sources = [around.format(f"<article>{body}</article>"), around.format(f'<div class="post-content">{body}</div>'), around.format(f"<main><article>{body}<div class='share'><a>Share</a></div></article></main>"), f"<html><title>No</title><body><script>if (a<b) x='</p>'</script><div class='cookie-notice'>We use cookies</div><article>{body}</article></body>", f"<div id='page'><header class='top'><p>Site</p></header><div class='entry'>{body}<section class='reader-comments'><p>{prose}</p><p>{prose}</p></section></div><div class='related-posts'><p>{prose}</p></div></div>"]
     rows = [(i, "u", s) for i, s in enumerate(sources)] + [(90, None, None), (91, "u", ""), (92, "u", "<p></p>"), (93, "u", "<div" * 2000), (94, "u", "<div>" * 3000), (None, "u", sources[0]), (0, "u", sources[0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, text int")
     got = html_text.extract(df, html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))).collect()
