@@ -323,6 +323,24 @@ def test_near_texts(spark, small, monkeypatch):
     assert near_texts.keep_one(df.limit(0)).collect() == []
 
 
+def near_roots(texts):
+    sets = [shingles(t) for t in texts]
+    return classes(texts, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+def test_near_texts_among_odd_ids(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(12)]
+    copies = [t + " end" for t in texts]
+    rows = [*enumerate(texts + copies), (None, texts[3] + " null"), (None, "a null id of its own"), (5, "id five again"), (30, "twice"), (30, "twice"), (7, copies[8])]
+    rows.sort(key=lambda r: (-1 if r[0] is None else r[0], r[1]))
+    root = near_roots([t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in near_texts.keep_one(df).collect()]
+    assert ordered(got) == ordered([r for k, r in enumerate(rows) if root[k] == k])
+
+
 # --- mixing
 
 
