@@ -341,6 +341,21 @@ def test_near_texts_among_odd_ids(spark):
     assert ordered(got) == ordered([r for k, r in enumerate(rows) if root[k] == k])
 
 
+@pytest.mark.parametrize("added", [15, 60, 200])
+def test_near_texts_with_passages_added(spark, added):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(40):
+        base = [f"w{int(20_000 ** rng.random())}" for _ in range(7 * added)]
+        passage = [f"w{int(20_000 ** rng.random())}" for _ in range(added)]
+        at = rng.choice([0, len(base), rng.randrange(len(base))])
+        texts += [" ".join(base), " ".join(base[:at] + passage + base[at:])]
+    root = near_roots(texts)
+    assert len(set(root)) == 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.id: r.root for r in near_texts.near_classes(df).collect()} == dict(enumerate(root))
+
+
 # --- mixing
 
 
