@@ -356,6 +356,24 @@ def test_near_texts_with_passages_added(spark, added):
     assert {r.id: r.root for r in near_texts.near_classes(df).collect()} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_near_texts_of_drifting_copies(spark, small, monkeypatch):
+    monkeypatch.setattr(near_texts, "SMALL", small)
+    rng = random.Random(41)
+    texts = []
+    for g in range(3):
+        now = [f"g{g}w{rng.randrange(2000)}" for _ in range(300)]
+        for k in range(30):
+            texts += [" ".join(now), " ".join([*now, f"g{g}k{k}"])]
+            at = rng.randrange(280)
+            now = now[:at] + [f"g{g}w{rng.randrange(2000)}" for _ in range(20)] + now[at + 20 :]
+    rng.shuffle(texts)
+    root = near_roots(texts)
+    assert len(set(root)) <= 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.id: r.root for r in near_texts.near_classes(df).collect()} == dict(enumerate(root))
+
+
 # --- mixing
 
 
