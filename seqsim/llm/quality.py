@@ -1,8 +1,8 @@
 """Quality rules: word and line statistics of each document, and how many documents of a host share its lines.
 
 Lines are normalised (A-Z lower-cased, white space runs to one blank) and hashed; for each host the distinct documents
-that hold a line are counted, lines above the host's limit are taken as removed, and a document with too little left
-is rejected. Documents with the same text count once, so that copies, which dedup is for, don't make lines common.
+that hold a line are counted, lines above the host's limit are removed, and a document with too little left is
+rejected. Documents with the same text count once, so that copies, which dedup is for, don't make lines common.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from seqsim.llm.common import pieces, saved, texts
 
@@ -62,7 +63,7 @@ def facts(text: bytes) -> tuple[int, int, int, int, int, list[int], list[int]]:
         if own := line.split():
             repeats += line in seen
             seen.add(line)
-            key = xxhash.xxh64_intdigest(b" ".join(own).lower()) - (1 << 63)
+            key = line_key(own)
             held[key] = held.get(key, 0) + len(own)
     return len(words), chars, symbols, repeats, repeated_words(words), list(held), list(held.values())
 
@@ -75,9 +76,13 @@ def host_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
-def quality(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row for each row of docs: (id_col, host, text_key, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_removed_words, base_failed, kept).
+def line_key(own: list[bytes]) -> int:
+    """The hash of a normalised line, given its words."""
+    return xxhash.xxh64_intdigest(b" ".join(own).lower()) - (1 << 63)
+
+
+def judged(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """What quality gives, and `common`: for a kept row the hashes of its lines that are common in its host, or null.
 
     A null text counts as empty: no words, base_failed. Null hosts are one host. Rows are judged one by one, so
     repeated rows get equal verdicts. Other columns are left out.
@@ -101,17 +106,39 @@ def quality(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id
     if common.count() <= BROADCAST_LINES:
         common = F.broadcast(common)
     lines = each.select("uid", "host", F.explode(F.arrays_zip("lines", "words")).alias("x")).select("uid", "host", F.col("x.lines").alias("line"), F.col("x.words").alias("n"))
-    removed = lines.join(common, ["host", "line"]).groupBy("uid").agg(F.sum("n").alias("gone"))
+    removed = lines.join(common, ["host", "line"]).groupBy("uid").agg(F.sum("n").alias("gone"), F.collect_set("line").alias("common"))
     out = each.drop("lines", "words").join(removed, "uid", "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("bigint"))
     n = F.col("n_words")
     failed = (n < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * n)
     left = n - F.col("n_removed_words") >= limits.left_share * n
     names = SCHEMA.replace(",", "").split()[0::2][:7]
-    return out.select(F.col("id").alias(id_col), *names, "n_removed_words", failed.alias("base_failed"), (~failed & left).alias("kept"))
+    return out.select(F.col("id").alias(id_col), *names, "n_removed_words", failed.alias("base_failed"), (~failed & left).alias("kept"), F.when(~failed & left, F.col("common")).alias("common"))
+
+
+def quality(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """One row for each row of docs: (id_col, host, text_key, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, n_removed_words, base_failed, kept). See judged.
+    """
+    return judged(docs, limits, id_col, text_col, host_col).drop("common")
+
+
+def without_lines(text: bytes, common: set[int]) -> bytes:
+    """The text without the lines whose hash is in common; other lines stay as they are."""
+    return b"\n".join([line for line in text.split(b"\n") if not (own := line.split()) or line_key(own) not in common])
+
+
+@F.arrow_udf(StringType())
+def cleaned(text: pa.Array, common: pa.Array) -> pa.Array:
+    out = [x if x is None or c is None else without_lines(x, set(c)) for x, c in zip(text.cast(pa.binary()).to_pylist(), common.to_pylist(), strict=True)]
+    return pa.array(out, pa.binary()).cast(pa.string())
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that quality keeps, with all their columns."""
-    kept = quality(docs, limits, id_col, text_col, host_col).where("kept").select(F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"))
+    """The rows of docs that quality keeps, with all their columns, their text without lines common in their host."""
+    kept = judged(docs, limits, id_col, text_col, host_col).where("kept")
+    kept = saved(kept.select(F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("common").alias("_common")).dropDuplicates(["_id", "_host", "_key"]))
     match = docs[id_col].eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text_col]) == kept["_key"]) & (host_of(docs[host_col]) == kept["_host"])
-    return docs.join(kept, match, "left_semi")
+    found = docs.join(kept, match)
+    # only the texts that change pass through Python
+    plain = found.where("_common is null").select(*docs.columns)
+    return plain.unionByName(found.where("_common is not null").withColumn(text_col, cleaned(text_col, "_common")).select(*docs.columns))

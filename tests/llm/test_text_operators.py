@@ -517,6 +517,39 @@ def test_quality(spark, odd, empty):
     assert Counter(r.doc_id for r in good.collect()) == kept
 
 
+def test_common_lines_leave_the_text(spark):
+    rng = random.Random(9)
+    own = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    menu, footer = "Home  About\tContact us now", own(150)
+    rows = []
+    for i in range(1200):
+        host = "hot" if i < 1000 else f"small{i % 4}"
+        lines = [own(40), own(40), "", own(5)]
+        if i % 3 == 0:
+            lines[1:1] = [menu.lower() if i % 2 else menu + " "]
+        if i % 10 == 0 or i >= 1000 and i % 2:
+            lines.append(footer)
+        if i % 30 == 0:
+            lines = [menu, footer, own(10), own(10)]
+        rows.append((i, "\n".join(lines), host))
+    rows += [rows[3], (None, rows[6][1] + "\nmore", "hot"), (9000, rows[12][1], "other")]
+    limits = quality.Limits()
+    plain = lambda line: " ".join(WORD.findall(line)).lower()
+    held, hosts = defaultdict(set), defaultdict(set)
+    for _, t, h in rows:
+        hosts[h].add(t)
+        for line in t.split("\n"):
+            held[h, plain(line)].add(t)
+    stays = lambda h, line: not plain(line) or not (len(held[h, plain(line)]) > limits.min_docs and len(held[h, plain(line)]) > limits.host_share * len(hosts[h]))
+    v = verdicts([r[1:] for r in rows], limits)
+    want = [(i, "\n".join(x for x in t.split("\n") if stays(h, x)), h) for (i, t, h), (_, kept) in zip(rows, v, strict=True) if kept]
+    got = [tuple(r) for r in quality.keep_good(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)).collect()]
+    assert ordered(got) == ordered(want)
+    assert sum(not base and not kept for base, kept in v) > 10  # depleted
+    changed = [h for (i, t, h) in want if (i, t, h) not in set(rows)]
+    assert changed.count("hot") > 100 and sum(h.startswith("small") for h in changed) > 10
+
+
 # --- licenses
 
 
