@@ -280,6 +280,14 @@ def hist_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.histogram(read(spark, sf_dir, "orders"), "o_orderkey", 0, 15_000, 64)
 
 
+@register("hist_whole_range", "WITH r AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders) SELECT ((o_orderkey - lo) * 64) // (hi - lo + 1) AS bin, count(*) AS n FROM orders, r WHERE o_orderkey IS NOT NULL GROUP BY 1")
+def hist_whole_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in 64 bins between the least and the largest key."""
+    orders = read(spark, sf_dir, "orders")
+    lo, hi = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return T.histogram(orders, "o_orderkey", lo or 0, (hi or 0) + 1, 64)
+
+
 DAYS_SQL = "days AS (SELECT o_orderdate::DATE::VARCHAR AS day, count(*) AS n FROM orders GROUP BY 1)"
 
 

@@ -25,3 +25,11 @@ def test_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["seq_a", "seq_b", "dist"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_histogram_of_all_orders(spark, sf):
+    path = f"/root/testdata/{sf}"
+    got = registry.QUERIES["hist_whole_range"](spark, path).toPandas()
+    want = duckdb.sql(f"SELECT count(*) FROM '{path}/orders.parquet'").fetchall()[0][0]
+    assert got["n"].sum() == want and sorted(got["bin"]) == list(range(64))
