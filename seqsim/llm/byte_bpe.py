@@ -4,27 +4,29 @@ Pre-tokenisation is done without regex. Each code point is looked up in a class
 becomes a symbol, and each symbol is a function from state to state. Those functions form a small monoid, so the state
 after every character is an associative scan over element numbers: columns of a matrix are scanned side by side, the
 totals of the columns are scanned, and the two are combined. Where a transition starts a token there is a boundary.
-The slices are merged by ranks, each distinct slice once (a bounded cache), and token ends in bytes are kept.
+The slices are merged by ranks, each distinct slice once (a bounded cache), and token ends in bytes are kept; decoding
+writes each token's bytes between its offsets.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from seqsim.llm.common import pieces, texts
 
-#: Unicode's White_Space, which \s stands for.
-SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Classes of code points, BREAK for what separates texts, and the properties that the tokenizer's pattern names.
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
+PROPERTIES = ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s"))
 #: Symbols: the classes above, then what needs the neighbours: ' before one or two letters of a contraction, a blank
 #: that joins the next token, another white space that ends its run.
 QUOTE1, QUOTE2, GLUE, LAST = 5, 6, 7, 8
@@ -36,13 +38,16 @@ CACHE_SLICES, CACHE_CHARS = 300_000, 64
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point. Which are letters and numbers depends on the version of Unicode, so they are asked
+    of the library whose tokens these are: one code point at a time matches a property or is left out."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.zeros(0x110000, np.uint8)
-    for i in range(0x110000):
-        kind = unicodedata.category(chr(i))[0]
-        if kind in "LN":
-            out[i] = LETTER if kind == "L" else NUMBER
-    out[SPACES] = SPACE
+    for kind, property_ in PROPERTIES:
+        bytewise = tiktoken.Encoding("classes", pat_str=property_, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        held = bytes(bytewise.encode_ordinary(every)).decode()
+        out[np.frombuffer(held.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -280,16 +285,53 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {key}, ids array<int>, ends array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with `out_col` BINARY in place of `ids_col`: the bytes that the ids stand for.
+def decoded(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts end to end, and the end of each, from their ids, token ends and the end of each text's tokens."""
+    tokens, length = vocabulary(path)[2:]
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+        raise ValueError("an id outside the vocabulary")
+    count = np.diff(stops, prepend=0)
+    size = np.diff(ends, prepend=0)
+    first = (stops - count)[count > 0]
+    size[first] = ends[first]
+    if (size != length[ids]).any():
+        raise ValueError("token ends that don't fit the ids")
+    flat, start = flat_tokens(path)
+    out = flat[np.repeat(start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    return out, np.concatenate([[0], np.cumsum(size)])[stops]
+
+
+@lru_cache(2)
+def flat_tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens end to end, and where each starts."""
+    tokens, length = vocabulary(path)[2:]
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length
 
-    Null ids give null, no ids give no bytes; an id outside the vocabulary is an error. `out_col` replaces a column
-    of that name.
-    """
 
-    @F.pandas_udf("binary")
-    def run(ids):
-        by_id = vocabulary(path)[2].__getitem__
-        return ids.map(lambda x: None if x is None else b"".join(map(by_id, x.tolist())))
+#: Tokens that are decoded at a time; a text with more is decoded whole, by itself.
+CHUNK_TOKENS = 1 << 18
+
+
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids", ends_col: str = "ends", out_col: str = "decoded") -> DataFrame:
+    """tokens with `out_col` BINARY: the bytes that the ids stand for, each token's between its offsets.
+
+    Null ids give null, no ids give no bytes; an id outside the vocabulary is an error, and so are token ends that
+    don't fit. `out_col` replaces a column of that name.
+    """
 
-    return tokens.withColumn(out_col, run(F.col(ids_col)))
+    def pick(x: pa.ListArray) -> np.ndarray:
+        return pc.list_flatten(x).to_numpy().astype(np.int64)
+
+    @F.arrow_udf(BinaryType())
+    def run(ids: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64)
+        group = (np.cumsum(count) - count) // CHUNK_TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            data, stops = decoded(pick(ids[a:b]), pick(ends[a:b]), np.cumsum(count[a:b]), path)
+            raw, edges = data.tobytes(), [0, *stops.tolist()]
+            out += [raw[i:j] if ok else None for i, j, ok in zip(edges[:-1], edges[1:], ids[a:b].is_valid().to_pylist(), strict=True)]
+        return pa.array(out, pa.binary())
+
+    return tokens.withColumn(out_col, run(F.col(ids_col), F.when(F.col(ids_col).isNotNull(), F.col(ends_col))))

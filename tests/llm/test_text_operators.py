@@ -108,6 +108,34 @@ def test_bpe_boundaries():
         assert starts == [m.start() for m in pattern.finditer(text)] + [len(text)], repr(text)
 
 
+def test_bpe_over_all_code_points():
+    known, path = tiktoken_encoding(), entries.ranks_path()
+    import numpy as np
+
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    forms = ("a{0}b {0} 1{0}2", "'s{0}'{0}ll  {0}\t{0}", "{0}{0}!{0}")
+    for k in range(0, len(points), 1 << 15):
+        text = "\n".join(form.format(chr(i)) for i in points[k : k + (1 << 15)] for form in forms)
+        want = known.encode_ordinary(text)
+        ids, stops, ends = byte_bpe.encoded([text.encode()], path)
+        assert np.array_equal(ids, want)
+        assert byte_bpe.decoded(ids.astype(np.int64), ends, stops, path)[0].tobytes() == text.encode()
+
+
+def test_bpe_decoding_by_offsets(spark):
+    path = entries.ranks_path()
+    rows = byte_bpe.encode(spark.createDataFrame([(1, "naïve 漢字 text, it's"), (2, ""), (3, None)], "doc_id bigint, text string"), path)
+    for r in byte_bpe.decode(rows, path).collect():
+        tokens, at = byte_bpe.vocabulary(path)[2], 0
+        for i, e in zip(r.ids, r.ends, strict=True):
+            assert bytes(r.decoded)[at:e] == tokens[i]
+            at = e
+    none = byte_bpe.decode(rows.withColumn("ids", F.when(F.col("doc_id") > 1, F.col("ids"))), path).collect()
+    assert {r.doc_id: r.decoded and bytes(r.decoded) for r in none} == {1: None, 2: b"", 3: b""}
+    with pytest.raises(Exception, match="don't fit"):
+        byte_bpe.decode(rows.withColumn("ends", F.transform("ends", lambda e: e + 1)), path).collect()
+
+
 def test_bpe_merges_agree():
     ranks = byte_bpe.vocabulary(entries.ranks_path())[0]
     rng = random.Random(2)
