@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqsim.sources.storage import saved
+from seqsim.sources.storage import discarded, saved, slight
 
-__all__ = ["first_rows", "keyed", "pieces", "saved", "table", "texts"]
+__all__ = ["discarded", "first_rows", "keyed", "pieces", "saved", "slight", "table", "texts"]
 
 #: Bytes of text that a Python task turns into numpy arrays at a time; a longer text is one piece of its own.
 CHUNK_BYTES = 1 << 20
@@ -52,6 +52,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return saved(rows.orderBy("id", "text").select(F.monotonically_increasing_id().alias("uid"), "id", "text"))
 
 
-def first_rows(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row of each group of rows that agree in all of `by` (such groups are repeats of one row)."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+def first_rows(rows: DataFrame, by: list[str], row: str = "row") -> DataFrame:
+    """One row of each group of rows that agree in `by`: the first by the column `row`, a struct, as JSON."""
+    order = Window.partitionBy(*by).orderBy(F.to_json(row))
+    return rows.withColumn("nth_of_group", F.row_number().over(order)).where("nth_of_group = 1").drop("nth_of_group")

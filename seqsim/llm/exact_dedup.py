@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsim.llm.common import first_rows, saved
+from seqsim.llm.common import first_rows, saved, slight
 
 #: Digests in a bucket on average: bounds the memory of the task that builds or holds its filter.
 BUCKET_KEYS = 50_000
@@ -170,9 +170,9 @@ def exact_dedup(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_
         new.join(positive, "sha", "left_semi").withColumnsRenamed({"n": "new_n", "top": "new_top"})
         .join(old.withColumnsRenamed({"n": "old_n", "top": "old_top"}), "sha")
     )
-    # the bytes of one text from each side, for digests that meet
-    spots = met.select("sha", F.explode(F.array("new_top", "old_top")).alias("id")).distinct()
-    shown = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(spots.hint("merge"), "id")  # one plan at every size
+    # the bytes of one text from each side, for digests that meet: only those texts move while their ids can be broadcast
+    spots = slight(met.select("sha", F.explode(F.array("new_top", "old_top")).alias("id")).distinct())
+    shown = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(spots, "id")
     equal = shown.where(F.sha2("t", 256) == F.col("sha")).groupBy("sha").agg((F.min("t") == F.max("t")).alias("equal"))
     same = met.join(equal, "sha", "left").where("coalesce(equal, true)")
     joint = same.select("sha", F.greatest("new_top", "old_top").alias("joint_top"), (F.col("new_n") + F.col("old_n")).alias("joint_n"))
@@ -186,8 +186,15 @@ def exact_dedup(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_
 
 
 def keep_distinct(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, incoming, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha1", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    found = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (F.col("_sha1") == F.col("_sha"))).drop("_id", "_sha")
-    return first_rows(found, [id_col, "_sha1"]).drop("_sha1")
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
+
+    Of rows that repeat both id and text, the first by all columns, as JSON, stays.
+    """
+    found = exact_dedup(docs, incoming, id_col, text_col).groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    found = found.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    special = slight(saved(found.where("n > 1 or not stays")).select("id", "sha", "stays"))
+    each = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("own"))
+    match = F.col("i").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha"))
+    plain = each.join(special, match, "left_anti").select("row")
+    repeated = each.join(special.where("stays"), match, "left_semi")
+    return plain.unionByName(first_rows(repeated, ["i", "own"]).select("row")).select("row.*")

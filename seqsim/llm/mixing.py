@@ -9,13 +9,13 @@ dither, whose cut in each source is set so that the words taken come nearest to
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsim.llm.common import pieces, saved, texts
+from seqsim.llm.common import saved, slight
 
 #: Newton ends when every source's words are this near to its target, as a share of it, or after so many rounds.
 TOLERANCE, ROUNDS = 1e-6, 60
@@ -23,16 +23,9 @@ TOLERANCE, ROUNDS = 1e-6, 60
 PARTS = 4096
 
 
-def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size) of each row; size: words, 0 for null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            size = pa.array([len(x.split()) for x in texts(batch, "text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), size], ["id", "source", "size"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, source string, size bigint")
+def word_count(text: Column) -> Column:
+    """Words of a text, 0 for null: runs of characters that none of the six white spaces is."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -76,7 +69,7 @@ def multipliers(hist: DataFrame, aims: DataFrame, base: float, cap: float) -> Da
         inside = (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi"))
         near = F.abs(over) <= TOLERANCE * F.col("target")
         lam = F.when(F.col("done") | near, F.col("lam")).when(inside, F.col("newton")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        state = saved(step.select("source", "mean", "target", (F.col("done") | F.coalesce(near, F.lit(True))).alias("done"), F.coalesce(lam, F.col("lam")).alias("lam"), "lo", "hi"))
+        state = saved(step.select("source", "mean", "target", (F.col("done") | F.coalesce(near, F.lit(True))).alias("done"), F.coalesce(lam, F.col("lam")).alias("lam"), "lo", "hi"), instead_of=state)
     return state.select("source", "mean", "lam")
 
 
@@ -104,6 +97,49 @@ def cuts(marks: DataFrame, aims: DataFrame) -> DataFrame:
     return best.select(F.col("s").alias("source"), F.col("x.cut").alias("cut"))
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What decides about each document: (s, source_size, target, mean, lam, cut) for each source s, and the numbers
+    common to all."""
+
+    sources: DataFrame
+    share: float
+    cap: int
+
+    def rate(self) -> Column:
+        return self.cap / (1 + (self.cap / self.share - 1) * F.exp(-F.col("lam") * F.col("size") / F.col("mean")))
+
+    def level(self) -> Column:
+        """The rate plus a dither by id and source."""
+        return self.rate() + F.shiftrightunsigned(F.xxhash64("id", "source"), 11) / float(1 << 53)
+
+    def copies(self) -> Column:
+        cut = F.coalesce("cut", F.lit(0.0))
+        return sum(F.when(k - self.level() <= cut, 1).otherwise(0) for k in range(1, self.cap + 1)).cast("int")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows with `source`, and what the plan has for it."""
+        return rows.join(slight(self.sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, id, source, size) of each row; row holds all its columns."""
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+
+
+def planned(each: DataFrame, weights: Sequence[float], share: float, cap: int) -> Plan:
+    """The plan for rows (id, source, size)."""
+    hist = saved(each.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    aims = saved(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")), weights, share, float(cap)))
+    tilt = multipliers(hist, aims, share, float(cap)).withColumnRenamed("source", "s")
+    facts = saved(aims.join(tilt, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "mean", "lam"))
+    begun = Plan(facts, share, cap)
+    marks = begun.of(each.where("size > 0")).select("source", "size", F.explode(F.array(*[k - begun.level() for k in range(1, cap + 1)])).alias("at"))
+    cut = cuts(marks, aims)
+    whole = facts.join(cut, F.col("s").eqNullSafe(F.col("source")), "left").drop("source")
+    return Plan(saved(whole), share, cap)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of docs: (id_col, source, size, source_size, target, rate, copies).
 
@@ -111,28 +147,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     documents rate `cap`, which takes no words. The result depends on ids, sources and sizes only, so reruns agree;
     rows that repeat an id within a source share its dither. Other columns are left out.
     """
-    each = saved(word_counts(docs, id_col, text_col, source_col))
-    hist = saved(each.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    aims = saved(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")), weights, share, float(cap)))
-    tilt = multipliers(hist, aims, share, float(cap))
-    facts = aims.join(tilt.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "mean", "lam")
-    rate = cap / (1 + (cap / share - 1) * F.exp(-F.col("lam") * F.col("size") / F.col("mean")))
-    dither = F.shiftrightunsigned(F.xxhash64("id", "source"), 11) / float(1 << 53)
-    rated = saved(
-        each.join(facts, F.col("source").eqNullSafe(F.col("s"))).select("id", "source", "size", "source_size", "target", rate.alias("rate"), dither.alias("dither"))
-    )
-    level = F.col("rate") + F.col("dither")
-    marks = rated.where("size > 0").select("source", "size", F.explode(F.array(*[k - level for k in range(1, cap + 1)])).alias("at"))
-    cut = cuts(marks, aims).withColumnRenamed("source", "s")
-    copies = sum(F.when(k - level <= F.coalesce("cut", F.lit(0.0)), 1).otherwise(0) for k in range(1, cap + 1))
-    out = rated.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", copies.cast("int").alias("copies"))
+    each = saved(sized(docs, id_col, text_col, source_col).drop("row"))
+    plan = planned(each, weights, share, cap)
+    return plan.of(each).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", plan.rate().alias("rate"), plan.copies().alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as mix takes it, with all their columns."""
-    taken = mix(docs, weights, share, cap, id_col, text_col, source_col).where("copies > 0")
-    taken = taken.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    sized = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].eqNullSafe(taken["_source"]))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
-    return sized.where(count == F.col("_size")).withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_id", "_source", "_size", "_copies", "_n")
+    """The rows of docs, each as often as mix takes it, with all their columns, whatever their names."""
+    every = sized(docs, id_col, text_col, source_col)
+    plan = planned(saved(every.drop("row")), weights, share, cap)
+    taken = plan.of(every).select("row", plan.copies().alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

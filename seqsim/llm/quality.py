@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from seqsim.llm.common import pieces, saved, texts
+from seqsim.sources.storage import BROADCAST_ROWS
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -30,13 +31,15 @@ BROADCAST_LINES = 100_000
 class Limits:
     """min_words, max_repeat_percent: the base rules. A line is common in a host if more than min_docs of its distinct
     documents and more than the share host_share of them hold it; a document is depleted if under left_share of its
-    words are in lines that are not common."""
+    words are in lines that are not common. distinct: "texts" counts documents with equal text once, "documents" every
+    row of docs."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_docs: int = 20
     host_share: float = 0.05
     left_share: float = 0.3
+    distinct: str = "texts"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -76,6 +79,11 @@ def host_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
+def text_key(column: Column) -> Column:
+    """A hash by which equal texts are one; null counts as empty."""
+    return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))
+
+
 def line_key(own: list[bytes]) -> int:
     """The hash of a normalised line, given its words."""
     return xxhash.xxh64_intdigest(b" ".join(own).lower()) - (1 << 63)
@@ -97,11 +105,17 @@ def judged(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id"
             own = [pa.array(x, k) for x, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *own], names)
 
-    rows = docs.select(F.col(id_col).alias("id"), host_of(F.col(host_col)).alias("host"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), host_of(F.col(host_col)).alias("host"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     each = saved(rows.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumn("uid", F.monotonically_increasing_id()))
-    hosts = each.groupBy("host").agg(F.count_distinct("text_key").alias("docs"))
-    freq = each.select("host", "text_key", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("text_key").alias("n"))
+    if limits.distinct == "texts":
+        number = F.count_distinct("text_key")
+    elif limits.distinct == "documents":
+        number = F.count(F.lit(1))  # a document's lines are distinct already
+    else:
+        raise ValueError(f"unknown distinct {limits.distinct!r}")
+    hosts = each.groupBy("host").agg(number.alias("docs"))
+    freq = each.select("host", "text_key", F.explode("lines").alias("line")).groupBy("host", "line").agg(number.alias("n"))
     common = saved(freq.where(F.col("n") > limits.min_docs).join(hosts, "host").where(F.col("n") > limits.host_share * F.col("docs")).select("host", "line"))
     if common.count() <= BROADCAST_LINES:
         common = F.broadcast(common)
@@ -134,11 +148,17 @@ def cleaned(text: pa.Array, common: pa.Array) -> pa.Array:
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that quality keeps, with all their columns, their text without lines common in their host."""
-    kept = judged(docs, limits, id_col, text_col, host_col).where("kept")
-    kept = saved(kept.select(F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("common").alias("_common")).dropDuplicates(["_id", "_host", "_key"]))
-    match = docs[id_col].eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text_col]) == kept["_key"]) & (host_of(docs[host_col]) == kept["_host"])
-    found = docs.join(kept, match)
-    # only the texts that change pass through Python
-    plain = found.where("_common is null").select(*docs.columns)
-    return plain.unionByName(found.where("_common is not null").withColumn(text_col, cleaned(text_col, "_common")).select(*docs.columns))
+    """The rows of docs that quality keeps, with all their columns, whatever their names; their text is without the
+    lines common in their host. Only what is rejected or changed is joined, and only texts that change pass through Python.
+    """
+    found = judged(docs, limits, id_col, text_col, host_col).where("not kept or common is not null")
+    special = saved(found.select(F.col(id_col).alias("id"), "host", F.col("text_key").alias("key"), "kept", "common").dropDuplicates(["id", "host", "key"]))
+    # their size is that of the lines they name
+    lines = special.agg(F.coalesce(F.sum(1 + F.greatest(F.size("common"), F.lit(0))), F.lit(0))).first()[0]
+    special = F.broadcast(special) if lines <= BROADCAST_ROWS else special
+    each = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), host_of(F.col(host_col)).alias("h"), text_key(F.col(text_col)).alias("k"))
+    match = F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("host")) & (F.col("k") == F.col("key"))
+    left = each.join(special, match, "left").where("coalesce(kept, true)")
+    old = F.col("row").getField(text_col)
+    new = F.when(F.col("common").isNull(), old).otherwise(cleaned(F.when(F.col("common").isNotNull(), old), F.col("common")))
+    return left.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")

@@ -17,7 +17,7 @@ import corpus_pipeline
 from seqsim.llm import byte_bpe, common, entries, exact_dedup, html_text, language, licenses, mixing, near_texts, quality, simhash, suffix_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, uid string, ids string, key string, fp string, size string, kept string, host string, n int, lines string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, uid string, ids string, key string, fp string, size string, kept string, host string, n int, lines string, _id string, _n int, _key string, row string, i int, k int, own string, stays string, common string, copies int, sha string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -37,7 +37,7 @@ def odd_texts():
 def odd_rows():
     out = []
     for i, t in enumerate(odd_texts()):
-        out.append((i, t, "en" if i % 3 else None, f"src{i % 3}" if i % 5 else None, None, 1, "u", "i", "k", "f", "s", "x", "h", 2, "l"))
+        out.append((i, t, "en" if i % 3 else None, f"src{i % 3}" if i % 5 else None, None, 1, "u", "i", "k", "f", "s", "x", "h", 2, "l", "_i", 3, "_k", "r", 4, 5, "o", "s", "c", 6, "sha"))
     out += [(None, "a null id", "en", "src1", *out[0][4:]), (7, "an id again, another text " * 9, None, None, *out[0][4:]), out[5], out[1]]
     return out
 
@@ -369,6 +369,14 @@ def test_near_texts_among_odd_ids(spark):
     assert ordered(got) == ordered([r for k, r in enumerate(rows) if root[k] == k])
 
 
+def test_near_texts_on_odd_rows(spark, odd):
+    rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    root = near_roots([r[1] for r in rows])
+    got = near_texts.keep_one(odd)
+    assert got.columns == odd.columns
+    assert ordered(tuple(r) for r in got.collect()) == ordered(r for k, r in enumerate(rows) if root[k] == k)
+
+
 @pytest.mark.parametrize("added", [15, 60, 200])
 def test_near_texts_with_passages_added(spark, added):
     rng = random.Random(31)
@@ -481,6 +489,10 @@ def test_exact_dedup(spark, odd, empty):
     kept = exact_dedup.keep_distinct(odd, entries.new_batch())
     assert kept.columns == odd.columns
     assert ordered((r.doc_id, r.text or "") for r in kept.collect()) == ordered((top[t], t) for t in groups)
+    same = [(3, "equal text", "b"), (3, "equal text", "a"), (2, "equal text", "c"), (None, "x", "d"), (None, "x", "c")]
+    for n in (1, 4):
+        df = spark.createDataFrame(same, "doc_id bigint, text string, source string").repartition(n)
+        assert ordered(tuple(r) for r in exact_dedup.keep_distinct(df, entries.new_batch()).collect()) == ordered([same[1], same[4]])
 
 
 def test_fuse_filters():
@@ -514,14 +526,15 @@ def verdicts(rows, limits):
     """base_failed, kept for rows (text, host)."""
     norm = lambda line: " ".join(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), line)))
     held, docs = defaultdict(set), defaultdict(set)
-    for t, h in rows:
-        docs[h].add(t)
+    for k, (t, h) in enumerate(rows):
+        who = t or "" if limits.distinct == "texts" else k
+        docs[h].add(who)
         for line in (t or "").split("\n"):
-            held[h, norm(line)].add(t)
+            held[h, norm(line)].add(who)
     out = []
     for t, h in rows:
         n, _, _, _, repeat = facts(t)
-        gone = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if len(held[h, norm(x)]) > limits.min_docs and len(held[h, norm(x)]) > limits.host_share * (len(docs[h]) - (None in docs[h])))
+        gone = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if len(held[h, norm(x)]) > limits.min_docs and len(held[h, norm(x)]) > limits.host_share * len(docs[h]))
         failed = n < limits.min_words or 100 * repeat > limits.max_repeat_percent * n
         out.append((failed, not failed and n - gone >= limits.left_share * n))
     return out
@@ -543,6 +556,9 @@ def test_quality(spark, odd, empty):
     assert good.columns == odd.columns
     kept = Counter(r.doc_id for r in quality.quality(odd).where("kept").collect())
     assert Counter(r.doc_id for r in good.collect()) == kept
+    documents = quality.Limits(min_docs=5, host_share=0.2, left_share=0.5, distinct="documents")
+    want = [(i, *v) for (i, _, _), v in zip(rows, verdicts([r[1:] for r in rows], documents), strict=True)]
+    assert ordered(tuple(r) for r in quality.quality(df.repartition(4), documents).select("doc_id", "base_failed", "kept").collect()) == ordered(want)
 
 
 def test_common_lines_leave_the_text(spark):
