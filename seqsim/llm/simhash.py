@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsim.llm.common import first_rows, pieces, saved, texts
+from seqsim.llm.common import discarded, first_rows, pieces, saved, texts
 
 SEED = 42
 #: Fingerprints in a table entry from which the whole balls take over.
@@ -111,7 +111,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m")
         tied = large.join(low, F.col("b") == F.col("u"))
         small = tied.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(tied.select(F.col("m").alias("a"), "b"))
-        edges = saved(small.where("a < b").distinct())
+        edges = saved(small.where("a < b").distinct(), instead_of=edges)
+        discarded(large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select("a").distinct()
@@ -135,7 +136,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of docs whose id is their component's, with all their columns; of rows that repeat an id, one."""
-    kept = near_groups(docs, id_col, text_col, width).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    found = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"])).drop("_id")
-    return first_rows(found, [id_col])
+    """The rows of docs whose id is their component's, with all their columns; of rows that repeat an id, the first by
+    all columns, as JSON."""
+    kept = near_groups(docs, id_col, text_col, width).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"))
+    return first_rows(rows.join(kept, F.col("i").eqNullSafe(F.col("id")), "left_semi"), ["i"]).select("row.*")

@@ -330,9 +330,7 @@ def shingles(text, width=5):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_near_texts(spark, small, monkeypatch):
-    monkeypatch.setattr(near_texts, "SMALL", small)
+def test_near_texts(spark):
     rng = random.Random(12)
     words = ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(900)]
     texts = [" ".join(rng.choices(words, k=220)) for _ in range(10)]
@@ -346,7 +344,7 @@ def test_near_texts(spark, small, monkeypatch):
     root = classes(texts, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.id: r.root for r in near_texts.near_classes(df).collect()}
-    assert got == dict(enumerate(root)) if small > 1 else len(set(got.values())) == len(set(root))
+    assert got == dict(enumerate(root))
     assert sorted(r.doc_id for r in near_texts.keep_one(df).collect()) == sorted(set(root))
     assert near_texts.keep_one(df.limit(0)).collect() == []
 
@@ -392,9 +390,7 @@ def test_near_texts_with_passages_added(spark, added):
     assert {r.id: r.root for r in near_texts.near_classes(df).collect()} == dict(enumerate(root))
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_near_texts_of_drifting_copies(spark, small, monkeypatch):
-    monkeypatch.setattr(near_texts, "SMALL", small)
+def test_near_texts_of_drifting_copies(spark):
     rng = random.Random(41)
     texts = []
     for g in range(3):
