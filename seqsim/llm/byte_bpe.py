@@ -33,7 +33,7 @@ QUOTE1, QUOTE2, GLUE, LAST = 5, 6, 7, 8
 #: States: start of a token; in letters, numbers, others, white space; after a joining blank; one or two letters to go.
 START, IN_L, IN_N, IN_O, IN_S, GLUED, TAIL1, TAIL2 = range(8)
 #: Distinct slices that a worker keeps merged before it starts anew, and the longest slice, in bytes, that merges side by side.
-CACHE_SLICES, CACHE_CHARS = 300_000, 64
+CACHE_SLICES, CACHE_CHARS = 100_000, 64
 
 
 @lru_cache(1)
@@ -42,12 +42,14 @@ def classes() -> np.ndarray:
     of the library whose tokens these are: one code point at a time matches a property or is left out."""
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.zeros(0x110000, np.uint8)
     for kind, property_ in PROPERTIES:
         bytewise = tiktoken.Encoding("classes", pat_str=property_, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        held = bytes(bytewise.encode_ordinary(every)).decode()
-        out[np.frombuffer(held.encode("utf-32-le"), np.uint32)] = kind
+        for at in range(0, 0x110000, 0x800):
+            if at != 0xD800:  # surrogates are no characters
+                block = np.arange(at, at + 0x800, dtype="<u4").tobytes().decode("utf-32-le")
+                held = bytes(bytewise.encode_ordinary(block)).decode()
+                out[np.frombuffer(held.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -309,7 +311,7 @@ def flat_tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Tokens that are decoded at a time; a text with more is decoded whole, by itself.
-CHUNK_TOKENS = 1 << 18
+CHUNK_TOKENS = 1 << 16
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", ends_col: str = "ends", out_col: str = "decoded") -> DataFrame:
@@ -330,8 +332,9 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", ends_col: str = "
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ids)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             data, stops = decoded(pick(ids[a:b]), pick(ends[a:b]), np.cumsum(count[a:b]), path)
-            raw, edges = data.tobytes(), [0, *stops.tolist()]
-            out += [raw[i:j] if ok else None for i, j, ok in zip(edges[:-1], edges[1:], ids[a:b].is_valid().to_pylist(), strict=True)]
-        return pa.array(out, pa.binary())
+            edges = pa.py_buffer(np.concatenate([[0], stops]).astype(np.int32))
+            whole = pa.Array.from_buffers(pa.binary(), b - a, [None, edges, pa.py_buffer(data)])
+            out.append(pc.if_else(ids[a:b].is_valid(), whole, pa.scalar(None, pa.binary())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return tokens.withColumn(out_col, run(F.col(ids_col), F.when(F.col(ids_col).isNotNull(), F.col(ends_col))))

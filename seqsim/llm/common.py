@@ -32,6 +32,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -37,8 +37,9 @@ def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
     held = POWERS.get((which, inverse), np.zeros(0, np.uint64))
     if len(held) <= n:
         base = pow(BASES[which], -1, 1 << 64) if inverse else BASES[which]
-        held = np.cumprod(np.append(np.uint64(1), np.full(max(n, 2 * SORT_BYTES), base, np.uint64)), dtype=np.uint64)
-        POWERS[which, inverse] = held
+        held = np.cumprod(np.append(np.uint64(1), np.full(max(n, 5 * SORT_BYTES // 4), base, np.uint64)), dtype=np.uint64)
+        if n <= 4 * SORT_BYTES:  # those for very long texts aren't kept
+            POWERS[which, inverse] = held
     return held
 
 
