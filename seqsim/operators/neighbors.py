@@ -2,8 +2,9 @@
 
 Sequences are reduced to distinct ones, each is exploded into its deletion variants, and variants meet in an equi-join
 on their 64-bit hash; what meets is verified on whole sequences, then made distinct. Pairs are between distinct
-sequences; members() and expanded() give them back to rows. Spark shuffles on the hashed variants, and adaptive
-execution splits variants that very many sequences share.
+sequences; expanded() gives them back to rows. Spark shuffles on the hashed variants. How many sequences up to PREFIX
+letters share a variant is bounded by the alphabet; longer ones with one head are counted, and where they are many, one
+side of the join is dealt into blocks and the other is copied to each, so that no key has all of their pairs.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
+from seqsim.sources.storage import saved
 
 Verify = Callable[[Column, Column], Column]
 
 
+#: Sequences with one head from which the join is dealt into blocks, each of about so many.
+CROWD = 5000
+
+
 class SequenceError(ValueError):
     pass
 
@@ -47,14 +53,31 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def variants(seqs: DataFrame, distance: int, measure: str | Verify, edits: int | None = None) -> DataFrame:
-    """(key, seq) of the distinct sequences: hashed deletion variants, or for Hamming masked ones with the length."""
-    useqs = spread(seqs.select("seq").where("seq is not null").distinct(), "seq")
+def distinct_seqs(seqs: DataFrame) -> DataFrame:
+    """(seq): distinct sequences, stored, as each is read several times."""
+    return saved(spread(seqs.select("seq").where("seq is not null").distinct(), "seq"))
+
+
+def blocks_for(useqs: DataFrame) -> int:
+    """Into how many blocks pairs of long sequences have to be dealt."""
+    heads = useqs.where(F.length("seq") > S.PREFIX).groupBy(F.substring("seq", 1, S.PREFIX)).agg(F.count(F.lit(1)).alias("n"))
+    return max(1, -(-(heads.agg(F.max("n")).first()[0] or 0) // CROWD))
+
+
+def variants(useqs: DataFrame, distance: int, measure: str | Verify, edits: int | None = None, blocks: int = 1, every_block: bool = False) -> DataFrame:
+    """(key, seq) of distinct sequences: hashed deletion variants, or for Hamming masked ones with the length. With
+    blocks, keys of long sequences are of one block, or of each."""
+    seq, most = F.col("seq"), edits or distance
     if measure == "hamming":
-        exploded = useqs.select("seq", F.explode(S.masked_variants(F.col("seq"), distance)).alias("variant"))
-        return exploded.select(F.xxhash64("variant", F.length("seq")).alias("key"), "seq")
-    exploded = useqs.select("seq", F.explode(S.deletion_variants(F.col("seq"), edits or distance)).alias("variant"))
-    return exploded.select(F.xxhash64("variant").alias("key"), "seq")
+        exploded = useqs.select("seq", F.explode(S.masked_variants(seq, distance)).alias("variant"), F.length("seq").alias("also"))
+    else:
+        exploded = useqs.select("seq", F.explode(S.deletion_variants(seq, most)).alias("variant"), F.lit(0).alias("also"))
+    if blocks > 1:
+        own = F.sequence(F.lit(0), F.lit(blocks - 1)) if every_block else F.array(F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int"))
+        # shorter ones never share a variant with long ones within the distance
+        exploded = exploded.withColumn("block", F.explode(F.when(F.length("seq") >= S.PREFIX - most, own).otherwise(F.array(F.lit(0)))))
+        return exploded.select(F.xxhash64("variant", "also", "block").alias("key"), "seq")
+    return exploded.select(F.xxhash64("variant", "also").alias("key"), "seq")
 
 
 def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "levenshtein", edits: int | None = None) -> DataFrame:
@@ -64,8 +87,11 @@ def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "lev
     candidates may be apart. Null sequences have no pairs.
     """
     verifier(distance, measure)  # wrong arguments fail here
-    keys = spread(variants(useqs, distance, measure, edits), "key")
-    a, b = keys.withColumnRenamed("seq", "seq_a"), keys.withColumnRenamed("seq", "seq_b")
+    held = distinct_seqs(useqs)
+    blocks = blocks_for(held)
+    keys = spread(variants(held, distance, measure, edits, blocks), "key")
+    other = spread(variants(held, distance, measure, edits, blocks, every_block=True), "key") if blocks > 1 else keys
+    a, b = keys.withColumnRenamed("seq", "seq_a"), other.withColumnRenamed("seq", "seq_b")
     met = a.join(b.hint("merge"), "key").where(F.col("seq_a") < F.col("seq_b"))
     if measure == "hamming":
         met = met.where(F.length("seq_a") == F.length("seq_b"))
@@ -112,6 +138,13 @@ def mirrored(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return pairs.select(x, y, *rest).unionByName(pairs.select(F.col(y).alias(x), F.col(x).alias(y), *rest))
 
 
+def renamed(pairs: DataFrame, names: DataFrame, old: str, new: str) -> DataFrame:
+    """Pairs (x, y, ...) whose ids, of the column `old` of names, are given back as those of `new`, x < y again."""
+    x, y = (names.select(F.col(old).alias(s), F.col(new).alias(f"new_{s}")) for s in "xy")
+    rest = [c for c in pairs.columns if c not in ("x", "y")]
+    return pairs.join(x, "x").join(y, "y").select(F.least("new_x", "new_y").alias("x"), F.greatest("new_x", "new_y").alias("y"), *rest)
+
+
 def neighbors_within(seqs: DataFrame, distance: int = 1, measure: str | Verify = "levenshtein", symmetric: bool = False, strategy: str = "deletions", edits: int | None = None) -> DataFrame:
     """(x, y, dist) of all rows (seq_id, seq) within `distance`, x < y unless symmetric; equal rows are at 0.
 
@@ -133,8 +166,10 @@ def neighbors_within(seqs: DataFrame, distance: int = 1, measure: str | Verify =
 
 def neighbors_between(queries: DataFrame, index: DataFrame, distance: int = 1, measure: str = "levenshtein") -> DataFrame:
     """(seq_q, seq_i, dist) of distinct sequences of two tables within `distance`, equal ones at 0."""
-    q = variants(queries, distance, measure).withColumnRenamed("seq", "seq_q")
-    i = variants(index, distance, measure).withColumnRenamed("seq", "seq_i")
+    held_q, held_i = distinct_seqs(queries), distinct_seqs(index)
+    blocks = max(blocks_for(held_q), blocks_for(held_i))
+    q = variants(held_q, distance, measure, blocks=blocks).withColumnRenamed("seq", "seq_q")
+    i = variants(held_i, distance, measure, blocks=blocks, every_block=True).withColumnRenamed("seq", "seq_i")
     return verified(q.join(i.hint("merge"), "key"), "seq_q", "seq_i", distance, measure).distinct()
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqsim.operators.neighbors import distinct_pairs
+from seqsim.operators.neighbors import distinct_pairs, mirrored
+
+#: Columns that a matrix may have.
+COLUMNS = 5000
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """(rep, seq, freq) from rows (rep, seq, freq): each sequence once in a repertoire, its counts summed."""
-    return rows.where("seq is not null").groupBy("rep", "seq").agg(F.sum(F.col("freq").cast("bigint")).alias("freq"))
+    """(rep, seq, freq) from rows (rep, seq, freq): each sequence once in a repertoire, its counts summed. Rows without a
+    repertoire belong to none and are left out."""
+    return rows.where("seq is not null and rep is not null").groupBy("rep", "seq").agg(F.sum(F.col("freq").cast("bigint")).alias("freq"))
 
 
 def by_pair(products: DataFrame) -> DataFrame:
@@ -26,12 +32,13 @@ def exact_products(held: DataFrame) -> DataFrame:
 
 
 def near_products(held: DataFrame, distance: int, measure: str) -> DataFrame:
-    """(r1, r2, freq) for each pair of different near sequences; within one repertoire both orders count."""
-    pairs = distinct_pairs(held, distance, measure)
-    a = held.select(F.col("seq").alias("seq_a"), F.col("rep").alias("r1"), F.col("freq").alias("f1"))
+    """(r1, r2, freq), r1 <= r2, for each sequence of r1: its count times the counts in r2 of the sequences near it, which
+    are summed before they meet the other side. Within one repertoire both orders count."""
+    pairs = mirrored(distinct_pairs(held, distance, measure).select("seq_a", "seq_b"), "seq_a", "seq_b")
     b = held.select(F.col("seq").alias("seq_b"), F.col("rep").alias("r2"), F.col("freq").alias("f2"))
-    twice = F.when(F.col("r1") == F.col("r2"), 2).otherwise(1)
-    return pairs.join(a, "seq_a").join(b, "seq_b").select("r1", "r2", (F.col("f1") * F.col("f2") * twice).alias("freq"))
+    near = pairs.join(b, "seq_b").groupBy("seq_a", "r2").agg(F.sum("f2").alias("f2"))
+    a = held.select(F.col("seq").alias("seq_a"), F.col("rep").alias("r1"), F.col("freq").alias("f1"))
+    return near.join(a, "seq_a").where("r1 <= r2").select("r1", "r2", (F.col("f1") * F.col("f2")).alias("freq"))
 
 
 def exact_overlap(rows: DataFrame) -> DataFrame:
@@ -51,9 +58,26 @@ def symmetric(cells: DataFrame) -> DataFrame:
     return cells.select("rep_x", "rep_y", "freq").unionByName(flipped)
 
 
-def matrix(cells: DataFrame) -> DataFrame:
-    """One row for each repertoire and one column for each other, 0 where cells are empty."""
-    return symmetric(cells).groupBy("rep_x").pivot("rep_y").agg(F.sum("freq")).na.fill(0)
+def dense(cells: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep_x, rep_y, freq) for every two repertoires of reps (rep), 0 where cells are empty: as many rows as it is
+    asked for, repertoires squared. Null is no repertoire."""
+    known = reps.select("rep").where("rep is not null").distinct()
+    x, y = known.withColumnRenamed("rep", "rep_x"), known.withColumnRenamed("rep", "rep_y")
+    every = x.join(y, F.lit(True))
+    return every.join(symmetric(cells), ["rep_x", "rep_y"], "left").select("rep_x", "rep_y", F.coalesce("freq", F.lit(0)).alias("freq"))
+
+
+def matrix(cells: DataFrame, reps: Sequence[str] | None = None) -> DataFrame:
+    """One row for each repertoire and one column for each other, 0 where cells are empty. reps: the repertoires in
+    order, empty ones too; without them, those of the cells, which are collected: a matrix has few columns."""
+    every = symmetric(cells)
+    if reps is None:
+        reps = sorted(r[0] for r in every.select("rep_x").distinct().limit(COLUMNS + 1).collect())
+    if len(reps) > COLUMNS:
+        raise ValueError(f"over {COLUMNS} repertoires; use dense()")
+    spark = cells.sparkSession
+    rows = spark.createDataFrame([(r,) for r in reps], cells.select(F.col("rep_x")).schema)
+    return rows.join(every, "rep_x", "left").groupBy("rep_x").pivot("rep_y", list(reps)).agg(F.sum("freq")).na.fill(0)
 
 
 def repertoire_rows(seqs: DataFrame, info: DataFrame) -> DataFrame:

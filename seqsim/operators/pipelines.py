@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
 from seqsim.functions.tcrdist import loop_score
-from seqsim.operators.neighbors import distinct_pairs, expanded, mirrored, spread
+from seqsim.operators.neighbors import CROWD, distinct_pairs, expanded, mirrored, spread
 
 
 def close_pairs(met: DataFrame, cutoff: float) -> DataFrame:
@@ -24,8 +24,12 @@ def lineage_candidates(rows: DataFrame, k: int, distance: int) -> DataFrame:
     mids = base.select(*group, "mid").distinct().select(*group, "mid", F.explode(left_out).alias("key"))
     a, b = mids.withColumnRenamed("mid", "mid_a"), mids.withColumnRenamed("mid", "mid_b")
     near = a.join(b, [*group, "key"]).where("mid_a <= mid_b").where(S.hamming(F.col("mid_a"), F.col("mid_b")) <= distance).select(*group, "mid_a", "mid_b").distinct()
-    one, two = (base.select(*group, F.col("mid").alias(f"mid_{s}"), F.col("id").alias(f"id_{s}"), F.col("seq").alias(f"seq_{s}")) for s in "ab")
-    met = near.join(one, [*group, "mid_a"]).join(two, [*group, "mid_b"]).where((F.col("mid_a") != F.col("mid_b")) | (F.col("id_a") < F.col("id_b")))
+    # rows of one window are dealt into blocks where they are many: one side by block, the other in each
+    most = base.groupBy(*group, "mid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = -(-most // CROWD) or 1
+    one = base.select(*group, F.col("mid").alias("mid_a"), F.col("id").alias("id_a"), F.col("seq").alias("seq_a"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    two = base.select(*group, F.col("mid").alias("mid_b"), F.col("id").alias("id_b"), F.col("seq").alias("seq_b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = near.join(one, [*group, "mid_a"]).join(two, [*group, "mid_b", "block"]).where((F.col("mid_a") != F.col("mid_b")) | (F.col("id_a") < F.col("id_b")))
     swap = F.col("id_a") > F.col("id_b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return met.select(pick("id_a", "id_b").alias("id_a"), pick("id_b", "id_a").alias("id_b"), pick("seq_a", "seq_b").alias("seq_a"), pick("seq_b", "seq_a").alias("seq_b"))
@@ -53,10 +57,8 @@ def recall(found: DataFrame, every: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b)).select("found", "every", (F.col("found") / F.col("every")).alias("recall"))
 
 
-def scored(pairs: DataFrame, rows: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
-    """Pairs (x, y) of rows (seq_id, seq, gene) with `tcrdist`, up to `most`; genes: (gene_a, gene_b, dist), else 0."""
-    a, b = (rows.select(F.col("seq_id").alias(s), F.col("seq").alias(f"seq_{s}"), F.col("gene").alias(f"gene_{s}")) for s in "xy")
-    both = spread(pairs.select("x", "y"), "x", "y").join(a, "x").join(b, "y")
+def with_score(both: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
+    """(x, y, tcrdist), up to `most`, from rows with seq_x, gene_x, seq_y and gene_y; genes: (gene_a, gene_b, dist), 0 for others."""
     extra: Column = F.lit(0)
     if genes is not None:
         both = both.join(genes.select(F.col("gene_a").alias("gene_x"), F.col("gene_b").alias("gene_y"), F.col("dist").alias("extra")), ["gene_x", "gene_y"], "left")
@@ -64,6 +66,12 @@ def scored(pairs: DataFrame, rows: DataFrame, genes: DataFrame | None, most: int
     return both.select("x", "y", (loop_score(F.col("seq_x"), F.col("seq_y")) + extra).alias("tcrdist")).where(F.col("tcrdist") <= most)
 
 
+def scored(pairs: DataFrame, rows: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
+    """Pairs (x, y) of rows (seq_id, seq, gene) with `tcrdist`, up to `most`; genes: (gene_a, gene_b, dist), else 0."""
+    a, b = (rows.select(F.col("seq_id").alias(s), F.col("seq").alias(f"seq_{s}"), F.col("gene").alias(f"gene_{s}")) for s in "xy")
+    return with_score(spread(pairs.select("x", "y"), "x", "y").join(a, "x").join(b, "y"), genes, most)
+
+
 def tcrdist_neighbors(rows: DataFrame, edits: int = 2, most: int = 51, genes: DataFrame | None = None) -> DataFrame:
     """(x, y, tcrdist), both orders, of rows (seq_id, seq, gene) at up to `edits` edits and a TCR distance up to `most`."""
     near = expanded(distinct_pairs(rows, edits), rows)
@@ -77,3 +85,13 @@ def tcrdist_exhaustive(rows: DataFrame, most: int = 51, genes: DataFrame | None
     a = dealt.select(F.col("seq_id").alias("x"), F.col("block").alias("i"), F.explode(every).alias("j"))
     b = dealt.select(F.col("seq_id").alias("y"), F.explode(every).alias("i"), F.col("block").alias("j"))
     return mirrored(scored(a.join(b, ["i", "j"]).where("x < y").select("x", "y"), rows, genes, most))
+
+
+def tcrdist_of(queries: DataFrame, rows: DataFrame, most: int = 51, genes: DataFrame | None = None, blocks: int = 64) -> DataFrame:
+    """(x, y, tcrdist) of each query and each other row up to `most`, without a filter: every block of rows meets all
+    queries, which should be few, as the work is their number times that of the rows."""
+    base = rows.select("seq_id", "seq", "gene")
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int"))
+    asked = queries.select(F.col("seq_id").alias("x"), F.col("seq").alias("seq_x"), F.col("gene").alias("gene_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    held = spread(dealt.select(F.col("seq_id").alias("y"), F.col("seq").alias("seq_y"), F.col("gene").alias("gene_y"), "block"), "block")
+    return with_score(asked.join(held.hint("merge"), "block").where("x != y"), genes, most)

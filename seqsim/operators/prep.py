@@ -88,6 +88,22 @@ def shuffled(df: DataFrame, ids: Sequence[str], seed: int = 0) -> DataFrame:
     return df.orderBy(shuffle_key(ids, seed), *ids)
 
 
+def permuted(df: DataFrame, code: str, seed: int = 0) -> DataFrame:
+    """(code, permuted) for dense codes from 0: another order of the same numbers, the same for one seed."""
+    order = df.select(F.col(code).cast("string").alias("seq"), shuffle_key([code], seed).alias("at"))
+    return factorized(order, "seq", "at").select(F.col("seq").cast("bigint").alias(code), F.col("code").alias("permuted"))
+
+
+def row_slice(df: DataFrame, start: int, stop: int, row: str = "row") -> DataFrame:
+    """Rows numbered from `start` to stop - 1."""
+    return df.where((F.col(row) >= start) & (F.col(row) < stop))
+
+
+def receptor_form(df: DataFrame, seq: str = "CDR3B", gene: str = "TRBV", count: str | None = None) -> DataFrame:
+    """(cdr3_b_aa, v_b_gene, count): the columns of the TCR distance's usual input; without counts each row counts 1."""
+    return df.select(F.col(seq).alias("cdr3_b_aa"), F.col(gene).alias("v_b_gene"), (F.lit(1) if count is None else F.col(count)).cast("bigint").alias("count"))
+
+
 def sample_repertoires(rows: DataFrame, info: DataFrame, n: int, without: Sequence[str] = (), seed: int = 0, most: int | None = None) -> DataFrame:
     """Rows (rep, ...) of n repertoires of info (rep, ...), other than those named, and `most` rows of each at most."""
     chosen = sample(info.where(~F.col("rep").isin(list(without))).select("rep").distinct(), ["rep"], n, seed)

@@ -1,8 +1,9 @@
 """Queries over the driver's tables, and the SQL that DuckDB runs for each.
 
-The tables hold no receptor sequences. Those used here are the words of all documents, upper-cased, that consist of
-amino-acid letters and are at least nine letters long, as CDR3 loops are: occurrences (seq_id, seq, rep, freq), where
-seq_id is the document's id times a million plus the word's place, rep the document's source and freq 1 + doc_id % 3.
+The tables hold no receptor sequences. Those used here are all words of all documents, upper-cased, that consist of
+amino-acid letters: occurrences (seq_id, seq, rep, freq, lang), where seq_id is the document's id times a million plus
+the word's place, rep the document's source, freq 1 + doc_id % 3 and lang its language. Long sequences are four such
+words in a row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
+from seqsim.functions import tcrdist
 from seqsim.operators import neighbors as N
 from seqsim.operators import overlap as O
 from seqsim.operators import pipelines as L
@@ -23,14 +25,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEAST = 9
 
 WORDS_SQL = f"""words AS (
-  SELECT doc_id, source AS rep, (1 + doc_id % 3)::BIGINT AS freq, unnest(w) AS seq, unnest(range(len(w))) AS place
-  FROM (SELECT doc_id, source, string_split_regex(translate(text, '{LOWER}', '{UPPER}'), '[^A-Z]+') AS w FROM documents)
+  SELECT doc_id, source AS rep, lang, (1 + doc_id % 3)::BIGINT AS freq, unnest(w) AS seq, unnest(range(len(w))) AS place
+  FROM (SELECT doc_id, source, lang, string_split_regex(translate(text, '{LOWER}', '{UPPER}'), '[^A-Z]+') AS w FROM documents)
 )"""
 SEQS_SQL = f"""{WORDS_SQL}, seqs AS (
-  SELECT doc_id * 1000000 + place AS seq_id, seq, rep, freq FROM words WHERE regexp_full_match(seq, '[{S.ALPHABET}]{{{LEAST},}}')
+  SELECT doc_id * 1000000 + place AS seq_id, seq, rep, freq, lang FROM words WHERE regexp_full_match(seq, '[{S.ALPHABET}]+')
 ), useqs AS (SELECT DISTINCT seq FROM seqs)"""
 PROFILE_SQL = f"{SEQS_SQL}, profile AS (SELECT rep, seq, sum(freq)::BIGINT AS freq FROM seqs GROUP BY 1, 2)"
 #: Distances in SQL, each null or false for what is too far.
@@ -55,15 +56,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a file with fewer pieces than there are cores is dealt out first, as its texts are much work."""
+    docs, cores = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     split = F.split(F.translate("text", LOWER, UPPER), "[^A-Z]+")
-    return docs.select("doc_id", F.col("source").alias("rep"), (F.col("doc_id") % 3 + 1).alias("freq"), F.posexplode(split).alias("place", "seq"))
+    return docs.select("doc_id", F.col("source").alias("rep"), "lang", (F.col("doc_id") % 3 + 1).alias("freq"), F.posexplode(split).alias("place", "seq"))
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = P.valid_rows(words(spark, sf_dir), least=LEAST)
-    return found.select((F.col("doc_id") * 1_000_000 + F.col("place")).alias("seq_id"), "seq", "rep", "freq")
+    found = P.valid_rows(words(spark, sf_dir))
+    return found.select((F.col("doc_id") * 1_000_000 + F.col("place")).alias("seq_id"), "seq", "rep", "freq", "lang")
+
+
+def clonotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, seq, rep): each sequence once in each repertoire, by its first occurrence there."""
+    return seqs(spark, sf_dir).groupBy("rep", "seq").agg(F.min("seq_id").alias("seq_id"))
 
 
 def pair_query(name: str, distance: int, measure: str, find: Callable[[DataFrame], DataFrame]) -> None:
@@ -97,23 +109,68 @@ def nn_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_id", "seq").join(named, "seq").select("seq_id", "seq", "n_links", "n_equal")
 
 
-@register("nn_between_sources", f"WITH {SEQS_SQL}, q AS (SELECT DISTINCT seq FROM seqs WHERE rep = 'src1'), i AS (SELECT DISTINCT seq FROM seqs WHERE rep = 'src2') SELECT a.seq AS seq_q, b.seq AS seq_i, levenshtein(a.seq, b.seq)::BIGINT AS dist FROM q a JOIN i b ON {NEAR_SQL['levenshtein'].format(d=1)}")
+@register("nn_between_sources", f"WITH {SEQS_SQL}, q AS (SELECT DISTINCT seq FROM seqs WHERE lang = 'en'), i AS (SELECT DISTINCT seq FROM seqs WHERE lang IS DISTINCT FROM 'en') SELECT a.seq AS seq_q, b.seq AS seq_i, levenshtein(a.seq, b.seq)::BIGINT AS dist FROM q a JOIN i b ON {NEAR_SQL['levenshtein'].format(d=1)}")
 def nn_between_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of English documents against those of all others."""
     rows = seqs(spark, sf_dir)
-    return N.neighbors_between(rows.where("rep = 'src1'"), rows.where("rep = 'src2'"), 1).withColumn("dist", F.col("dist").cast("bigint"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return N.neighbors_between(rows.where(english), rows.where(~english), 1).withColumn("dist", F.col("dist").cast("bigint"))
+
+
+ROW_PAIRS_SQL = f"""WITH {SEQS_SQL}, rows AS (SELECT rep, seq, min(seq_id) AS seq_id FROM seqs GROUP BY 1, 2), p AS (
+  SELECT a.seq AS s, b.seq AS t, levenshtein(a.seq, b.seq) AS dist FROM useqs a JOIN useqs b ON {NEAR_SQL['levenshtein'].format(d=1)}
+) SELECT a.seq_id AS x, b.seq_id AS y, dist::BIGINT AS dist FROM p JOIN rows a ON a.seq = s JOIN rows b ON b.seq = t WHERE a.seq_id < b.seq_id"""
+
+
+@register("nn_rows_d1", ROW_PAIRS_SQL)
+def nn_rows_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows by id, sequences of several repertoires included, equal ones at 0."""
+    return N.neighbors_within(clonotypes(spark, sf_dir), 1).withColumn("dist", F.col("dist").cast("bigint"))
+
+
+def long_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq) of 24 letters or more: every four words in a row that are sequences, joined."""
+    split = F.split(F.translate("text", LOWER, UPPER), "[^A-Z]+")
+    held = documents(spark, sf_dir).select(F.filter(split, lambda w: S.is_valid(w)).alias("w"))
+    four = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.concat(*(F.element_at("w", i + k) for k in range(4))))
+    return P.valid_rows(held.where("size(w) >= 4").select(F.explode(four).alias("seq")), least=24)
+
+
+LONG_SQL = f"""long AS (SELECT DISTINCT w[i] || w[i + 1] || w[i + 2] || w[i + 3] AS seq FROM (
+  SELECT [x for x in string_split_regex(translate(text, '{LOWER}', '{UPPER}'), '[^A-Z]+') if regexp_full_match(x, '[{S.ALPHABET}]+')] AS w FROM documents
+), unnest(range(1, len(w) - 2)) AS r(i) WHERE length(w[i] || w[i + 1] || w[i + 2] || w[i + 3]) >= 24)"""
+
+
+@register("nn_prefix_long", f"WITH {LONG_SQL}, met AS (SELECT a.seq AS s, b.seq AS t FROM long a JOIN long b ON left(a.seq, 12) = left(b.seq, 12) AND a.seq < b.seq UNION SELECT a.seq, b.seq FROM long a JOIN long b ON right(a.seq, 12) = right(b.seq, 12) AND a.seq < b.seq) SELECT s AS seq_a, t AS seq_b, levenshtein(s, t)::BIGINT AS dist FROM met WHERE levenshtein(s, t) <= 1")
+def nn_prefix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences beyond the 18 letters that keys are taken from."""
+    return N.distinct_pairs(long_seqs(spark, sf_dir), 1).withColumn("dist", F.col("dist").cast("bigint"))
+
+
+_COUNTS_SQL = f"WITH {SEQS_SQL}, p AS (SELECT count(*) AS n FROM useqs a JOIN useqs b ON a.seq < b.seq AND {NEAR_SQL['levenshtein'].format(d=1)}) SELECT n AS n_one, n AS n_other, n AS n_both FROM p"
 
 
-@register("nn_permutation_invariance", "SELECT NULL::VARCHAR AS seq_a, NULL::VARCHAR AS seq_b, NULL::INTEGER AS dist, NULL::VARCHAR AS side WHERE false")
+def agreement(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(n_one, n_other, n_both): rows of each frame, and distinct rows that both have."""
+    kinds = one.withColumn("side", F.lit(1)).unionByName(other.withColumn("side", F.lit(2)))
+    rows = kinds.groupBy(*one.columns).agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b"))
+    return rows.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_one"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_other"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("n_both"))
+
+
+@register("nn_permutation_invariance", _COUNTS_SQL)
 def nn_permutation_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search on the rows and on the shuffled rows: no difference."""
-    rows = seqs(spark, sf_dir)
-    return T.differences(N.distinct_pairs(rows, 1), N.distinct_pairs(P.shuffled(rows, ["seq_id"], 7), 1))
+    """The search by ids, and by other ids that are then named back."""
+    rows = P.factorized(seqs(spark, sf_dir)).select(F.col("code").alias("seq_id"), "seq")
+    names = P.permuted(rows, "seq_id", 7)
+    plain = N.neighbors_within(rows, 1)
+    other = N.renamed(N.neighbors_within(rows.join(names, "seq_id").select(F.col("permuted").alias("seq_id"), "seq"), 1), names, "permuted", "seq_id")
+    return agreement(plain, other)
 
 
-@register("nn_strategies_agree", "SELECT NULL::VARCHAR AS seq_a, NULL::VARCHAR AS seq_b, NULL::INTEGER AS dist, NULL::VARCHAR AS side WHERE false")
+@register("nn_strategies_agree", _COUNTS_SQL)
 def nn_strategies_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seqs(spark, sf_dir)
-    return T.differences(N.distinct_pairs(rows, 1), N.looked_up_pairs(rows))
+    return agreement(N.distinct_pairs(rows, 1), N.looked_up_pairs(rows))
 
 
 def overlap_sql(distance: int, measure: str) -> str:
@@ -139,13 +196,14 @@ def overlap_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.symmetric(O.repertoire_overlap(seqs(spark, sf_dir), 1))
 
 
-_REPS = [f"src{i}" for i in range(20)]
+_CELLS_SQL = overlap_sql(1, "hamming").replace("WHERE r.rep <= q.rep ", "")
 
 
-@register("overlap_matrix", f"SELECT rep_x, {', '.join(f'coalesce(sum(freq) FILTER (rep_y = {chr(39)}{r}{chr(39)}), 0)::BIGINT AS {r}' for r in _REPS)} FROM ({overlap_sql(1, 'hamming').replace('WHERE r.rep <= q.rep ', '')}) GROUP BY rep_x")
+@register("overlap_matrix", f"WITH cells AS ({_CELLS_SQL}), reps AS (SELECT DISTINCT source AS rep FROM documents WHERE source IS NOT NULL) SELECT a.rep AS rep_x, b.rep AS rep_y, coalesce(freq, 0)::BIGINT AS freq FROM reps a CROSS JOIN reps b LEFT JOIN cells ON rep_x = a.rep AND rep_y = b.rep")
 def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = O.symmetric(O.repertoire_overlap(seqs(spark, sf_dir), 1, "hamming"))
-    return cells.groupBy("rep_x").pivot("rep_y", _REPS).agg(F.sum("freq")).na.fill(0)
+    """Every cell of every two repertoires, empty ones too."""
+    reps = read(spark, sf_dir, "documents").select(F.col("source").alias("rep"))
+    return O.dense(O.repertoire_overlap(seqs(spark, sf_dir), 1, "hamming"), reps)
 
 
 _DELETIONS = "[substr(left(seq, 18), 1, i - 1) || substr(left(seq, 18), i + 1) for i in range(1, least(length(seq), 18) + 1)]"
@@ -213,7 +271,7 @@ def factorize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dedup_keep_first", f"WITH {SEQS_SQL} SELECT seq, rep, freq, seq_id FROM seqs QUALIFY row_number() OVER (PARTITION BY rep, seq ORDER BY seq_id) = 1")
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.first_of(seqs(spark, sf_dir), ["rep", "seq"], ["seq_id"])
+    return P.first_of(seqs(spark, sf_dir).drop("lang"), ["rep", "seq"], ["seq_id"])
 
 
 @register("quantile_length_filter", f"WITH {WORDS_SQL}, w AS (SELECT doc_id * 1000000 + place AS seq_id, seq, length(seq) AS len FROM words WHERE seq <> ''), q AS (SELECT quantile_cont(len, 0.001) AS lo, quantile_cont(len, 0.999) AS hi FROM w) SELECT len::BIGINT AS len, count(*) AS n FROM w, q WHERE len > lo AND len < hi GROUP BY len")
@@ -224,14 +282,13 @@ def quantile_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Antibody-like rows: v and j from the document's source and language, seq from its words."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    rows = seqs(spark, sf_dir).withColumn("doc_id", F.floor(F.col("seq_id") / 1_000_000))
-    return P.first_of(rows.join(docs, "doc_id").select(F.col("seq_id").alias("id"), F.col("rep").alias("v"), F.col("lang").alias("j"), "seq"), ["v", "j", "seq"], ["id"])
+    rows = seqs(spark, sf_dir).select(F.col("seq_id").alias("id"), F.col("rep").alias("v"), F.col("lang").alias("j"), "seq")
+    return rows.groupBy("v", "j", "seq").agg(F.min("id").alias("id"))
 
 
-LINEAGE_SQL = f"{SEQS_SQL}, rows AS (SELECT seq_id AS id, rep AS v, lang AS j, seq, length(seq) AS len FROM seqs JOIN documents ON doc_id = seq_id // 1000000 QUALIFY row_number() OVER (PARTITION BY rep, lang, seq ORDER BY seq_id) = 1)"
+LINEAGE_SQL = f"{SEQS_SQL}, rows AS (SELECT min(seq_id) AS id, rep AS v, lang AS j, seq, length(seq) AS len FROM seqs GROUP BY rep, lang, seq)"
 _EVERY = "SELECT a.id AS id_a, b.id AS id_b, hamming(a.seq, b.seq)::BIGINT AS dist, a.len::BIGINT AS len FROM rows a JOIN rows b ON a.v = b.v AND a.j = b.j AND a.len = b.len AND a.id < b.id WHERE CASE WHEN a.len = b.len THEN hamming(a.seq, b.seq) < 0.15 * a.len ELSE false END"
-_MIDDLE = "hamming(substr(a.seq, (a.len // 2 - 3 + 1)::INT, 6), substr(b.seq, (b.len // 2 - 3 + 1)::INT, 6)) <= 1"
+_MIDDLE = "hamming(substr(a.seq, greatest(a.len // 2 - 3, 0)::INT + 1, 6), substr(b.seq, greatest(b.len // 2 - 3, 0)::INT + 1, 6)) <= 1"
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -259,7 +316,7 @@ def vjl_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.frequent_groups(lineage_rows(spark, sf_dir).withColumn("len", F.length("seq").cast("bigint")), ["v", "j", "len"], 5)
 
 
-@register("kmer_window", f"WITH {SEQS_SQL} SELECT seq, substr(seq, (length(seq) // 2 - 3 + 1)::INT, 6) AS mid FROM useqs")
+@register("kmer_window", f"WITH {SEQS_SQL} SELECT seq, substr(seq, greatest(length(seq) // 2 - 3, 0)::INT + 1, 6) AS mid FROM useqs")
 def kmer_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs(spark, sf_dir).select("seq").distinct().select("seq", S.middle_window(F.col("seq"), 6).alias("mid"))
 
@@ -269,15 +326,63 @@ def threshold_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tallies(N.distinct_pairs(seqs(spark, sf_dir), 2), "dist", (0, 1, 2)).withColumn("threshold", F.col("threshold").cast("bigint"))
 
 
-@register("tcrdist_neighbors")
+def receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receptor rows (seq_id, seq, gene): distinct sequences of over five letters, gene from the first one's source."""
+    gene = F.concat(F.lit("TRBV"), F.substring("rep", 4, 3), F.lit("*01"))
+    return P.first_of(P.valid_rows(seqs(spark, sf_dir), least=6), ["seq"], ["seq_id"]).select("seq_id", "seq", gene.alias("gene"))
+
+
+def gene_distances(rows: DataFrame) -> DataFrame:
+    """(gene_a, gene_b, dist) of the genes of rows: three for each edit between their names, where a user has a table."""
+    genes = rows.select("gene").where("gene is not null").distinct()
+    a, b = genes.withColumnRenamed("gene", "gene_a"), genes.withColumnRenamed("gene", "gene_b")
+    return a.join(b, F.col("gene_a") != F.col("gene_b")).select("gene_a", "gene_b", (3 * F.levenshtein("gene_a", "gene_b")).alias("dist"))
+
+
+_COSTS = ", ".join(f"'{pair}': {cost}" for pair, cost in sorted(tcrdist.costs().items()))
+#: The least cost over all places of the gap, of loops s and t without ends, s not longer than t.
+RECEPTORS_SQL = f"""{SEQS_SQL}, rows AS (
+  SELECT seq_id, seq, 'TRBV' || substr(rep, 4, 3) || '*01' AS gene FROM seqs WHERE length(seq) >= 6 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY seq_id) = 1
+)"""
+SCORED_SQL = f"""cut AS (
+  SELECT x, y, ga, gb, CASE WHEN length(a) <= length(b) THEN substr(a, 4, length(a) - 5) ELSE substr(b, 4, length(b) - 5) END AS s,
+         CASE WHEN length(a) <= length(b) THEN substr(b, 4, length(b) - 5) ELSE substr(a, 4, length(a) - 5) END AS t FROM met
+), scores AS (
+  SELECT x, y, ga, gb, 3 * (4 * (length(t) - length(s)) + list_min([list_sum([CASE WHEN s[k] = t[k + CASE WHEN k > g THEN length(t) - length(s) ELSE 0 END] THEN 0
+    ELSE coalesce(MAP {{{_COSTS}}}[s[k] || t[k + CASE WHEN k > g THEN length(t) - length(s) ELSE 0 END]], 4) END for k in range(1, length(s) + 1)])
+    for g in range(0, length(s) + 1)])) AS loops FROM cut
+)"""
+_NEAR_RECEPTORS = f"met AS (SELECT a.seq_id AS x, b.seq_id AS y, a.seq AS a, b.seq AS b, a.gene AS ga, b.gene AS gb FROM rows a JOIN rows b ON a.seq_id <> b.seq_id AND {NEAR_SQL['levenshtein'].format(d=2)})"
+
+
+@register("tcrdist_neighbors", f"WITH {RECEPTORS_SQL}, {_NEAR_RECEPTORS}, {SCORED_SQL} SELECT x, y, loops::BIGINT AS tcrdist FROM scores WHERE loops <= 51")
 def tcrdist_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.first_of(seqs(spark, sf_dir), ["seq"], ["seq_id"]).select("seq_id", "seq", F.concat(F.lit("TRBV"), F.substring("rep", 4, 3), F.lit("*01")).alias("gene"))
-    return L.tcrdist_neighbors(rows, edits=2)
+    return L.tcrdist_neighbors(receptors(spark, sf_dir), edits=2).withColumn("tcrdist", F.col("tcrdist").cast("bigint"))
+
 
+@register("tcrdist_genes", f"WITH {RECEPTORS_SQL}, {_NEAR_RECEPTORS}, {SCORED_SQL} SELECT x, y, (loops + coalesce(3 * levenshtein(ga, gb), 0))::BIGINT AS tcrdist FROM scores WHERE loops + coalesce(3 * levenshtein(ga, gb), 0) <= 51")
+def tcrdist_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops and genes."""
+    rows = receptors(spark, sf_dir)
+    return L.tcrdist_neighbors(rows, edits=2, genes=gene_distances(rows)).withColumn("tcrdist", F.col("tcrdist").cast("bigint"))
 
-@register("hist_equal_width", "SELECT (o_orderkey * 64) // 15000 AS bin, count(*) AS n FROM orders WHERE o_orderkey >= 0 AND o_orderkey < 15000 GROUP BY 1")
+
+@register("tcrdist_recall")
+def tcrdist_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the neighbours at 24 or less, of each row whose id is divisible by 50, the filter of 2 edits finds."""
+    rows = receptors(spark, sf_dir)
+    asked = rows.where("seq_id % 50 = 0")
+    found = L.tcrdist_neighbors(rows, 2, 24).join(asked.select(F.col("seq_id").alias("x")), "x", "left_semi")
+    return L.recall(found, L.tcrdist_of(asked, rows, 24))
+
+
+@register("hist_equal_width", "SELECT o_orderkey // 1000 AS bin, count(*) AS n FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1")
 def hist_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.histogram(read(spark, sf_dir, "orders"), "o_orderkey", 0, 15_000, 64)
+    """All orders in bins of a thousand keys; the range is the data's."""
+    orders = read(spark, sf_dir, "orders")
+    lo, hi = (x // 1000 for x in orders.agg(F.coalesce(F.min("o_orderkey"), F.lit(0)), F.coalesce(F.max("o_orderkey"), F.lit(0))).first())
+    hist = T.histogram(orders, "o_orderkey", lo * 1000, (hi + 1) * 1000, hi + 1 - lo)
+    return hist.withColumn("bin", F.col("bin") + lo)
 
 
 @register("hist_whole_range", "WITH r AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders) SELECT ((o_orderkey - lo) * 64) // (hi - lo + 1) AS bin, count(*) AS n FROM orders, r WHERE o_orderkey IS NOT NULL GROUP BY 1")
@@ -357,7 +462,8 @@ def per_group_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sample_repertoires(held, P.repertoire_sizes(held), 8, ["src0"], seed=1, most=50)
 
 
-@register("result_set_diff", f"WITH {SEQS_SQL}, a AS (SELECT rep, seq FROM seqs WHERE freq = 1), b AS (SELECT rep, seq FROM seqs WHERE freq = 2) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+@register("result_set_diff", f"WITH {SEQS_SQL}, a AS (SELECT rep, seq FROM seqs WHERE lang = 'en'), b AS (SELECT rep, seq FROM seqs WHERE lang IS DISTINCT FROM 'en') SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def result_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seqs(spark, sf_dir)
-    return T.differences(rows.where("freq = 1").select("rep", "seq"), rows.where("freq = 2").select("rep", "seq"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return T.differences(rows.where(english).select("rep", "seq"), rows.where(~english).select("rep", "seq"))

@@ -1,3 +1,4 @@
+import random
 import gzip
 import statistics
 import zipfile
@@ -88,16 +89,26 @@ def test_lineages(spark):
 
 
 def test_tcrdist(spark):
-    cost = D.costs()
-    assert D.loop_distance("CASSLGF", "CASSLGF", cost) == 0
-    assert D.loop_distance("CASSIQYF", "CASSLQYF", cost) == 2  # I and L score 2
-    assert D.loop_distance("CASSAQYF", "CASSWQYF", cost) == 4
-    assert D.loop_distance("CASSLQYF", "CASSLLQYF", cost) == 4  # one gap
+    pairs = [("CASSLGF", "CASSLGF", 0), ("CASSIQYF", "CASSLQYF", 2), ("CASSAQYF", "CASSWQYF", 4), ("CASSLQYF", "CASSLLQYF", 4)]  # I and L score 2; one gap
+    assert D.loop_distances(*([p[k].encode() for p in pairs] for k in (0, 1))).tolist() == [p[2] for p in pairs]
+    rng, letters = random.Random(3), "ACDEFGHIKLMNPQRSTVWY"
+    some = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(60)]
+
+    def plain(a, b):
+        a, b = sorted((a[3:-2], b[3:-2]), key=len)
+        cost, extra = D.costs(), len(b) - len(a)
+        each = [sum(0 if x == y else cost.get(x + y, 4) for x, y in zip(a, b[:g] + b[g + extra :], strict=True)) for g in range(len(a) + 1)]
+        return min(each) + 4 * extra
+
+    every = [(a, b) for a in some for b in some]
+    assert D.loop_distances(*([p[k].encode() for p in every] for k in (0, 1))).tolist() == [plain(a, b) for a, b in every]
+    assert D.loop_distances([], []).tolist() == []
     rows = spark.createDataFrame([(0, "CASSIQYF", "TRBV1*01"), (1, "CASSLQYF", "TRBV2*01"), (2, "CASSWWWYF", "TRBV1*01")], "seq_id int, seq string, gene string")
     genes = spark.createDataFrame([("TRBV1*01", "TRBV2*01", 5)], "gene_a string, gene_b string, dist int")
     assert values(L.tcrdist_neighbors(rows, 1, 51)) == [(0, 1, 6), (1, 0, 6)]
     assert values(L.tcrdist_neighbors(rows, 1, 51, genes)) == [(0, 1, 11), (1, 0, 11)]
     assert set(values(L.tcrdist_neighbors(rows, 1, 51))) <= set(values(L.tcrdist_exhaustive(rows, 51)))
+    assert values(L.tcrdist_of(rows.where("seq_id = 1"), rows, 51)) == [r for r in values(L.tcrdist_exhaustive(rows, 51)) if r[0] == 1]
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -164,3 +175,12 @@ def test_stream(spark, tmp_path):
         query.awaitTermination(120)
         got = spark.read.parquet(str(tmp_path / "out")).select("seq_q", "seq_i", "dist").collect()
         assert {tuple(r) for r in got} == want
+
+
+def test_forms_and_slices(spark):
+    df = spark.createDataFrame([(i, f"CASS{'L' * i}F", "TRBV1*01") for i in range(6)], "row int, CDR3B string, TRBV string")
+    assert sorted(r.row for r in P.row_slice(df, 2, 5).collect()) == [2, 3, 4]
+    form = P.receptor_form(df)
+    assert form.columns == ["cdr3_b_aa", "v_b_gene", "count"] and {r["count"] for r in form.collect()} == {1}
+    names = sorted(tuple(r) for r in P.permuted(df.select(F.col("row").alias("code")), "code", 3).collect())
+    assert [a for a, _ in names] == list(range(6)) == sorted(b for _, b in names) and names != [(i, i) for i in range(6)]

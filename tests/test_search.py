@@ -154,3 +154,24 @@ def test_group_sizes_and_difference(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (3,)], "x int")
     assert sorted(tuple(r) for r in T.differences(a, b).collect()) == [(1, "left"), (2, "left"), (3, "right")]
+
+
+@pytest.mark.parametrize("measure", ["levenshtein", "hamming"])
+def test_crowded_heads_are_dealt_into_blocks(spark, measure, monkeypatch):
+    rng, letters = random.Random(5), "ACDEFGHIKLMNPQRSTVWY"
+    head = "ACDEFGHIKLMNPQRSTV"
+    some = {head + "".join(rng.choices("AC", k=rng.randint(0, 6))) for _ in range(90)} | {head[:17], head[:16], head[1:] + "A"} | {"".join(rng.choices(letters, k=3)) for _ in range(40)}
+    df = spark.createDataFrame([(s,) for s in sorted(some)], "seq string")
+    for d in (1, 2):
+        plain = sorted(tuple(r) for r in N.exhaustive_pairs(df, d, measure).collect())
+        between = sorted(tuple(r) for r in N.neighbors_between(df, df, d, measure).collect())
+        with monkeypatch.context() as m:
+            m.setattr(N, "CROWD", 10)
+            held = N.distinct_seqs(df)
+            blocks = N.blocks_for(held)
+            assert blocks > 3
+            assert sorted(tuple(r) for r in N.distinct_pairs(df, d, measure).collect()) == plain
+            assert sorted(tuple(r) for r in N.neighbors_between(df, df, d, measure).collect()) == between
+            largest = lambda b: N.variants(held, d, measure, blocks=b).groupBy("key").count().agg(F.max("count")).first()[0]
+            assert largest(blocks) < largest(1)
+        assert plain
