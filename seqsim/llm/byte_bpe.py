@@ -266,12 +266,13 @@ def encoded(batch: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, np.n
     return ids, ends, offsets
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """(id_col, ids ARRAY<INT>, ends ARRAY<INT>) for each row: token ids by the ranks in `path`, and where in the
     text's UTF-8 each token ends.
 
     A null or empty text has no tokens. Rows are treated one by one: repeated rows and null ids give rows of their own.
     Texts of any length are encoded whole. Columns besides the two named are left out, so their names cannot clash.
+    `decoded_col` adds what decode gives, made by the same worker; a null text's is empty.
     """
     kind = pa.list_(pa.int32())
 
@@ -280,11 +281,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids, stops, offsets = encoded(texts(batch, "text"), path)
             at = pa.array(np.concatenate([[0], stops]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32)), type=kind) for x in (ids, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "ids", "ends"])
+            names, columns = ["id", "ids", "ends"], [batch.column("id"), *lists]
+            if decoded_col is not None:
+                names, columns = [*names, "decoded"], [*columns, binary(*decoded(ids.astype(np.int64), offsets, stops, path))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {key}, ids array<int>, ends array<int>").withColumnRenamed("id", id_col)
+    extra = "" if decoded_col is None else ", decoded binary"
+    out = rows.mapInArrow(run, f"id {key}, ids array<int>, ends array<int>{extra}")
+    return out.withColumnsRenamed({"id": id_col} | ({"decoded": decoded_col} if decoded_col else {}))
 
 
 def decoded(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -303,6 +309,12 @@ def decoded(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, path: str) ->
     return out, np.concatenate([[0], np.cumsum(size)])[stops]
 
 
+def binary(data: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """A binary column from its bytes end to end and the end of each value."""
+    edges = np.concatenate([[0], stops]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+
+
 @lru_cache(2)
 def flat_tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all tokens end to end, and where each starts."""
@@ -332,9 +344,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", ends_col: str = "
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ids)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             data, stops = decoded(pick(ids[a:b]), pick(ends[a:b]), np.cumsum(count[a:b]), path)
-            edges = pa.py_buffer(np.concatenate([[0], stops]).astype(np.int32))
-            whole = pa.Array.from_buffers(pa.binary(), b - a, [None, edges, pa.py_buffer(data)])
-            out.append(pc.if_else(ids[a:b].is_valid(), whole, pa.scalar(None, pa.binary())))
+            out.append(pc.if_else(ids[a:b].is_valid(), binary(data, stops), pa.scalar(None, pa.binary())))
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return tokens.withColumn(out_col, run(F.col(ids_col), F.when(F.col(ids_col).isNotNull(), F.col(ends_col))))

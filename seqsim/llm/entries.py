@@ -24,9 +24,10 @@ def new_batch(id_col: str = "doc_id"):
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(4)) == 0
 
 
-def digests(tokens: DataFrame, path: str) -> DataFrame:
-    """Tokens of byte_bpe.encode as digests: of the ids in decimal, and of the bytes decoded from them."""
-    out = byte_bpe.decode(tokens, path)
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """The tokens of documents as digests: of the ids in decimal, and of the bytes decoded from them. One worker encodes
+    and decodes a batch."""
+    out = byte_bpe.encode(docs, path, decoded_col="decoded")
     return out.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -34,8 +35,7 @@ def digests(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = ranks_path()
-    return digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return digests(table(spark, sf_dir, "documents"), ranks_path())
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

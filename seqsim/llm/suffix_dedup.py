@@ -3,53 +3,60 @@
 Every window of LENGTH bytes is served by an anchor, the least-hashed GRAM-byte string in it, so equal windows are
 served by equal anchors at equal places. Anchors (about 1 for 35 bytes) are dealt by hash, not windows or texts:
 
-1. Anchors with the bytes of all their windows, their context, equal to an earlier one's (128 bits of two independent
-   hashes) are repeats as a whole. Repeats within a piece of a task's input are found before the shuffle.
+1. Anchors with the bytes of all their windows, their context, equal to an earlier one's are repeats as a whole. Repeats
+   within a piece of a task's input, or of anchors that the task has seen to repeat, are found before the shuffle and
+   compared byte by byte. Others agree in a 64-bit hash of the context with the one before them; runs of them that
+   continue one another are spans of one text equal to spans of another.
 2. The other anchors that share a hash send their context once. The suffixes that start in those contexts are sorted by
    mergesort; two suffixes are compared through their common extension, which prefix polynomial hashes and a binary
    search give in logarithmic time. Suffixes next to each other that agree for LENGTH bytes are compared byte by byte.
-   Contexts of an anchor that very many share are cut into single windows, which are dealt by their own hash.
+   Contexts of an anchor that very many share are cut into single windows, which are dealt by their own hash. Both texts
+   of a span of step 1 send a cryptographic digest of its bytes. Should any two differ, a hash has collided and all is
+   done anew with another one.
 3. Each text is joined with its spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsim.llm.common import keyed, pieces, saved, texts
+from seqsim.llm.common import discarded, keyed, pieces, saved, texts
 
 LENGTH, GRAM = 100, 32
-#: Rows with one anchor hash from which contexts are cut into windows.
-CROWDED = 2000
-#: Keys that a task remembers as frequent, and bytes of contexts that it sorts at a time.
-FREQUENT, SORT_BYTES = 1 << 18, 1 << 20
-BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
+#: Rows with one anchor hash from which contexts are cut into windows, over all tasks or seen in one.
+CROWDED, CROWDED_IN_TASK = 2000, 256
+#: Contexts and windows that a task remembers, and bytes of contexts that it sorts at a time.
+FREQUENT, SORT_BYTES = 1 << 16, 1 << 20
+#: Bases of polynomial hashes: of anchors, and of contexts, one after the other.
+ANCHORS, CONTEXTS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
+def powers(of: int, n: int, inverse: bool = False) -> np.ndarray:
     """Powers 0 to n of a base, or of its inverse, modulo 2^64."""
-    held = POWERS.get((which, inverse), np.zeros(0, np.uint64))
+    held = POWERS.get((of, inverse), np.zeros(0, np.uint64))
     if len(held) <= n:
-        base = pow(BASES[which], -1, 1 << 64) if inverse else BASES[which]
+        base = pow(of, -1, 1 << 64) if inverse else of
         held = np.cumprod(np.append(np.uint64(1), np.full(max(n, 5 * SORT_BYTES // 4), base, np.uint64)), dtype=np.uint64)
         if n <= 4 * SORT_BYTES:  # those for very long texts aren't kept
-            POWERS[which, inverse] = held
+            POWERS[of, inverse] = held
     return held
 
 
 class Prefixes:
     """Polynomial hashes of all prefixes of a buffer, which give the hash of any string in it."""
 
-    def __init__(self, buffer: np.ndarray, which: int):
+    def __init__(self, buffer: np.ndarray, base: int = ANCHORS):
         n = len(buffer)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(which, n)[:n], dtype=np.uint64)])
-        self.back = powers(which, n, inverse=True)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(base, n)[:n], dtype=np.uint64)])
+        self.back = powers(base, n, inverse=True)
 
     def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.back[start]
@@ -61,15 +68,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(batch: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all texts: the text's number, anchor hash, context hash, anchor, first and last window served (in the text)."""
+def anchors(batch: list[bytes], base: int) -> tuple[np.ndarray, ...]:
+    """Of all texts: the text's number, anchor hash, context hash, anchor, first and last window served (in the text),
+    and where the text starts in all of them."""
     size = np.fromiter(map(len, batch), np.int64, len(batch))
     stop = np.cumsum(size)
     buffer = np.frombuffer(b"".join(batch), np.uint8)
     if size.max(initial=0) < LENGTH:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none
-    first, second = Prefixes(buffer, 0), Prefixes(buffer, 1)
+        return none, none, none, none, none, none, none
+    first, second = Prefixes(buffer), Prefixes(buffer, base)
     at = np.arange(len(buffer) - GRAM + 1)
     gram = mixed(first.hash(at, at + GRAM))
     least = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)  # ties: the leftmost
@@ -86,36 +94,90 @@ def anchors(batch: list[bytes]) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
     own, a, m = owner[cut], window[cut], anchor[cut]
     b = window[np.append(cut[1:], len(window)) - 1]
-    context = mixed(second.hash(a, b + LENGTH) + (m - a).astype(np.uint64) * np.uint64(BASES[0]) + (b - a).astype(np.uint64))
-    base = (stop - size)[own]
-    return own, gram[m].view(np.int64), context.view(np.int64), m - base, a - base, b - base
+    context = mixed(second.hash(a, b + LENGTH) + (m - a).astype(np.uint64) * np.uint64(ANCHORS) + (b - a).astype(np.uint64))
+    begin = (stop - size)[own]
+    return own, gram[m].view(np.int64), context.view(np.int64), m - begin, a - begin, b - begin, begin
 
 
-def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, context, uid, anchor, before, after, repeat); repeats found here get keys of their own."""
-    frequent = np.zeros(0, np.int64)
+MARKS = "key bigint, context bigint, uid bigint, anchor bigint, before int, after int, repeat boolean, crowded boolean"
+
+
+def same_bytes(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether so many bytes of two buffers, from places in each, are equal."""
+    out = np.ones(len(at), bool)
+    for k in range(0, len(at), 4096):
+        n = size[k : k + 4096]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        unequal = one[np.repeat(at[k : k + 4096], n) + nth] != other[np.repeat(there[k : k + 4096], n) + nth]
+        out[k + np.repeat(np.arange(len(n)), n)[unequal]] = False
+    return out
+
+
+class Seen:
+    """Contexts that repeated in a task: their hashes in order, the text each was sent with, and its bytes."""
+
+    def __init__(self) -> None:
+        self.key, self.uid, self.at, self.size, self.bytes = (np.zeros(0, np.int64) for _ in range(5))
+        self.bytes = np.zeros(0, np.uint8)
+
+    def repeats(self, key: np.ndarray, uid: np.ndarray, buffer: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which contexts equal one that an earlier text was sent with."""
+        out = np.zeros(len(key), bool)
+        if len(self.key):
+            spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            some = np.flatnonzero((self.key[spot] == key) & (uid > self.uid[spot]) & (size == self.size[spot]))
+            out[some] = same_bytes(buffer, at[some], self.bytes, self.at[spot[some]], size[some])
+        return out
+
+    def add(self, key: np.ndarray, uid: np.ndarray, buffer: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        if not len(key) or len(self.key) + len(key) > FREQUENT:
+            return
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        new = buffer[np.repeat(at, size) + nth]
+        columns = [np.append(self.key, key), np.append(self.uid, uid), np.append(self.at, len(self.bytes) + np.cumsum(size) - size), np.append(self.size, size)]
+        by = np.lexsort((columns[1], columns[0]))
+        by = by[np.diff(columns[0][by], prepend=columns[0][by[0]] - 1) != 0]
+        self.key, self.uid, self.at, self.size = (c[by] for c in columns)
+        self.bytes = np.append(self.bytes, new)
+
+
+def anchor_rows(batches: Iterator[pa.RecordBatch], base: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of MARKS. Repeats found here get keys of their own. An anchor that a task meets very often goes on by context,
+    and a row of no text tells the others of its key that all are to be cut into windows."""
+    seen, met, crowded = Seen(), {}, np.zeros(0, np.int64)
     for batch in pieces(batches, "text"):
-        own, key, context, m, a, b = anchors(texts(batch, "text"))
+        held = texts(batch, "text")
+        own, key, context, m, a, b, begin = anchors(held, base)
+        buffer, at, size = np.frombuffer(b"".join(held), np.uint8), begin + a, b - a + LENGTH
         uid = batch.column("uid").to_numpy()[own]
         both = key ^ (context * np.int64(0x2545F4914F6CDD1D))
         order = np.lexsort((m, uid, context, key))
-        same = (key[order][1:] == key[order][:-1]) & (context[order][1:] == context[order][:-1])
+        x, y = order[:-1], order[1:]
+        same = np.flatnonzero((key[x] == key[y]) & (context[x] == context[y]) & (size[x] == size[y]))
+        same = same[same_bytes(buffer, at[x[same]], buffer, at[y[same]], size[x[same]])]
         repeat = np.zeros(len(own), bool)
-        repeat[order[1:][same]] = True
-        # the rest of a task: keys that repeated before. Which row is the earliest is open, so the earlier of the
-        # two sides must stay: only rows of later uids than the one that was sent are repeats.
-        if len(frequent):
-            spot = np.minimum(np.searchsorted(frequent, both), len(frequent) - 1)
-            repeat |= (frequent[spot] == both) & (uid > sent[spot])
-        new = order[:-1][same & ~repeat[order[:-1]]]
-        if len(new) and len(frequent) < FREQUENT:
-            all_, sent_ = np.append(frequent if len(frequent) else np.zeros(0, np.int64), both[new]), np.append(sent if len(frequent) else np.zeros(0, np.int64), uid[new])
-            by = np.lexsort((sent_, all_))
-            keep = np.diff(all_[by], prepend=all_[by][0] - 1) != 0
-            frequent, sent = all_[by][keep], sent_[by][keep]
-        key = np.where(repeat, mixed((uid * 1_000_003 + m).view(np.uint64)).view(np.int64), key)
-        columns = [key, context, uid, m, (m - a).astype(np.int32), (m - b).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(repeat)], ["key", "context", "uid", "anchor", "before", "after", "repeat"])
+        repeat[y[same]] = True
+        # the rest of a task: which row is the earliest is open, so only rows of later texts than the one sent are repeats
+        again = seen.repeats(both, uid, buffer, at, size)
+        new = x[same][~repeat[x[same]] & ~again[x[same]]]
+        seen.add(both[new], uid[new], buffer, at[new], size[new])
+        repeat |= again
+        cut = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1)) if len(order) else order
+        number = np.diff(np.append(cut, len(order)))
+        told = []
+        for k, n in zip(key[order[cut[number >= 8]]].tolist(), number[number >= 8].tolist(), strict=True):
+            met[k] = met.get(k, 0) + n
+            if met[k] > limit >= met[k] - n:
+                told.append(k)
+        if len(met) > FREQUENT:
+            met = {k: n for k, n in met.items() if n > limit}
+        crowded = np.union1d(crowded, np.array(told, np.int64))
+        many = np.isin(key, crowded)
+        alone = mixed((uid * 1_000_003 + m).view(np.uint64)).view(np.int64)
+        key = np.where(repeat, alone, np.where(many, mixed(both.view(np.uint64)).view(np.int64), key))
+        none = np.zeros(len(told), np.int64)
+        columns = [np.append(key, told).astype(np.int64), np.append(context, none), np.append(uid, none - 1), np.append(m, none), np.append(m - a, none).astype(np.int32), np.append(m - b, none).astype(np.int32), np.append(repeat, none > 0), np.append(many & ~repeat, none == 0)]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [c.split()[0] for c in MARKS.split(", ")])
 
 
 def merge_sorted(order: np.ndarray, bucket: np.ndarray, less: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -166,7 +228,7 @@ def repeats_in(key: np.ndarray, uid: np.ndarray, first: np.ndarray, count: np.nd
     order = np.lexsort((start - anchor[row], key[row]))
     lane, place = key[row][order], (start - anchor[row])[order]
     bucket = np.cumsum((np.diff(lane, prepend=lane[0] - 1) != 0) | (np.diff(place, prepend=place[0]) != 0))
-    hashes = Prefixes(buffer, 0)
+    hashes = Prefixes(buffer)
 
     def extension(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Bytes that two suffixes have in common, LENGTH at most."""
@@ -224,7 +286,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Context rows, sorted by key, uid and first window, to spans (uid, start, stop)."""
     names = ["key", "uid", "first", "count", "anchor"]
     held: list[tuple] = []
-    size, carried = 0, 0
+    size, carried, digest = 0, 0, (None,)
 
     def out(rows: list[tuple], skip: int) -> pa.RecordBatch:
         key, uid, first, count, anchor = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:5])
@@ -234,7 +296,16 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in (*names, "context")]
+        known: list[tuple] = []
         for r in zip(*columns, strict=True):
+            if r[3] == WINDOW:  # a repeat that its task has found
+                known.append((r[1], r[2], r[2] + LENGTH))
+                continue
+            if r[3] == DIGEST:
+                if r[:3] == digest[:3] and r[5] != digest[5]:
+                    known.append((r[1], r[2], UNEQUAL))
+                digest = r
+                continue
             if size >= SORT_BYTES and held[-1][0] != r[0]:
                 yield out(held, carried)
                 held, size, carried = [], 0, 0
@@ -249,25 +320,40 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size, carried = sum(len(x[5]) for x in held), len(held)
             held.append(r)
             size += len(r[5])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*known, strict=True)], ["uid", "start", "stop"])
     if held:
         yield out(held, carried)
 
 
 CONTEXT = "key bigint, uid bigint, first bigint, count bigint, anchor bigint, context binary"
+#: Counts of rows of CONTEXT that aren't contexts: a window known to be a repeat, and the digest of a span. What stands
+#: in place of a span's end if digests differ.
+WINDOW, DIGEST, UNEQUAL = -1, -2, -1
 
 
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their shared anchors to one context each, or to single windows where an anchor is crowded."""
+    """Texts with their shared anchors to one context each, or to single windows where an anchor is crowded; and texts
+    with spans of step 1 to digests. A window that a task has sent for an earlier text is a repeat at once."""
+    sent: dict[bytes, tuple[int, int]] = {}
     for batch in pieces(batches, "text"):
         rows: list[tuple] = []
-        for uid, text, marks in zip(batch.column("uid").to_pylist(), texts(batch, "text"), batch.column("marks").to_pylist(), strict=True):
-            for x in marks:
+        for uid, text, marks, spans in zip(batch.column("uid").to_pylist(), texts(batch, "text"), batch.column("marks").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for x in spans or ():
+                rows.append((x["key"], x["of"], x["at"], DIGEST, 0, hashlib.blake2b(text[x["start"] : x["stop"]], digest_size=16).digest()))
+            for x in marks or ():
                 a, b = x["anchor"] - x["before"], x["anchor"] - x["after"]
-                if x["crowded"]:
-                    windows = [text[p : p + LENGTH] for p in range(a, b + 1)]
-                    rows += [(hash_of(w), uid, p, 1, p, w) for p, w in zip(range(a, b + 1), windows, strict=True)]
-                else:
+                if not x["crowded"]:
                     rows.append((x["key"], uid, a, b - a + 1, x["anchor"], text[a : b + LENGTH]))
+                    continue
+                for p in range(a, b + 1):
+                    w = text[p : p + LENGTH]
+                    if sent.setdefault(w, (uid, p)) < (uid, p):
+                        rows.append((0, uid, p, WINDOW, p, b""))
+                    else:
+                        rows.append((hash_of(w), uid, p, 1, p, w))
+                if len(sent) > FREQUENT:
+                    sent.clear()
         if rows:
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], [c.split()[0] for c in CONTEXT.split(", ")])
@@ -307,18 +393,47 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id are separate texts in the order of their texts. Other columns are left out.
     """
     rows = keyed(docs, id_col, text_col).where("uid is not null")
-    marks = rows.select("uid", "text").mapInArrow(anchor_rows, "key bigint, context bigint, uid bigint, anchor bigint, before int, after int, repeat boolean")
+    for base in CONTEXTS:
+        spans = repeated_spans(rows, base)
+        if spans is not None:
+            break
+    else:
+        raise RuntimeError("contexts collide under every hash")
+    out = rows.select("uid", "id", "text").join(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("marks")), "uid", "left")
+    return out.select("id", "text", "marks").mapInArrow(keep, "id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary").withColumnRenamed("id", id_col)
+
+
+def repeated_spans(rows: DataFrame, base: int) -> DataFrame | None:
+    """(uid, start, stop) of bytes to remove from rows (uid, text); None if a hash of contexts has collided."""
+    marks = rows.select("uid", "text").mapInArrow(partial(anchor_rows, base=base, limit=CROWDED_IN_TASK), MARKS)
     group = Window.partitionBy("key")
     order = group.orderBy("context", "uid", "anchor")
-    seen = marks.withColumn("again", F.coalesce(F.lag("context").over(order) == F.col("context"), F.lit(False)))
-    seen = seen.withColumn("several", F.min("context").over(group) != F.max("context").over(group)).withColumn("crowded", F.count(F.lit(1)).over(group) > CROWDED)
+    again = F.lag("context").over(order) == F.col("context")
+    seen = marks.withColumns({"again": F.coalesce(again, F.lit(False)), "suid": F.lag("uid").over(order), "sanchor": F.lag("anchor").over(order)})
+    seen = seen.withColumn("several", F.min("context").over(group) != F.max("context").over(group))
+    seen = seen.withColumn("crowded", F.max("crowded").over(group) | (F.count(F.lit(1)).over(group) > CROWDED)).where("uid >= 0")
+    whole = F.col("repeat") | F.col("again")
+    source = F.when(F.col("again") & ~F.col("repeat"), F.col("suid"))
     hits = saved(
-        seen.where("repeat or again or several").select("key", "uid", "anchor", "before", "after", "crowded", F.expr("repeat or again").alias("whole"))
+        seen.where("repeat or again or several or crowded")
+        .select("key", "uid", "anchor", "before", "after", "crowded", whole.alias("whole"), source.alias("suid"), (F.col("anchor") - F.col("sanchor")).alias("shift"))
+        .withColumn("shift", F.when(F.col("suid").isNotNull(), F.col("shift")))
     )
-    open_ = hits.where("not whole").groupBy("uid").agg(F.collect_list(F.struct("key", "anchor", "before", "after", "crowded")).alias("marks"))
-    contexts = rows.select("uid", "id", "text").join(open_, "uid").select("uid", "text", "marks").mapInArrow(context_rows, CONTEXT)
-    found = contexts.repartition("key").sortWithinPartitions("key", "uid", "first").mapInArrow(resolve, "uid bigint, start bigint, stop bigint")
-    whole = hits.where("whole").select("uid", (F.col("anchor") - F.col("before")).alias("start"), (F.col("anchor") - F.col("after") + LENGTH).alias("stop"))
-    spans = whole.unionByName(found).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    out = rows.select("uid", "id", "text").join(spans, "uid", "left").select("id", "text", "marks")
-    return out.mapInArrow(keep, "id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary").withColumnRenamed("id", id_col)
+    # repeats that continue one another
+    run = Window.partitionBy("uid", "suid", "shift").orderBy("start")
+    spans = hits.where("whole").select("uid", "suid", "shift", (F.col("anchor") - F.col("before")).alias("start"), (F.col("anchor") - F.col("after") + LENGTH).alias("stop"))
+    spans = spans.withColumn("new", F.coalesce(F.lag("stop").over(run) < F.col("start"), F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(run))
+    spans = saved(spans.groupBy("uid", "suid", "shift", "nth").agg(F.min("start").alias("start"), F.max("stop").alias("stop")))
+    told = spans.where("suid is not null").withColumn("key", F.xxhash64("uid", "suid", "start"))
+    shown = told.select("uid", "key", F.col("uid").alias("of"), F.col("start").alias("at"), "start", "stop").unionByName(
+        told.select(F.col("suid").alias("uid"), "key", F.col("uid").alias("of"), F.col("start").alias("at"), (F.col("start") - F.col("shift")).alias("start"), (F.col("stop") - F.col("shift")).alias("stop"))
+    )
+    asked = hits.where("not whole").select("uid", F.struct("key", "anchor", "before", "after", "crowded").alias("mark"))
+    asked = asked.unionByName(shown.select("uid", F.struct("key", "of", "at", "start", "stop").alias("span")), allowMissingColumns=True)
+    asked = asked.groupBy("uid").agg(F.collect_list("mark").alias("marks"), F.collect_list("span").alias("spans"))
+    contexts = rows.select("uid", "text").join(asked, "uid").select("uid", "text", "marks", "spans").mapInArrow(context_rows, CONTEXT)
+    found = saved(contexts.repartition("key").sortWithinPartitions("key", "uid", "first").mapInArrow(resolve, "uid bigint, start bigint, stop bigint"))
+    discarded(hits)
+    if found.where(F.col("stop") == UNEQUAL).limit(1).count():
+        return None
+    return spans.select("uid", "start", "stop").unionByName(found)

@@ -130,6 +130,8 @@ def test_bpe_decoding_by_offsets(spark):
         for i, e in zip(r.ids, r.ends, strict=True):
             assert bytes(r.decoded)[at:e] == tokens[i]
             at = e
+    both = byte_bpe.encode(spark.createDataFrame([(1, "naïve 漢字 text, it's"), (2, ""), (3, None)], "doc_id bigint, text string"), path, decoded_col="ids_back").collect()
+    assert {r.doc_id: bytes(r.ids_back).decode() for r in both} == {1: "naïve 漢字 text, it's", 2: "", 3: ""}
     none = byte_bpe.decode(rows.withColumn("ids", F.when(F.col("doc_id") > 1, F.col("ids"))), path).collect()
     assert {r.doc_id: r.decoded and bytes(r.decoded) for r in none} == {1: None, 2: b"", 3: b""}
     with pytest.raises(Exception, match="don't fit"):
@@ -182,6 +184,64 @@ def test_suffix_dedup_query(spark):
     assert ordered(tuple(r) for r in entries.op2_suffix_dedup(spark, SF).collect()) == want
 
 
+def test_suffix_dedup_after_collisions(spark, monkeypatch):
+    """With 1 as a base a hash is the sum of bytes: contexts of equal letters in another order collide."""
+    rng = random.Random(13)
+    middle = bytes(rng.choices(b"abcdefgh", k=60)).decode()
+    left, right = ("".join(rng.choices("xyz", k=90)) for _ in range(2))
+    texts = [left + middle + right, "".join(sorted(left)) + middle + right, left[::-1] + middle + right[::-1], left + middle + right]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    want = [(i, *x) for i, x in enumerate(without_repeats(texts))]
+    tried = []
+    plain = suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda rows, base: tried.append(plain(rows, base)) or tried[-1])
+    for bases in ((1, *suffix_dedup.CONTEXTS), suffix_dedup.CONTEXTS):
+        monkeypatch.setattr(suffix_dedup, "CONTEXTS", bases)
+        tried.clear()
+        got = suffix_dedup.suffix_dedup(df).collect()
+        assert ordered((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), sha(bytes(r.kept))) for r in got) == want
+        assert tried[-1] is not None and (bases[0] == 1 or len(tried) == 1)
+
+
+def test_suffix_dedup_within_tasks(monkeypatch):
+    """What a task finds by itself: pieces of a few bytes, an anchor in very many texts, and windows sent before."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    passage = "".join(rng.choices("abcdefgh", k=140))
+    texts = [("".join(rng.choices("mnopq", k=rng.randint(0, 150))) + passage + "".join(rng.choices("mnopq", k=rng.randint(0, 90)))) for _ in range(30)]
+    texts = [x for x in texts for _ in range(2)] + texts[:20]
+    batch = pa.RecordBatch.from_pydict({"uid": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    monkeypatch.setattr(common, "CHUNK_BYTES", 3000)
+    rows = [r for b in suffix_dedup.anchor_rows(iter([batch]), suffix_dedup.CONTEXTS[0], 12) for r in b.to_pylist()]
+    context = lambda r: texts[r["uid"]][r["anchor"] - r["before"] : r["anchor"] - r["after"] + 100]
+    first = {}
+    for r in rows:
+        if r["uid"] >= 0:
+            first[context(r)] = min(first.get(context(r), r["uid"]), r["uid"])
+    assert all(first[context(r)] < r["uid"] or context(r) in texts[r["uid"]][: r["anchor"]] for r in rows if r["repeat"])
+    assert sum(r["repeat"] for r in rows) > 100 and any(r["repeat"] and r["uid"] >= 60 for r in rows)
+    assert any(r["uid"] < 0 for r in rows) and any(r["crowded"] and r["uid"] >= 0 for r in rows)
+    seen = suffix_dedup.Seen()
+    buffer, at, size = np.frombuffer(b"abcdefabcdxf", np.uint8), np.array([0]), np.array([6])
+    seen.add(np.array([5]), np.array([1]), buffer, at, size)
+    ask = lambda uid, start: seen.repeats(np.array([5]), np.array([uid]), buffer, np.array([start]), size).tolist()
+    assert ask(2, 0) == [True] and ask(1, 0) == [False] and ask(2, 6) == [False]  # a later text, the same one, other bytes
+
+
+@pytest.mark.parametrize("in_task", [256, 8])
+def test_suffix_dedup_of_a_common_passage(spark, in_task, monkeypatch):
+    rng = random.Random(19)
+    passage = "".join(rng.choices("abcdefgh", k=110))
+    texts = ["".join(rng.choices("mnopqrst", k=60)) + passage + "".join(rng.choices("mnopqrst", k=60)) for _ in range(80)]
+    texts += texts[:9]
+    monkeypatch.setattr(suffix_dedup, "CROWDED_IN_TASK", in_task)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), sha(bytes(r.kept))) for r in suffix_dedup.suffix_dedup(df).collect()]
+    assert ordered(got) == ordered((i, *x) for i, x in enumerate(without_repeats(texts)))
+
+
 def test_suffix_sort_orders_and_finds_collisions(monkeypatch):
     import numpy as np
 
