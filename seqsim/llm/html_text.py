@@ -1,13 +1,16 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
-Each element of a page is a row of features: its own and its ancestors' attribute tokens, depth, siblings, and the
-text, links and elements of its subtree. Boosted trees give each the log-odds that it belongs to the article. A node
-can only be kept if its parent is, so the best choice for a whole page is found bottom-up: a subtree is kept if its
-node's log-odds and those of the subtrees kept below sum up to more than nothing.
-
-The trees are fitted on a bounded sample of pages. What lies in an <article> or <main> element is labelled article, the
-elements around it too, the rest not; to each page blocks of other kinds (menus, comments, notices ...), some inside the
-article, are added from the page's own words, and the article's element is renamed at times.
+Each element of a page is a row of features: what its own and its ancestors' attribute tokens, hashed, say of the article;
+depth, siblings and those of its own kind; the text, links and elements of its subtree; and where it stands to the element
+with most text in paragraphs of its own. Boosted trees give each the log-odds that it belongs to the article. A node can
+only be kept if its parent is, so the best choice for a whole page is found bottom-up: a subtree is kept if its node's
+log-odds and those of the subtrees kept below sum up to more than nothing.
+
+Tokens and trees are learned from a bounded sample of pages. What lies in an <article> or <main> element is labelled
+article, the elements around it too, the rest not. Each page is also taken with blocks of other kinds around and in the
+article, made of its own words, and its words are set into a page of another make; there, names of classes are those usual
+for the kind of block, or invented. What a token says is its share of article elements in the other half of the sample,
+so that trees learn how far to trust it.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ import html
 import math
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +30,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqsim.llm.common import saved
+
 #: Bounds of the fit: pages in the sample, bytes of a page and elements of a page that are learned from.
-SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_NODES = 300, 200_000, 400
-TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
+SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_NODES = 150, 200_000, 400
+TREES, DEPTH, RATE, BINS = 60, 4, 0.25, 24
+#: Buckets of tokens, and how many elements of no account are added to those of each.
+TOKENS, PRIOR = 1 << 12, 4.0
 #: Pages whose nodes are scored at a time, at most, and bytes of html.
 PAGES, PAGE_BYTES = 256, 2 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg".split())
+RAW = frozenset("script style textarea title iframe template svg".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose start ends an open element of the same row.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that such a search does not leave.
 SCOPES = frozenset("html body div section article main aside nav header footer form ul ol dl table td th blockquote".split())
 CLOSES_P = BLOCKS - {"br", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "title"}
-LESS = frozenset(
-    "ad ads advert advertisement adverts alert aside author avatar banner bio breadcrumb breadcrumbs button byline captcha comment comments consent cookie cookies copyright dialog disclaimer discussion "
-    "footer form gdpr head header iframe input login masthead menu meta modal nav navbar navigation newsletter noscript notice notification pagination pager popup privacy promo promoted recommended related reply "
-    "replies respond script search select share sharing shout sidebar sidenav signup social sponsor sponsored style subscribe svg tag tags textarea toc toolbar topbar trending widget".split()
-)
-MORE = frozenset("article articlebody body content contents entry main page paragraph post prose story text".split())
 KINDS = ("h1 h2 h3 h4 h5 h6", "p pre blockquote", "div section main article", "ul ol li dl dt dd", "a", "b i em strong span u small sub sup code mark abbr time", "html body", "table tbody tr td th")
 KIND = {t: k for k, names in enumerate(KINDS) for t in names.split()}
 
@@ -57,19 +60,23 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Page:
-    """Elements in page order: tag, parent (-1: none), marks (less, more), label (-1: none); texts as (element, text)."""
+    """Elements in page order: tag, parent (-1: none), buckets of tokens, label (-1: none); texts as (element, text)."""
 
     tag: list[str]
     parent: list[int]
-    less: list[int]
-    more: list[int]
+    tokens: list[tuple[int, ...]]
     label: list[int]
     parts: list[tuple[int, str]]
 
 
+@lru_cache(1 << 16)
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % TOKENS
+
+
 def parse(source: str) -> Page:
     """The elements and texts of a page; any input gives a tree. A block's start and end appear as texts of None."""
-    page = Page(["html"], [-1], [0], [0], [-1], [])
+    page = Page(["html"], [-1], [()], [-1], [])
     stack, at, lowered = [0], 0, None
     close = source.rfind(">")
     while at < len(source):
@@ -108,15 +115,14 @@ def parse(source: str) -> Page:
                         break
                 elif page.tag[stack[k]] in SCOPES and page.tag[stack[k]] not in ends:
                     break
-        words = {name}
+        words = {f"<{name}>"}
         if attributes := m[3]:
             for a in ATTRIBUTE.finditer(attributes):
                 words.update(x.lower() for x in PART.findall(a[1] or a[2] or a[3] or ""))
         label = LABEL.search(attributes) if attributes else None
         page.tag.append(name)
         page.parent.append(stack[-1])
-        page.less.append(len(words & LESS) + (name == "title"))
-        page.more.append(len(words & MORE))
+        page.tokens.append(tuple(map(bucket, words)))
         page.label.append(int(label[1]) if label else -1)
         node = len(page.tag) - 1
         if name in BLOCKS:
@@ -125,8 +131,6 @@ def parse(source: str) -> Page:
             lowered = lowered or source.lower()
             end = lowered.find(f"</{name}", m.end())
             at = len(source) if end < 0 else end
-            if name == "title":
-                page.parts += [(node, html.unescape(source[m.end() : at])), (node, None)]
             # the end tag is a token of its own, and has the element on the stack
             stack.append(node)
         elif name not in VOID and not (attributes and attributes.rstrip().endswith("/")):
@@ -134,41 +138,67 @@ def parse(source: str) -> Page:
     return page
 
 
-def features(page: Page) -> np.ndarray:
-    """A row for each element."""
+def features(page: Page, said: np.ndarray) -> np.ndarray:
+    """A row for each element. said: what each bucket of tokens says of the article, 0 for nothing."""
     n = len(page.tag)
     parent = np.array(page.parent)
-    own, links, stops = np.zeros(n), np.zeros(n), np.zeros(n)
+    own, stops = np.zeros(n), np.zeros(n)
     for node, text in page.parts:
         if text and (size := len(text.strip())):
             own[node] += size
             stops[node] += text.count(".") + text.count(",")
-    linked = [False] * n
-    depth, bad, near, sibling = [0] * n, [0] * n, [0] * n, [0] * n
-    children = [0] * n
+    low, high = np.zeros(n), np.zeros(n)
+    for i, tokens in enumerate(page.tokens):
+        if tokens:
+            values = said[list(tokens)]
+            low[i], high[i] = values.min(), values.max()
+    linked, prose = [False] * n, [0.0] * n
+    depth, under, near, sibling, same, children = [0] * n, [0.0] * n, [0.0] * n, [0] * n, [0] * n, [0] * n
+    kinds: dict[tuple, int] = {}
+    alike = []
     for i in range(n):
-        p = page.parent[i]
-        mark = -1 if page.less[i] else (1 if page.more[i] and page.tag[i] not in ("body", "html") else 0)
+        p, own_kind = page.parent[i], (page.parent[i], page.tag[i], page.tokens[i])
+        kinds[own_kind] = kinds.get(own_kind, 0) + 1
+        alike.append(own_kind)
         if p >= 0:
             depth[i], linked[i] = depth[p] + 1, linked[p] or page.tag[i] == "a"
             sibling[i] = children[p]
             children[p] += 1
-            bad[i], near[i] = bad[p] + (mark < 0), mark or near[p]
-    links[:] = own * np.array(linked)
-    total, link, stop, size = own.tolist(), links.tolist(), stops.tolist(), [1] * n
+            # what the worst element above says, and what the next one above that says much
+            under[i] = min(under[p], low[p])
+            near[i] = low[p] if low[p] < -1 else high[p] if high[p] > 1 else near[p]
+    total, link, stop, size = own.tolist(), (own * np.array(linked)).tolist(), stops.tolist(), [1] * n
+    title, ahead = [int(t == "h1") for t in page.tag], np.concatenate([[0.0], np.cumsum(own)[:-1]])
+    fields = [int(t in ("input", "button", "select", "textarea", "label", "option")) for t in page.tag]
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         total[p] += total[i]
         link[p] += link[i]
         stop[p] += stop[i]
         size[p] += size[i]
-    total, link, stop, size = map(np.array, (total, link, stop, size))
-    around = np.array(children)[np.maximum(parent, 0)]
+        fields[p] += fields[i]
+        title[p] += title[i]
+        if page.tag[i] in ("p", "pre", "blockquote"):
+            prose[p] += (total[i] - link[i]) * (1.0 if under[i] > -1 and low[p] > -1 else 0.2)
+    # places to the element with most prose of its own: above it, in it, before or after
+    heart = int(np.argmax(prose)) if n > 1 else 0
+    place = np.where(np.arange(n) < heart, 0, 3)
+    k = heart
+    while k >= 0:
+        place[k] = 1
+        k = page.parent[k]
+    for i in range(heart + 1, n):
+        if page.parent[i] == heart or place[page.parent[i]] == 2:
+            place[i] = 2
+    total, link, stop, size, fields, prose = map(np.array, (total, link, stop, size, fields, prose))
+    around, title = np.array(children)[np.maximum(parent, 0)], np.minimum(title, 2)
+    same = np.array([kinds[x] for x in alike])
     kind = np.array([KIND.get(t, len(KINDS)) for t in page.tag])
     return np.column_stack([
-        np.minimum(page.less, 3), np.minimum(page.more, 3), np.minimum(bad, 3), near, depth, np.log1p(total), np.log1p(own), np.log1p(size), np.log1p(total / size),
-        link / np.maximum(total, 1), np.array(sibling) / np.maximum(around, 1), np.log1p(around), stop / np.maximum(total, 1), total / max(total[0], 1),
-        *(kind == k for k in range(len(KINDS) + 1)),
+        low, high, under, near, depth, np.log1p(total), np.log1p(own), np.log1p(size), np.log1p(total / size),
+        link / np.maximum(total, 1), np.array(sibling) / np.maximum(around, 1), np.log1p(around), np.log1p(same), stop / np.maximum(total, 1), total / max(total[0], 1),
+        total / np.maximum(total[np.maximum(parent, 0)], 1), np.minimum(fields, 4), np.log1p(prose), prose / max(prose[heart], 1),
+        title, title[np.maximum(parent, 0)], ahead / max(total[0], 1), place == 0, place == 1, place == 2, place == 3, *(kind == k for k in range(len(KINDS) + 1)),
     ]).astype(np.float32)
 
 
@@ -199,46 +229,122 @@ def labels(page: Page) -> np.ndarray | None:
     return np.array([x == 1 or (x < 0 and h) for x, h in zip(own, holds, strict=True)])
 
 
-#: Blocks added to training pages: around the article, or in it and after its text.
-AROUND = ('<header class="site-header"{x}><h2>{a}</h2><p>{b}</p></header>', '<aside class="sidebar"{x}><h3>{a}</h3><p>{c}</p><ul><li>{a}</li><li>{b}</li></ul></aside>', '<div class="cookie-notice"{x}><p>{c}</p><button>{a}</button></div>', '<div id="sidebar-right"{x}><div><p>{c}</p></div></div>', '<form{x}><label>{a}</label><input name="q"><p>{b}</p></form>', '<div role="navigation"{x}><a href="/">{a}</a> <a href="/b">{b}</a></div>', '<div class="banner promo"{x}>{c}</div>', '<section class="comments"{x}><h2>{a}</h2><div><p>{c}</p><p>{c}</p></div><article><p>{c}</p></article></section>')
-INSIDE = ('<div class="share"{x}><a href="#">{a}</a></div>', '<div class="advert"{x}><p>{c}</p></div>', '<aside{x}><p>{b}</p></aside>', '<section id="comments"{x}><h3>{a}</h3><ol><li><p>{c}</p></li><li><p>{c}</p></li></ol></section>', '<div class="related"{x}><h4>{a}</h4><ul><li><a href="/">{b}</a></li></ul></div>', '<div class="newsletter-signup"{x}><p>{c}</p><form><input></form></div>', '<div class="comment"{x}><p>{c}</p></div>', '<p class="notice"{x}>{b}</p>')
-NAMES = ('div class="content"', 'main', 'section id="main-content"', 'div class="post-body"', 'div id="story"', "div")
+#: Blocks of other kinds in training pages: form, and names of classes usual for it. {n}: attributes; a, b, c: words, more and more.
+BLOCK_FORMS = (
+    ("<header{n}><h2>{a}</h2><p>{b}</p></header>", "header site-header masthead top-bar page-header kopfbereich"),
+    ("<div{n}><a href='/'>{a}</a><p>{b}</p></div>", "header masthead topbar banner site-header logo"),
+    ("<nav{n}><a href='/'>{a}</a> <a href='/b'>{b}</a></nav>", "nav menu breadcrumbs pagination navigation"),
+    ("<div{n}><ul><li><a href='/'>{a}</a></li><li><a href='/b'>{a}</a></li><li><a href='/c'>{b}</a></li></ul></div>", "nav navbar menu navigation toc tags related-posts sitemap"),
+    ("<aside{n}><h3>{a}</h3><p>{c}</p><ul><li>{a}</li><li>{b}</li></ul></aside>", "sidebar rail widget-area seitenleiste"),
+    ("<div{n}><div><p>{c}</p></div></div>", "sidebar rail widget right-column barre-laterale sidenav"),
+    ("<div{n}><h4>{a}</h4><ul><li><a href='/'>{b}</a></li><li><a href='/d'>{b}</a></li></ul></div>", "related recommended trending more-stories widget promo"),
+    ("<div{n}><p>{c}</p><button>{a}</button></div>", "cookie-notice gdpr consent modal notification hinweis alert"),
+    ("<p{n}>{b}</p>", "notice disclaimer copyright alert advert-note"),
+    ("<div{n}>{c}</div>", "ad ads advert banner sponsored promo werbung publicite"),
+    ("<div{n}><p>{b}</p></div>", "advert ads sponsor promotion anzeige ad-slot"),
+    ("<form{n}><label>{a}</label><input name='q'><p>{b}</p></form>", "search newsletter login signup contact-form subscribe"),
+    ("<div{n}><p>{c}</p><form><input><button>{a}</button></form></div>", "newsletter-signup subscribe respond reply-form"),
+    ("<section{n}><h2>{a}</h2><div><p>{c}</p><p>{c}</p></div><article><p>{c}</p></article></section>", "comments discussion disqus_thread kommentare commentaires comentarios replies responses"),
+    ("<section{n}><h3>{a}</h3><ol><li><p>{c}</p></li><li><p>{c}</p></li></ol></section>", "comments reader-comments kommentare replies commentlist"),
+    ("<div{n}><article><b>{a}</b><p>{c}</p></article><article><b>{a}</b><p>{c}</p></article></div>", "comments disqus_thread discussion feedback-list comment-thread"),
+    ("<div{n}><p>{c}</p></div>", "comment reply shout user-comment response"),
+    ("<div{n}><p>{c}</p><p>{c}</p></div>", "comments comment-thread disqus_thread discussion"),
+    ("<div{n}><a href='#'>{a}</a><a href='#'>{a}</a></div>", "share social sharing toolbar tools follow"),
+    ("<footer{n}><p>{b}</p><a href='/i'>{a}</a></footer>", "footer site-footer colophon legal fusszeile"),
+    ("<noscript{n}>{b}</noscript>", "noscript"),
+)
+#: Elements that hold the article of training pages, and names of classes of those in it.
+HOLDERS = ("article", "main", "div", "div", "div", "section", "td")
+HOLDER_NAMES = "content article post entry story main-content post-body article-body text page-content beitrag"
+INNER_NAMES = "title headline section-header lead paragraph search-results-text text first caption intro dropcap note-body list-text"
+
+
+def named(usual: str, rng: random.Random) -> str:
+    """Attributes: a usual name, an invented one, or none."""
+    chance = rng.random()
+    if chance < 0.15:
+        return ""
+    name = rng.choice(usual.split()) if chance < 0.7 else "".join(rng.choices("bcdfghklmnprst", k=2)) + "".join(rng.choices("aeioubdfgklmnrst", k=rng.randint(2, 7)))
+    return f' {rng.choice(("class", "class", "id"))}="{name}"'
+
+
+def block(words: list[str], rng: random.Random) -> str:
+    """A block that isn't of the article."""
+
+    def some(least: int, most: int) -> str:
+        at = rng.randrange(len(words))
+        return html.escape(" ".join(words[at : at + rng.randint(least, most)]))
+
+    form, usual = rng.choice(BLOCK_FORMS)
+    return form.format(n=named(usual, rng) + " x-label=0", a=some(1, 4), b=some(1, 15), c=some(5, 80))
+
+
+def several(words: list[str], rng: random.Random, most: int) -> str:
+    return "".join(block(words, rng) for _ in range(rng.randint(0, most)))
 
 
 def varied(source: str, rng: random.Random) -> str:
-    """The page with more blocks, and perhaps another element in place of <article>."""
+    """The page with more blocks, names of classes in the article, and perhaps another element in place of <article>."""
     words = re.sub(r"<[^>]*>", " ", source).split()
     if not words:
         return source
-
-    def block(forms: tuple[str, ...]) -> str:
-        def some(k: int) -> str:
-            at = rng.randrange(len(words))
-            return html.escape(" ".join(words[at : at + rng.randint(1, k)]))
-
-        return rng.choice(forms).format(x=" x-label=0", a=some(4), b=some(15), c=some(80))
-
-    out = re.sub(r"<(article|main)\b", lambda m: "".join(block(AROUND) for _ in range(rng.randint(0, 3))) + m[0] + " x-label=1", source, count=1)
-    out = re.sub(r"</(article|main)\s*>", lambda m: "".join(block(INSIDE) for _ in range(rng.randint(0, 2))) + m[0] + "".join(block(AROUND) for _ in range(rng.randint(0, 2))), out)
+    found = re.search(r"<(article|main)\b[^>]*>(.*)</\1\s*>", source, re.S | re.I)
+    if not found:
+        return source
+    inner = found[2]
+    if rng.random() < 0.35:  # a short article: its title and a few paragraphs
+        spots = [m.end() for m in re.finditer(r"</p>", inner)][: rng.choice((1, 1, 2, 3))]
+        inner = inner[: spots[-1]] if spots else inner
+    if rng.random() < 0.5:
+        inner = re.sub(r"<(p|h1|h2|h3|ul|li)>", lambda m: f"<{m[1]}{named(INNER_NAMES, rng)}>" if rng.random() < 0.3 else m[0], inner)
     if rng.random() < 0.3:
-        at = [m.start() for m in re.finditer(r"<p>", out)]
-        if at:
-            k = rng.choice(at)
-            out = out[:k] + block(INSIDE) + out[k:]
-    if rng.random() < 0.6:
-        name = rng.choice(NAMES)
-        out = re.sub(r"<article\b(?=[^>]*x-label=1)", f"<{name}", out).replace("</article>", f"</{name.split()[0]}>")
-    return out
+        inner = re.sub(r"(<h1\b.*?</h1>)", lambda m: f"<header{named('entry-header article-header', rng) if rng.random() < 0.5 else ''}>{m[0]}</header>", inner, count=1, flags=re.S)
+    spots = [m.start() for m in re.finditer(r"<p>", inner)]
+    if spots and rng.random() < 0.4:
+        k = rng.choice(spots)
+        inner = inner[:k] + block(words, rng) + inner[k:]
+    name = "article" if rng.random() < 0.4 else rng.choice(HOLDERS)
+    own = "" if name in ("article", "main") and rng.random() < 0.6 else named(HOLDER_NAMES, rng)
+    made = f"<{name}{own} x-label=1>{inner}{several(words, rng, 2)}</{name}>"
+    return source[: found.start()] + several(words, rng, 3) + made + several(words, rng, 3) + source[found.end() :]
+
+
+def composed(words: list[str], rng: random.Random) -> str:
+    """The words as a page of another make, with its article marked."""
+
+    def some(least: int, most: int) -> str:
+        at = rng.randrange(len(words))
+        return html.escape(" ".join(words[at : at + rng.randint(least, most)]))
+
+    inner = []
+    for k in range(rng.choice((2, 2, 3, 4, 5, 6, 8))):
+        tag = "h1" if k == 0 else rng.choice(["p", "p", "p", "p", "p", "h2", "h3", "ul", "blockquote", "table", "pre"])
+        text = some(2, 10) if tag[0] == "h" else some(4, 90)
+        text = {"ul": f"<li>{some(2, 20)}</li><li>{text}</li>", "table": f"<tr><td>{some(1, 6)}</td><td>{text}</td></tr>", "blockquote": f"<p>{text}</p>"}.get(tag, text)
+        if rng.random() < 0.2:
+            text = text.replace(" ", " <a href='/x'>" + some(1, 2) + "</a> ", 1)
+        part = f"<{tag}{named(INNER_NAMES, rng) if rng.random() < 0.3 else ''}>{text}</{tag}>"
+        inner.append(f"<header>{part}</header>" if k == 0 and rng.random() < 0.3 else f"<div>{part}</div>" if rng.random() < 0.1 else part)
+        if rng.random() < 0.08:
+            inner.append(block(words, rng))
+    name = rng.choice(HOLDERS)
+    main = f"<{name}{named(HOLDER_NAMES, rng)} x-label=1>{''.join(inner)}{several(words, rng, 1)}</{name}>"
+    column = f"{several(words, rng, 2)}{main}{several(words, rng, 3)}"
+    for _ in range(rng.randint(0, 2)):
+        column = f"<div{named('page wrapper container row column layout', rng)}>{column}</div>{several(words, rng, 1)}"
+    return f"<html><head><title>{some(2, 8)}</title></head><body>{several(words, rng, 2)}{column}{several(words, rng, 2)}</body></html>"
 
 
 @dataclass
 class Trees:
-    """Boosted trees of one depth: features and thresholds of inner nodes (trees, 2^depth - 1), values of leaves."""
+    """Boosted trees of one depth: features and thresholds of inner nodes (trees, 2^depth - 1), values of leaves; and
+    what buckets of tokens say."""
 
     base: float
     feature: np.ndarray
     threshold: np.ndarray
     leaf: np.ndarray
+    said: np.ndarray | None = None
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -283,31 +389,69 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return model
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees:
-    """Trees fitted on SAMPLE_PAGES pages, those whose ids' hashes are the least. Pages without a mark of the article
-    teach nothing; without any that do, fixed odds by attribute tokens alone stand in (the nearest mark's sign)."""
-    picked = [r[0] for r in pages.where(F.col(html_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_PAGES).collect()]
+def lessons(number: int, source: str) -> list[Page]:
+    """What a page of the sample teaches: itself, varied and composed anew, each with an article marked."""
+    rng = random.Random(number)
+    words = re.sub(r"<[^>]*>", " ", source).split() or ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
+    made = [source, *(varied(source, rng) for _ in range(3)), *(composed(words, rng) for _ in range(3))]
+    return [p for p in map(parse, made) if labels(p) is not None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def token_counts(page: Page, y: np.ndarray) -> np.ndarray:
+    """(2, TOKENS): of elements with tokens in each bucket, those that aren't of the article and those that are."""
+    out = np.zeros((2, TOKENS))
+    for tokens, mine in zip(page.tokens, y, strict=True):
+        for t in set(tokens):
+            out[int(mine), t] += 1
+    return out
+
+
+def saying(counts: np.ndarray) -> np.ndarray:
+    """The log-odds of the article given a token, against those of any element."""
+    no, yes = counts
+    share = (yes.sum() + 1) / (counts.sum() + 2)
+    return np.log((yes + PRIOR * share) / (no + PRIOR * (1 - share))) - np.log(share / (1 - share))
+
+
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees:
+    """Tokens and trees learned from SAMPLE_PAGES rows at most, those whose hashes of id and html are the least, of up to
+    SAMPLE_BYTES. A page without <article> or <main> lends its words only; without any page, invented words do."""
+    fits = pages.where(F.length(html_col) <= SAMPLE_BYTES).select(F.xxhash64(id_col, html_col).alias("number"), F.col(html_col).alias("html"))
+    none = pages.sparkSession.createDataFrame([(k, "") for k in range(20)], "number bigint, html string")
+    sample = fits.orderBy("number").limit(SAMPLE_PAGES)
+    sample = saved(sample.unionByName(none).orderBy("number").limit(SAMPLE_PAGES).repartition(16, "number"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, TOKENS))
         for batch in batches:
-            rows = []
-            for i, source in zip(batch.column("id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if not source or len(source) > SAMPLE_BYTES:
-                    continue
-                rng = random.Random(i)
-                for page in (parse(source), *(parse(varied(source, rng)) for _ in range(3))):
-                    if (y := labels(page)) is not None:
-                        rows += [(f, bool(v)) for f, v in zip(features(page)[:SAMPLE_NODES].tolist(), y, strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.bool_())], ["x", "y"])
-
-    got = pages.where(F.col(id_col).isin(picked)).select(F.xxhash64(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, "x array<float>, y boolean").toArrow()
-    if not got.num_rows or len(set(got["y"].to_pylist())) < 2:
-        stump = Trees(0.5, np.full((1, 2**DEPTH - 1), 3), np.full((1, 2**DEPTH - 1), -0.5), np.zeros((1, 2**DEPTH)))
-        stump.leaf[0, : 2 ** (DEPTH - 1)] = -2.0
-        return stump
-    order = np.lexsort(np.array([r for r in got["x"].to_pylist()]).T)  # rows arrive in any order
-    x, y = np.array(got["x"].to_pylist(), np.float32)[order], np.array(got["y"].to_pylist(), float)[order]
-    return boost(x, y)
+            for k, source in zip(batch.column("number").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                for page in lessons(k, source):
+                    total[k % 2] += token_counts(page, labels(page))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["at", "n"])
+
+    sums = sample.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(4 * TOKENS)
+    counts[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    counts = counts.reshape(2, 2, TOKENS)
+    halves, said = [saying(counts[1]), saying(counts[0])], saying(counts.sum(axis=0))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = [], []
+            for k, source in zip(batch.column("number").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                for page in lessons(k, source):
+                    x += features(page, halves[k % 2])[:SAMPLE_NODES].tolist()
+                    y += labels(page)[:SAMPLE_NODES].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), pa.array(y, pa.bool_())], ["x", "y"])
+
+    got = sample.mapInArrow(rows, "x array<float>, y boolean").toArrow()
+    x = np.stack(got["x"].combine_chunks().to_numpy(zero_copy_only=False))
+    y = got["y"].to_numpy().astype(float)
+    order = np.lexsort(np.column_stack([y, x]).T)  # rows arrive in any order
+    model = boost(x[order], y[order])
+    model.said = said
+    return model
 
 
 def extract(pages: DataFrame, model: Trees, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -328,7 +472,7 @@ def extract(pages: DataFrame, model: Trees, id_col: str = "page_id", url_col: st
                     continue
                 batch = whole.slice(a, b - a)
                 parsed = [parse(x or "") for x in batch.column("html").to_pylist()]
-                rows = [features(p) for p in parsed]
+                rows = [features(p, held.value.said) for p in parsed]
                 odds = np.split(held.value.odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
                 found = [main_text(p, o) for p, o in zip(parsed, odds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(found, pa.string())], ["id", "url", "text"])

@@ -317,6 +317,57 @@ def test_html_kinds(spark):
     assert html_text.extract(df.limit(0), html_text.fit(df.limit(0))).collect() == []
 
 
+@pytest.fixture(scope="module")
+def page_model(spark):
+    return html_text.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def page_text(source, model):
+    page = html_text.parse(source)
+    return html_text.main_text(page, model.odds(html_text.features(page, model.said)))
+
+
+def test_html_blocks_by_their_surroundings(page_model):
+    prose = ("Here is a long paragraph of prose, which goes on for a while. " * 4).strip()
+    page = "<html><body><nav><a href=/>Home</a></nav>{}<footer>f</footer></body></html>"
+    cases = [
+        (f"<article><h1>Title</h1><h2 class='section-header'>Part</h2><p>{prose}</p></article>", f"Title Part {prose}"),
+        (f"<article><h1>Title</h1><p class='search-results-text'>Some words here.</p><p>{prose}</p></article>", f"Title Some words here. {prose}"),
+        (f"<article><header><h1>Title</h1></header><p>{prose}</p></article>", f"Title {prose}"),
+        (f"<article><h1>Title</h1><p>{prose}</p><p>{prose}</p></article><div class='rail'><h3>More</h3><p>{prose}</p></div>", f"Title {prose} {prose}"),
+        (f"<article><h1>Title</h1><p>{prose}</p></article><div id='disqus_thread'><p>{prose}</p><p>{prose}</p></div>", f"Title {prose}"),
+        (f"<article><h1>Title</h1><p>{prose}</p></article><section id='kommentare'><article><p>{prose}</p></article></section>", f"Title {prose}"),
+        (f"<article><h1>Title</h1><p>{prose}</p><p>{prose}</p></article><div class='qwertz'><p>{prose}</p></div>", f"Title {prose} {prose}"),
+    ]
+    for source, want in cases:
+        assert page_text(page.format(source), page_model) == want
+
+
+def test_html_of_other_makes(page_model):
+    """Pages of invented makes and names, from words that the model hasn't seen."""
+    scores, whole = [], 0
+    for k, source in duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.1/pages.parquet' WHERE page_id >= 2000 AND page_id < 2100").fetchall():
+        rng = random.Random(-k)
+        words = re.sub(r"<[^>]*>", " ", source).split()
+        for made in (html_text.varied(source, rng), html_text.composed(words, rng)):
+            page = html_text.parse(made)
+            kept = html_text.labels(page)
+            want = "".join(" " if t is None else t for n, t in page.parts if t is None or kept[n]).split()
+            got = page_text(re.sub(r" x-label=[01]", "", made), page_model).split()
+            scores.append(2 * (Counter(want) & Counter(got)).total() / (len(want) + len(got)))
+            whole += want == got
+    assert sum(scores) / len(scores) > 0.95 and whole > 0.85 * len(scores)
+
+
+def test_html_without_marks_or_pages(spark):
+    prose = ("Here is a long paragraph of prose, which goes on for a while. " * 3).strip()
+    source = f"<html><body><ul class='menu'><li><a href=/>Home</a></li></ul><div class='post'><h1>Title</h1><p>{prose}</p><p>{prose}</p></div><div class='footer'>f</div></body></html>"
+    df = spark.createDataFrame([(k, "u", source) for k in range(3)], "page_id bigint, url string, html string")
+    for pages in (df, df.limit(0), df.withColumn("html", F.lit(None).cast("string"))):
+        got = html_text.extract(df, html_text.fit(pages)).collect()
+        assert {r.text for r in got} == {f"Title {prose} {prose}"}
+
+
 # --- SimHash
 
 
