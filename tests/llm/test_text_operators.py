@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -579,6 +580,54 @@ def test_mixing_query(spark):
     check_mix([(i, t, s) for i, t, _, s in documents()], mixing.mix(common.table(spark, SF, "documents")).collect())
 
 
+def dither(i, source):
+    """Spark's hash of (id, source), a null leaving the seed as it is, as a number in [0, 1)."""
+    h = 42
+    for data in (None if i is None else struct.pack("<q", i), None if source is None else source.encode()):
+        h = h if data is None else xxhash.xxh64_intdigest(data, h)
+    return (h >> 11) / 2**53
+
+
+def plain_mix(got):
+    """Rates by bisection, one tilt for each source, and copies from the rates given."""
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    rates, copies = {}, Counter()
+    for s, rows in by.items():
+        words, docs, target = rows[0].source_size, len(rows), rows[0].target
+        mean = max(words / docs, 1)
+        rate = lambda lam, size: 2 / (1 + (2 / 1.5 - 1) * math.exp(min(700, -lam * size / mean)))  # noqa: B023, E731
+        if target >= 2 * words * (1 - 1e-9):
+            tilt = 1e9
+        else:
+            lo, hi = -1e3, 1e3
+            for _ in range(200):
+                tilt = (lo + hi) / 2
+                lo, hi = (tilt, hi) if sum(r.size * rate(tilt, r.size) for r in rows) < target else (lo, tilt)
+        for r in rows:
+            rates[s, r.size] = rate(tilt, r.size)
+        marks = sorted((k - (r.rate + dither(r.doc_id, s)), r.size) for r in rows if r.size for k in (1, 2))
+        best, total, cut = abs(target), 0, None
+        for n, (at, size) in enumerate(marks):
+            total += size
+            if (n + 1 == len(marks) or marks[n + 1][0] > at) and abs(total - target) < best:
+                best, cut = abs(total - target), at
+        for r in rows:
+            if r.size:
+                copies[r.doc_id, s, r.size, sum(cut is not None and k - (r.rate + dither(r.doc_id, s)) <= cut for k in (1, 2))] += 1
+    return rates, copies
+
+
+def test_mixing_against_a_plain_version(spark, odd):
+    for docs in (odd, common.table(spark, SF, "documents")):
+        got = mixing.mix(docs).collect()
+        rates, copies = plain_mix(got)
+        for r in got:
+            assert r.rate == pytest.approx(rates[r.source, r.size], rel=1e-4)
+        assert Counter((r.doc_id, r.source, r.size, r.copies) for r in got if r.size) == copies
+
+
 # --- exact dedup
 
 
@@ -726,6 +775,8 @@ def license_rows(rows):
 def test_licenses(spark, odd, empty):
     long = licenses.TEMPLATES["MIT notice"]
     more = [(500, "x y " + long.replace("charge", "cost") + " z"), (501, long.upper() + "\n" + long), (502, licenses.TEMPLATES["Apache-2.0"] + " and licensed under CC BY-NC 4.0, too."), (503, "released under the MIT")]
+    mit, apache = licenses.TEMPLATES["MIT text"], licenses.TEMPLATES["Apache-2.0 header"].split()
+    more += [(504, f"/* {mit} */ code"), (505, " ".join(apache[:20] + ["really"] + apache[20:])), (506, " ".join(apache[: len(apache) // 2])), (507, (mit + " x ") * 30), (508, licenses.TEMPLATES["GPL-2.0 header"])]
     rows = [r[:2] for r in odd_rows()] + [(i, t) for i, t, _, _ in documents()] + more
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = [(r.doc_id, r.license, r.containment) for r in licenses.scan(df).collect()]
@@ -754,6 +805,51 @@ def test_language(spark, odd, empty):
     assert language.predict(empty, model).collect() == []
 
 
+def plain_grams(text):
+    """Buckets of the 1- to 3-grams of a text, one at a time."""
+    text, out, full = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " ", [], (1 << 32) - 1
+    for at in range(len(text)):
+        h = 0
+        for n in range(1, 4):
+            if at + n > len(text):
+                break
+            h = ((h ^ (ord(text[at + n - 1]) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[n - 1] & full)) * 0x27D4EB2F) & full
+            if text[at : at + n].strip(" "):
+                m = (h + n) & full
+                out.append((((m ^ (m >> 15)) * 0x2C1B3C6D) & full) >> 18)
+    return out
+
+
+def test_language_against_a_plain_version(spark):
+    import zlib
+
+    docs = documents()
+    counts, seen = defaultdict(Counter), Counter()
+    for i, t, lang, _ in docs:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(plain_grams(t))
+            seen[lang] += 1
+    logs = {x: (math.log(seen[x] / seen.total()), {}, c, math.log(c.total() + 0.5 * (1 << 14))) for x, c in counts.items()}
+    got = {r.doc_id: r for r in entries.op10_language(spark, SF).collect()}
+    for i, t, _, _ in docs:
+        grams = Counter(plain_grams(t))
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        total = {x: prior + sum(n * (math.log(c[g] + 0.5) - whole) for g, n in grams.items()) for x, (prior, _, c, whole) in logs.items()}
+        best = max(sorted(total), key=total.get)
+        share = 1 / sum(math.exp(v - total[best]) for v in total.values())
+        assert got[i].score == pytest.approx(share, abs=2e-3)
+        if share > 0.6:
+            assert got[i].lang_pred == best
+
+
+def test_language_ties(spark):
+    model = language.fit(spark.createDataFrame([("b", "same text"), ("a", "same text")], "lang string, text string"))
+    rows = language.predict(spark.createDataFrame([(1, "same"), (1, "same"), (None, "other words")], "doc_id bigint, text string"), model).collect()
+    assert [r.lang_pred for r in rows] == ["a"] * 3 and all(r.score == pytest.approx(0.5) for r in rows)
+
+
 def test_language_scores(spark):
     rows = [("en", "the cat sat"), ("en", "the dog"), ("de", "der hund und die katze")]
     names, matrix = language.fit(spark.createDataFrame(rows, "lang string, text string"))
