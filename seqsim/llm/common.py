@@ -22,13 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about CHUNK_BYTES of one text or binary column, so that memory is bounded."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size_of: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about CHUNK_BYTES, or so many bytes, of one text or binary column, so that memory
+    is bounded."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = (np.cumsum(size) - size) // CHUNK_BYTES
+        group = (np.cumsum(size) - size) // (size_of or CHUNK_BYTES)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)

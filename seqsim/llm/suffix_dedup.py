@@ -44,7 +44,7 @@ def powers(of: int, n: int, inverse: bool = False) -> np.ndarray:
     held = POWERS.get((of, inverse), np.zeros(0, np.uint64))
     if len(held) <= n:
         base = pow(of, -1, 1 << 64) if inverse else of
-        held = np.cumprod(np.append(np.uint64(1), np.full(max(n, 5 * SORT_BYTES // 4), base, np.uint64)), dtype=np.uint64)
+        held = np.cumprod(np.append(np.uint64(1), np.full(max(n + n // 4, SORT_BYTES // 4), base, np.uint64)), dtype=np.uint64)
         if n <= 4 * SORT_BYTES:  # those for very long texts aren't kept
             POWERS[of, inverse] = held
     return held
@@ -173,6 +173,15 @@ def anchor_rows(batches: Iterator[pa.RecordBatch], base: int, limit: int) -> Ite
             met = {k: n for k, n in met.items() if n > limit}
         crowded = np.union1d(crowded, np.array(told, np.int64))
         many = np.isin(key, crowded)
+        # repeats that continue one another are one row
+        row = np.flatnonzero(repeat)
+        joined = (own[row[1:]] == own[row[:-1]]) & (a[row[1:]] <= b[row[:-1]] + LENGTH)
+        first = np.concatenate([[True], ~joined])[: len(row)]
+        ends = np.append(np.flatnonzero(first)[1:], len(row)) - 1
+        b[row[first]] = b[row[ends]] if len(row) else b[row]
+        keep = ~repeat
+        keep[row[first]] = True
+        own, key, context, m, a, b, uid, both, repeat, many = (v[keep] for v in (own, key, context, m, a, b, uid, both, repeat, many))
         alone = mixed((uid * 1_000_003 + m).view(np.uint64)).view(np.int64)
         key = np.where(repeat, alone, np.where(many, mixed(both.view(np.uint64)).view(np.int64), key))
         none = np.zeros(len(told), np.int64)
@@ -404,7 +413,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def repeated_spans(rows: DataFrame, base: int) -> DataFrame | None:
-    """(uid, start, stop) of bytes to remove from rows (uid, text); None if a hash of contexts has collided."""
+    """(uid, start, stop) of bytes to remove from rows (uid, text); None if a hash of contexts has collided.
+
+    Each step is a function of its own, so that what it shuffled can go when its result is stored."""
+    hits = shared_anchors(rows, base)
+    spans = runs(hits)
+    found = resolved(rows, hits, spans)
+    discarded(hits)
+    if found.where(F.col("stop") == UNEQUAL).limit(1).count():
+        return None
+    return spans.select("uid", "start", "stop").unionByName(found)
+
+
+def shared_anchors(rows: DataFrame, base: int) -> DataFrame:
+    """Anchors that aren't alone: `whole` if they repeat an earlier context, of suid, `shift` bytes before, or, where
+    that is null, one that their task has compared."""
     marks = rows.select("uid", "text").mapInArrow(partial(anchor_rows, base=base, limit=CROWDED_IN_TASK), MARKS)
     group = Window.partitionBy("key")
     order = group.orderBy("context", "uid", "anchor")
@@ -412,18 +435,25 @@ def repeated_spans(rows: DataFrame, base: int) -> DataFrame | None:
     seen = marks.withColumns({"again": F.coalesce(again, F.lit(False)), "suid": F.lag("uid").over(order), "sanchor": F.lag("anchor").over(order)})
     seen = seen.withColumn("several", F.min("context").over(group) != F.max("context").over(group))
     seen = seen.withColumn("crowded", F.max("crowded").over(group) | (F.count(F.lit(1)).over(group) > CROWDED)).where("uid >= 0")
-    whole = F.col("repeat") | F.col("again")
-    source = F.when(F.col("again") & ~F.col("repeat"), F.col("suid"))
-    hits = saved(
-        seen.where("repeat or again or several or crowded")
-        .select("key", "uid", "anchor", "before", "after", "crowded", whole.alias("whole"), source.alias("suid"), (F.col("anchor") - F.col("sanchor")).alias("shift"))
-        .withColumn("shift", F.when(F.col("suid").isNotNull(), F.col("shift")))
+    whole, source = F.col("repeat") | F.col("again"), F.col("again") & ~F.col("repeat")
+    return saved(
+        seen.where("repeat or again or several or crowded").select(
+            F.when(~whole, F.col("key")).alias("key"), "uid", "anchor", "before", "after", "crowded", whole.alias("whole"),
+            F.when(source, F.col("suid")).alias("suid"), F.when(source, F.col("anchor") - F.col("sanchor")).alias("shift"),
+        )
     )
-    # repeats that continue one another
+
+
+def runs(hits: DataFrame) -> DataFrame:
+    """(uid, suid, shift, start, stop): repeats that continue one another as spans."""
     run = Window.partitionBy("uid", "suid", "shift").orderBy("start")
     spans = hits.where("whole").select("uid", "suid", "shift", (F.col("anchor") - F.col("before")).alias("start"), (F.col("anchor") - F.col("after") + LENGTH).alias("stop"))
     spans = spans.withColumn("new", F.coalesce(F.lag("stop").over(run) < F.col("start"), F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(run))
-    spans = saved(spans.groupBy("uid", "suid", "shift", "nth").agg(F.min("start").alias("start"), F.max("stop").alias("stop")))
+    return saved(spans.groupBy("uid", "suid", "shift", "nth").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("nth"))
+
+
+def resolved(rows: DataFrame, hits: DataFrame, spans: DataFrame) -> DataFrame:
+    """(uid, start, stop) of repeats among the anchors that aren't whole; UNEQUAL stops tell of spans that differ."""
     told = spans.where("suid is not null").withColumn("key", F.xxhash64("uid", "suid", "start"))
     shown = told.select("uid", "key", F.col("uid").alias("of"), F.col("start").alias("at"), "start", "stop").unionByName(
         told.select(F.col("suid").alias("uid"), "key", F.col("uid").alias("of"), F.col("start").alias("at"), (F.col("start") - F.col("shift")).alias("start"), (F.col("stop") - F.col("shift")).alias("stop"))
@@ -432,8 +462,4 @@ def repeated_spans(rows: DataFrame, base: int) -> DataFrame | None:
     asked = asked.unionByName(shown.select("uid", F.struct("key", "of", "at", "start", "stop").alias("span")), allowMissingColumns=True)
     asked = asked.groupBy("uid").agg(F.collect_list("mark").alias("marks"), F.collect_list("span").alias("spans"))
     contexts = rows.select("uid", "text").join(asked, "uid").select("uid", "text", "marks", "spans").mapInArrow(context_rows, CONTEXT)
-    found = saved(contexts.repartition("key").sortWithinPartitions("key", "uid", "first").mapInArrow(resolve, "uid bigint, start bigint, stop bigint"))
-    discarded(hits)
-    if found.where(F.col("stop") == UNEQUAL).limit(1).count():
-        return None
-    return spans.select("uid", "start", "stop").unionByName(found)
+    return saved(contexts.repartition("key").sortWithinPartitions("key", "uid", "first").mapInArrow(resolve, "uid bigint, start bigint, stop bigint"))
