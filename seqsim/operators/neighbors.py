@@ -73,9 +73,10 @@ def variants(useqs: DataFrame, distance: int, measure: str | Verify, edits: int
     else:
         exploded = useqs.select("seq", F.explode(S.deletion_variants(seq, most)).alias("variant"), F.lit(0).alias("also"))
     if blocks > 1:
-        own = F.sequence(F.lit(0), F.lit(blocks - 1)) if every_block else F.array(F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int"))
-        # shorter ones never share a variant with long ones within the distance
-        exploded = exploded.withColumn("block", F.explode(F.when(F.length("seq") >= S.PREFIX - most, own).otherwise(F.array(F.lit(0)))))
+        # long ones have a block, and are met in each; so are those that may share a variant with long ones
+        own = F.when(F.length("seq") > S.PREFIX, F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int")).otherwise(0)
+        each = F.when(F.length("seq") >= S.PREFIX - most, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(0)))
+        exploded = exploded.withColumn("block", F.explode(each) if every_block else own)
         return exploded.select(F.xxhash64("variant", "also", "block").alias("key"), "seq")
     return exploded.select(F.xxhash64("variant", "also").alias("key"), "seq")
 
