@@ -65,7 +65,7 @@ def blocks_for(useqs: DataFrame) -> int:
 
 
 def variants(useqs: DataFrame, distance: int, measure: str | Verify, edits: int | None = None, blocks: int = 1, every_block: bool = False) -> DataFrame:
-    """(key, seq) of distinct sequences: hashed deletion variants, or for Hamming masked ones with the length. With
+    """(key, seq) of distinct sequences, none null: hashed deletion variants, or for Hamming masked ones with the length. With
     blocks, keys of long sequences are of one block, or of each."""
     seq, most = F.col("seq"), edits or distance
     if measure == "hamming":

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seqsim.operators.neighbors import variants, verified
+from seqsim.operators.neighbors import distinct_seqs, variants, verified
 
 
 def write_index(useqs: DataFrame, path: str, distance: int, measure: str = "levenshtein", files: int | None = None) -> None:
-    """The hashed variants of the distinct sequences, as a table sorted by key within files that hold key ranges, so
+    """The hashed variants of the distinct sequences, nulls left out, as a table sorted by key within files that hold key ranges, so
     that a lookup skips files and row groups."""
-    keys = variants(useqs, distance, measure)
+    keys = variants(distinct_seqs(useqs), distance, measure)
     (keys.repartitionByRange(files, "key") if files else keys.repartitionByRange("key")).sortWithinPartitions("key").write.mode("overwrite").parquet(path)
 
 
 def lookup(queries: DataFrame, index: DataFrame, distance: int, measure: str = "levenshtein") -> DataFrame:
     """(seq_q, seq_i, dist) of query sequences and those of an index written for this distance and measure."""
-    q = variants(queries, distance, measure).withColumnRenamed("seq", "seq_q")
+    q = variants(distinct_seqs(queries), distance, measure).withColumnRenamed("seq", "seq_q")
     return verified(q.join(index.withColumnRenamed("seq", "seq_i"), "key"), "seq_q", "seq_i", distance, measure).distinct()
 
 
