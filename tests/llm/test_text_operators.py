@@ -479,6 +479,26 @@ def test_near_texts_among_odd_ids(spark):
     assert ordered(got) == ordered([r for k, r in enumerate(rows) if root[k] == k])
 
 
+def test_near_texts_in_large_groups(spark):
+    """Thousands of near copies and of texts that share a passage: one class, and none; pairs stay few."""
+    rng = random.Random(51)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    base, passage, texts = [word() for _ in range(140)], [word() for _ in range(60)], []
+    for k in range(2000):
+        copy = list(base)
+        copy[rng.randrange(140)] = f"edit{k}"
+        own = [word() for _ in range(60)]
+        at = rng.randrange(60)
+        texts += [" ".join(copy), " ".join(own[:at] + passage + own[at:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    sets = near_texts.shingle_sets(common.keyed(df, "doc_id", "text"), 5)
+    held = near_texts.entries(sets, near_texts.equal_links(sets, 0.8), 0.8)
+    tree = common.saved(simhash.components(near_texts.center_links(held, sets, 0.8)).withColumnRenamed("node", "uid"))
+    rest = near_texts.open_members(held, tree, sets)
+    assert rest.where("root != bulk").count() < 20 * len(texts)
+    assert sorted(r.doc_id for r in near_texts.keep_one(df).collect()) == [0, *range(1, 4000, 2)]
+
+
 def test_near_texts_on_odd_rows(spark, odd):
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     root = near_roots([r[1] for r in rows])
@@ -866,6 +886,24 @@ def test_language_scores(spark):
 # --- pipeline and SQL
 
 
+def test_pipeline_on_odd_rows(spark, odd, empty):
+    """Null and repeated ids, extra columns of any name, long texts and no rows at all, through every stage."""
+    for docs in (odd, empty):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.saved(stage(spark, docs, SF))
+            if name != "tokens":
+                assert docs.columns == columns
+    rows = sorted((r for r in odd_rows() if not (facts(r[1])[0] < 50 or 2 * facts(r[1])[4] > facts(r[1])[0])), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    last = {r[1]: r for r in rows}
+    rows = [r for r in rows if last[r[1]] is r]
+    root = near_roots([r[1] for r in rows])
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = common.saved(stage(spark, docs, SF))
+    assert ordered(tuple(r) for r in docs.collect()) == ordered(r for k, r in enumerate(rows) if root[k] == k)
+
+
 def test_pipeline(spark):
     rows = documents()
     v = verdicts([(t, s) for _, t, _, s in rows], quality.Limits())
