@@ -1,4 +1,4 @@
-"""The text operators' queries, op1 to op10, and their SQL for DuckDB."""
+"""The queries of the text and vector operators, op1 to op13, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqsim.llm import byte_bpe, exact_dedup, html_text, language, licenses, mixing, quality, simhash, suffix_dedup, url_filter
+from seqsim.llm import byte_bpe, exact_dedup, html_text, language, licenses, mixing, negatives, periodic, quality, simhash, suffix_dedup, url_filter
 from seqsim.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,5 +165,50 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language)}
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_licenses": OP9_SQL}
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by the id's CRC-32, repeats a stretch of their words from some word on."""
+    words, h = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.crc32(F.col("doc_id").cast("string"))
+    held = docs.select("doc_id", "text", (h % 10 == 0).alias("some"), F.floor(h / 10).alias("g")).withColumn("w", F.when(F.col("some"), words))
+    held = held.withColumn("n", F.when(F.size("w") > 0, F.size("w"))).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    held = held.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.element_at("w", F.col("a") + i % F.col("p") + 1))
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text"))
+    return held.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("from"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    out = found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.from")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return out.withColumn("exponent_milli", F.floor(1000 * F.col("length") / F.col("period")).cast("bigint"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(shifted, F.col("id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language, op12_periodic_runs, op13_hard_negatives)}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_licenses": OP9_SQL, "op13_hard_negatives": OP13_SQL}
