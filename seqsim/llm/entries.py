@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqsim.llm import byte_bpe, exact_dedup, html_text, language, licenses, mixing, negatives, periodic, quality, simhash, suffix_dedup, url_filter
+from seqsim.llm import byte_bpe, exact_dedup, html_text, language, licenses, minhash_forest, mixing, negatives, periodic, quality, simhash, suffix_dedup, url_filter
 from seqsim.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_sets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text): a tenth of the documents, by the id's CRC-32, repeats a stretch of their words from some word on."""
     words, h = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.crc32(F.col("doc_id").cast("string"))
@@ -210,5 +214,5 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIF
 """
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language, op12_periodic_runs, op13_hard_negatives)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language, op11_minhash_forest, op12_periodic_runs, op13_hard_negatives)}
 ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_licenses": OP9_SQL, "op13_hard_negatives": OP13_SQL}

@@ -17,7 +17,7 @@ Only components are asked for, so an entry's members aren't all compared with ea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,9 @@ CHUNK_SHINGLES = 1 << 18
 PARITIES = 4
 P = [f"p{i}" for i in range(PARITIES)]
 
+#: What confirms candidate pairs (a, b).
+Verify = Callable[[DataFrame], DataFrame]
+
 
 def shingle_sets_of(batch: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; of a text with fewer words, of its whole sequence."""
@@ -159,15 +162,20 @@ def likely(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return saved(both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(judge, "a bigint, b bigint"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) of uids whose texts have a shingle similarity of at least `share`."""
-    pairs = likely(pairs, sets, share)
-    sets = sets.select("uid", "s").join(slight(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "uid", "left_semi")
+def compared(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose sets (uid, s) have a similarity of at least `share`."""
     left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a")
     met = left.join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     near = met.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), both.alias("both"))
-    return saved(near.where(F.col("both") >= share * (F.col("n") - F.col("both")) - 1e-9).select("a", "b"))
+    return near.where(F.col("both") >= share * (F.col("n") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) of uids whose texts have a shingle similarity of at least `share`."""
+    pairs = likely(pairs, sets, share)
+    sets = sets.select("uid", "s").join(slight(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "uid", "left_semi")
+    return saved(compared(pairs, sets, share))
 
 
 def equal_links(sets: DataFrame, share: float) -> DataFrame:
@@ -176,20 +184,24 @@ def equal_links(sets: DataFrame, share: float) -> DataFrame:
     return verified(saved(sets.select("uid", "h", "n").join(firsts, ["h", "n"]).where("uid > a").select("a", F.col("uid").alias("b"))), sets, share)
 
 
-def entries(sets: DataFrame, same: DataFrame, share: float) -> DataFrame:
+def prefix_entries(sets: DataFrame, share: float) -> DataFrame:
     """(key, uid, at, cu): the members of entries of several texts, each with its entry's center."""
-    single = sets.join(slight(same.select(F.col("b").alias("uid"))), "uid", "left_anti")
-    every = prefixes(single, share)
+    every = prefixes(sets, share)
     several = every.groupBy("key").agg(F.min("uid").alias("cu"), F.max("uid").alias("last")).where("cu < last").drop("last")
-    return saved(every.join(several, "key"))
+    return every.join(several, "key")
+
+
+def entries(sets: DataFrame, same: DataFrame, share: float) -> DataFrame:
+    """The entries of the texts that no equal set stands for."""
+    return saved(prefix_entries(sets.join(slight(same.select(F.col("b").alias("uid"))), "uid", "left_anti"), share))
 
 
-def center_links(held: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+def center_links(held: DataFrame, sets: DataFrame, share: float, verify: Verify) -> DataFrame:
     """Links between members of an entry and its center."""
     mine = sets.select("uid", "n", *P)
     met = held.where("uid > cu").select(F.col("cu").alias("a"), F.col("uid").alias("b")).distinct()
     met = met.join(mine.alias("x"), F.col("a") == F.col("x.uid")).join(mine.alias("y"), F.col("b") == F.col("y.uid")).where(near_enough(share, "x", "y"))
-    return verified(met.select("a", "b"), sets, share)
+    return verify(met.select("a", "b"))
 
 
 def open_members(held: DataFrame, tree: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,13 +214,13 @@ def open_members(held: DataFrame, tree: DataFrame, sets: DataFrame) -> DataFrame
     return saved(rest.withColumn("o", F.xxhash64("uid")), instead_of=named)
 
 
-def cross_links(rest: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+def cross_links(rest: DataFrame, share: float, verify: Verify) -> DataFrame:
     """Links between members of different components."""
     x, y = rest.where("root != bulk").alias("x"), rest.alias("y")
     once = (F.col("y.root") == F.col("y.bulk")) | (F.struct("x.o", "x.uid") < F.struct("y.o", "y.uid"))
     new = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & fits(share, "x.n", "y.n", "x.at", "y.at") & near_enough(share, "x", "y")
     cross = x.join(y, new).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
-    return verified(cross.distinct(), sets, share)
+    return verify(cross.distinct())
 
 
 def joined_tree(tree: DataFrame, more: DataFrame) -> DataFrame:
@@ -228,9 +240,10 @@ def near_tree(rows: DataFrame, width: int, share: float) -> DataFrame:
     sets = shingle_sets(rows, width)
     same = equal_links(sets, share)
     held = entries(sets, same, share)
-    tree = saved(components(same.unionByName(center_links(held, sets, share))).withColumnRenamed("node", "uid"))
+    verify = lambda pairs: verified(pairs, sets, share)
+    tree = saved(components(same.unionByName(center_links(held, sets, share, verify))).withColumnRenamed("node", "uid"))
     rest = open_members(held, tree, sets)
-    more = cross_links(rest, sets, share)
+    more = cross_links(rest, share, verify)
     discarded(rest, sets)
     return joined_tree(tree, more)
 
