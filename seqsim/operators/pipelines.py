@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
 from seqsim.functions.tcrdist import loop_score
-from seqsim.operators.neighbors import CROWD, distinct_pairs, expanded, mirrored, spread
+from seqsim.operators.neighbors import CROWD, distinct_pairs, mirrored, spread
 
 
 def close_pairs(met: DataFrame, cutoff: float) -> DataFrame:
@@ -36,18 +36,34 @@ def lineage_candidates(rows: DataFrame, k: int, distance: int) -> DataFrame:
 
 
 def lineage_pairs(rows: DataFrame, k: int = 6, distance: int = 1, cutoff: float = 0.15) -> DataFrame:
-    """(id_a, id_b, dist, len), id_a < id_b, of candidates whose whole sequences differ in under cutoff * length places."""
-    return close_pairs(lineage_candidates(rows, k, distance), cutoff)
+    """(id_a, id_b, dist, len), id_a < id_b, of candidates whose whole sequences differ in under cutoff * length places. Where no
+    difference is allowed at a length, rows meet by their sequence instead."""
+    strict = allows_equal_only(cutoff)
+    return close_pairs(lineage_candidates(rows.where(~strict), k, distance), cutoff).unionByName(equal_rows(rows.where(strict), cutoff))
 
 
-def lineage_pairs_exhaustive(rows: DataFrame, cutoff: float = 0.15, blocks: int = 8) -> DataFrame:
-    """As lineage_pairs, without the filter: every two rows of one v, j and length are compared. A group's rows are
-    dealt into blocks, each of which meets the whole group, so that a large group has several tasks."""
-    group = ["v", "j", "len", "block"]
-    base = rows.select("id", "v", "j", "seq", F.length("seq").alias("len"))
-    a = base.select("v", "j", "len", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").alias("id_a"), F.col("seq").alias("seq_a"))
-    b = base.select("v", "j", "len", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("id").alias("id_b"), F.col("seq").alias("seq_b"))
-    return close_pairs(spread(a, *group).join(b.hint("merge"), group).where("id_a < id_b"), cutoff)
+def allows_equal_only(cutoff: float) -> Column:
+    """Whether under cutoff * length differences means none; true for null sequences."""
+    return F.coalesce(F.lit(cutoff) * F.length("seq") <= 1, F.lit(True))
+
+
+def equal_rows(rows: DataFrame, cutoff: float) -> DataFrame:
+    """(id_a, id_b, dist, len) of the rows of one v, j and sequence."""
+    a, b = (rows.where(F.lit(cutoff) * F.length("seq") > 0).select("v", "j", "seq", F.col("id").alias(f"id_{s}")) for s in "ab")
+    return a.join(b, ["v", "j", "seq"]).where("id_a < id_b").select("id_a", "id_b", F.lit(0).alias("dist"), F.length("seq").alias("len"))
+
+
+def lineage_pairs_exhaustive(rows: DataFrame, cutoff: float = 0.15) -> DataFrame:
+    """As lineage_pairs, without the filter: every two rows of one v, j and length are compared, if a difference is allowed
+    at that length; else equal rows meet by their sequence. A group's rows are dealt into blocks of about CROWD, each of
+    which meets the whole group, so that a large group has several tasks."""
+    group, strict = ["v", "j", "len", "block"], allows_equal_only(cutoff)
+    base = rows.where(~strict).select("id", "v", "j", "seq", F.length("seq").alias("len"))
+    dealt = base.join(base.groupBy("v", "j", "len").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks")), ["v", "j", "len"])
+    a = dealt.select("v", "j", "len", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("id_a"), F.col("seq").alias("seq_a"))
+    b = dealt.select("v", "j", "len", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("id_b"), F.col("seq").alias("seq_b"))
+    near = close_pairs(spread(a, *group).join(b.hint("merge"), group).where("id_a < id_b"), cutoff)
+    return near.unionByName(equal_rows(rows.where(strict), cutoff))
 
 
 def recall(found: DataFrame, every: DataFrame) -> DataFrame:
@@ -57,34 +73,44 @@ def recall(found: DataFrame, every: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b)).select("found", "every", (F.col("found") / F.col("every")).alias("recall"))
 
 
-def with_score(both: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
-    """(x, y, tcrdist), up to `most`, from rows with seq_x, gene_x, seq_y and gene_y; genes: (gene_a, gene_b, dist), 0 for others."""
+def with_genes(both: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
+    """(x, y, tcrdist), up to `most`, from rows with gene_x, gene_y and the score of the loops; genes: (gene_a, gene_b, dist), 0
+    for others."""
     extra: Column = F.lit(0)
     if genes is not None:
         both = both.join(genes.select(F.col("gene_a").alias("gene_x"), F.col("gene_b").alias("gene_y"), F.col("dist").alias("extra")), ["gene_x", "gene_y"], "left")
         extra = F.coalesce("extra", F.lit(0))
-    return both.select("x", "y", (loop_score(F.col("seq_x"), F.col("seq_y")) + extra).alias("tcrdist")).where(F.col("tcrdist") <= most)
+    return both.select("x", "y", (F.col("loops") + extra).alias("tcrdist")).where(F.col("tcrdist") <= most)
 
 
-def scored(pairs: DataFrame, rows: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
-    """Pairs (x, y) of rows (seq_id, seq, gene) with `tcrdist`, up to `most`; genes: (gene_a, gene_b, dist), else 0."""
-    a, b = (rows.select(F.col("seq_id").alias(s), F.col("seq").alias(f"seq_{s}"), F.col("gene").alias(f"gene_{s}")) for s in "xy")
-    return with_score(spread(pairs.select("x", "y"), "x", "y").join(a, "x").join(b, "y"), genes, most)
+def with_score(both: DataFrame, genes: DataFrame | None, most: int) -> DataFrame:
+    """As with_genes, from rows with seq_x, gene_x, seq_y and gene_y."""
+    return with_genes(both.withColumn("loops", loop_score(F.col("seq_x"), F.col("seq_y"))), genes, most)
 
 
 def tcrdist_neighbors(rows: DataFrame, edits: int = 2, most: int = 51, genes: DataFrame | None = None) -> DataFrame:
-    """(x, y, tcrdist), both orders, of rows (seq_id, seq, gene) at up to `edits` edits and a TCR distance up to `most`."""
-    near = expanded(distinct_pairs(rows, edits), rows)
-    return mirrored(scored(near, rows, genes, most))
+    """(x, y, tcrdist), both orders, of rows (seq_id, seq, gene) at up to `edits` edits and a TCR distance up to `most`. Pairs of
+    more edits are lost; receptor_search.tcrdist_within finds all.
+
+    Distinct sequences are compared and scored; what is near goes to rows, and only genes are looked up there.
+    """
+    held = rows.where("seq is not null").select("seq_id", "seq", "gene")
+    near = distinct_pairs(held, edits).select("seq_a", "seq_b", loop_score(F.col("seq_a"), F.col("seq_b")).alias("loops")).where(F.col("loops") <= most)
+    a, b = (held.select(F.col("seq").alias(f"seq_{s}"), F.col("seq_id").alias(t), F.col("gene").alias(f"gene_{t}")) for s, t in (("a", "x"), ("b", "y")))
+    columns = ["x", "y", "gene_x", "gene_y", "loops"]
+    met = near.join(a, "seq_a").join(b, "seq_b").select(columns)
+    equal = a.join(b, F.col("seq_a") == F.col("seq_b")).where("x < y").withColumn("loops", F.lit(0)).select(columns)
+    return mirrored(with_genes(met.unionByName(equal), genes, most))
 
 
 def tcrdist_exhaustive(rows: DataFrame, most: int = 51, genes: DataFrame | None = None, blocks: int = 16) -> DataFrame:
     """As tcrdist_neighbors, without the filter: blocks of rows meet each other once."""
-    dealt = rows.select("seq_id", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = rows.select("seq_id", "seq", "gene", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = dealt.select(F.col("seq_id").alias("x"), F.col("block").alias("i"), F.explode(every).alias("j"))
-    b = dealt.select(F.col("seq_id").alias("y"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    return mirrored(scored(a.join(b, ["i", "j"]).where("x < y").select("x", "y"), rows, genes, most))
+    side = lambda s: (F.col("seq_id").alias(s), F.col("seq").alias(f"seq_{s}"), F.col("gene").alias(f"gene_{s}"))
+    a = dealt.select(*side("x"), F.col("block").alias("i"), F.explode(every).alias("j"))
+    b = dealt.select(*side("y"), F.explode(every).alias("i"), F.col("block").alias("j"))
+    return mirrored(with_score(spread(a, "i", "j").join(b.hint("merge"), ["i", "j"]).where("x < y"), genes, most))
 
 
 def tcrdist_of(queries: DataFrame, rows: DataFrame, most: int = 51, genes: DataFrame | None = None, blocks: int = 64) -> DataFrame:
