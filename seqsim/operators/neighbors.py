@@ -1,17 +1,20 @@
 """All pairs of sequences within a distance.
 
 Sequences are reduced to distinct ones, each is exploded into its deletion variants, and variants meet in an equi-join
-on their 64-bit hash; what meets is verified on whole sequences, then made distinct. Pairs are between distinct
-sequences; expanded() gives them back to rows. Spark shuffles on the hashed variants. How many sequences up to PREFIX
-letters share a variant is bounded by the alphabet; longer ones with one head are counted, and where they are many, one
-side of the join is dealt into blocks and the other is copied to each, so that no key has all of their pairs.
+on a hash of them; what meets is verified on whole sequences. Two sequences meet at every variant that they share. For
+Hamming a key says how many letters are masked, and a pair is given where that is its distance, which is at one key. For
+Levenshtein it says how many letters are left: a pair is given where no more than its distance are gone, which at distance 1
+is at one key too; only at 2 and more is the rest made distinct. Pairs are between distinct sequences; expanded() gives
+them back to rows. Spark shuffles on the hashed variants. How many sequences up to PREFIX letters share a variant is bounded by the alphabet; longer ones with
+one head are counted, and where they are many, one side of the join is dealt into blocks and the other is copied to
+each, so that no key has all of their pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
@@ -41,10 +44,10 @@ def verifier(distance: int, measure: str | Verify) -> Verify:
     raise SequenceError(f"unknown measure {measure!r}")
 
 
-def verified(met: DataFrame, a: str, b: str, distance: int, measure: str | Verify) -> DataFrame:
-    """(a, b, dist) of the rows whose sequences are within `distance`."""
+def verified(met: DataFrame, a: str, b: str, distance: int, measure: str | Verify, *others: str) -> DataFrame:
+    """(others, a, b, dist) of the rows whose sequences are within `distance`."""
     near = F.col("dist") >= 0 if measure == "levenshtein" else F.col("dist") <= distance
-    return met.select(a, b, verifier(distance, measure)(F.col(a), F.col(b)).alias("dist")).where(near)
+    return met.select(*others, a, b, verifier(distance, measure)(F.col(a), F.col(b)).alias("dist")).where(near)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -64,29 +67,76 @@ def blocks_for(useqs: DataFrame) -> int:
     return max(1, -(-(heads.agg(F.max("n")).first()[0] or 0) // CROWD))
 
 
+def own_block(seq: Column, blocks: int) -> Column:
+    """The block of a sequence: long ones are dealt out, others are of block 0."""
+    return F.when(F.length(seq) > S.PREFIX, F.pmod(F.xxhash64(seq), F.lit(blocks)).cast("int")).otherwise(0)
+
+
+def hashed(variant: Column, mark: Column, length: Column, block: Column) -> Column:
+    """The key of a variant: its hash, with a mark of 5 bits. length: of its sequence, where only those of one length are to
+    meet."""
+    return F.shiftleft(F.xxhash64(variant, mark, length, block), 5).bitwiseOR(mark.cast("bigint"))
+
+
+def keys_of(seq: Column, distance: int, measure: str | Verify, block: Column) -> Column:
+    """The distinct keys of a sequence: of its masked variants, marked with how many letters are masked, for Hamming, else of
+    its deletion variants, marked with how many letters they have."""
+    if measure != "hamming":
+        return F.array_distinct(F.transform(S.deletion_variants(seq, distance), lambda v: hashed(v, F.length(v), F.lit(0), block)))
+    kinds = [F.when(F.length(seq) > S.PREFIX, F.array(hashed(F.substring(seq, 1, S.PREFIX), F.lit(0), F.length(seq), block))).otherwise(F.array().cast("array<bigint>"))]
+    for k in range(1, distance + 1):
+        mark = F.lit(k)
+        some = F.transform(S.masked_variants(seq, k), lambda v: hashed(v, mark, F.length(seq), block))  # noqa: B023  called at once
+        kinds.append(F.when(F.length(seq) >= k, some).otherwise(F.array().cast("array<bigint>")))
+    return F.array_distinct(F.concat(*kinds))
+
+
 def variants(useqs: DataFrame, distance: int, measure: str | Verify, edits: int | None = None, blocks: int = 1, every_block: bool = False) -> DataFrame:
-    """(key, seq) of distinct sequences, none null: hashed deletion variants, or for Hamming masked ones with the length. With
-    blocks, keys of long sequences are of one block, or of each."""
+    """(key, seq) of distinct sequences, none null: hashed variants. With blocks, keys of long sequences are of one block, or
+    of each."""
     seq, most = F.col("seq"), edits or distance
+    block, rows = F.lit(0), useqs.select("seq")
+    if blocks > 1 and every_block:  # long ones are met in each block; so are those that may share a variant with long ones
+        rows = rows.withColumn("block", F.explode(F.when(F.length("seq") >= S.PREFIX - most, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(0)))))
+        block = F.col("block")
+    elif blocks > 1:
+        block = own_block(seq, blocks)
+    return rows.select(F.explode(keys_of(seq, most, measure, block)).alias("key"), "seq")
+
+
+def once(near: DataFrame, a: str, b: str, distance: int, measure: str | Verify, blocks: int = 1) -> DataFrame:
+    """(a, b, dist), each pair once, of rows (key, a, b, dist) of all keys at which a pair has met."""
+    x, y, mark, dist = F.col(a), F.col(b), F.col("key").bitwiseAND(F.lit(31)), F.col("dist")
     if measure == "hamming":
-        exploded = useqs.select("seq", F.explode(S.masked_variants(seq, distance)).alias("variant"), F.length("seq").alias("also"))
-    else:
-        exploded = useqs.select("seq", F.explode(S.deletion_variants(seq, most)).alias("variant"), F.lit(0).alias("also"))
-    if blocks > 1:
-        # long ones have a block, and are met in each; so are those that may share a variant with long ones
-        own = F.when(F.length("seq") > S.PREFIX, F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int")).otherwise(0)
-        each = F.when(F.length("seq") >= S.PREFIX - most, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(0)))
-        exploded = exploded.withColumn("block", F.explode(each) if every_block else own)
-        return exploded.select(F.xxhash64("variant", "also", "block").alias("key"), "seq")
-    return exploded.select(F.xxhash64("variant", "also").alias("key"), "seq")
+        heads = S.hamming(F.substring(x, 1, S.PREFIX), F.substring(y, 1, S.PREFIX))
+        return near.where(mark == F.when(F.length(x) <= S.PREFIX, dist).otherwise(heads)).drop("key")
+    if measure != "levenshtein":
+        return near.drop("key").distinct()
+    # heads of sequences at a distance have a common variant with as many deletions at most
+    longest = F.greatest(F.length(x), F.length(y))
+    near = near.where(dist >= F.least(longest, F.lit(S.PREFIX)) - mark)
+    if distance > 1:
+        return near.drop("key").distinct()
+    # short sequences at distance 1 have one such variant only; heads of long ones may have more: the first counts
+    common = F.array_intersect(keys_of(x, 1, measure, own_block(x, blocks)), keys_of(y, 1, measure, own_block(x, blocks)))
+    return near.where((longest <= S.PREFIX) | (common[0] == F.col("key"))).drop("key")
+
+
+#: What distinct_pairs counts: pairs that meet under a key, those of them within the distance, and pairs given.
+COUNTED = ("candidates", "verified", "pairs")
 
 
-def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "levenshtein", edits: int | None = None) -> DataFrame:
+def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "levenshtein", edits: int | None = None, counters: Sequence[Observation] = ()) -> DataFrame:
     """(seq_a, seq_b, dist), seq_a < seq_b, of distinct sequences within `distance`.
 
     measure: "levenshtein", "hamming" or a function of two columns; for a function, `edits` says how many edits its
-    candidates may be apart. Null sequences have no pairs.
+    candidates may be apart. Null sequences have no pairs. counters: three observations, which get as `n` what COUNTED
+    names, in the job that first computes the result.
     """
+
+    def counted(df: DataFrame, which: int) -> DataFrame:
+        return df.observe(counters[which], F.count(F.lit(1)).alias("n")) if counters else df
+
     verifier(distance, measure)  # wrong arguments fail here
     held = distinct_seqs(useqs)
     blocks = blocks_for(held)
@@ -96,7 +146,8 @@ def distinct_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "lev
     met = a.join(b.hint("merge"), "key").where(F.col("seq_a") < F.col("seq_b"))
     if measure == "hamming":
         met = met.where(F.length("seq_a") == F.length("seq_b"))
-    return verified(met, "seq_a", "seq_b", distance, measure).distinct()
+    near = counted(verified(counted(met, 0), "seq_a", "seq_b", distance, measure, "key"), 1)
+    return counted(once(near, "seq_a", "seq_b", distance, measure, blocks), 2)
 
 
 def looked_up_pairs(useqs: DataFrame) -> DataFrame:
@@ -111,10 +162,12 @@ def looked_up_pairs(useqs: DataFrame) -> DataFrame:
     return asked.where("seq < other").join(held, "other").select(F.col("seq").alias("seq_a"), F.col("other").alias("seq_b"), F.lit(1).alias("dist")).distinct()
 
 
-def exhaustive_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "levenshtein", blocks: int = 16) -> DataFrame:
-    """As distinct_pairs, by comparing everything: a check for small inputs. Sequences are dealt into blocks and each
-    block meets each other once, so that no task holds more than two blocks."""
-    base = useqs.select("seq").where("seq is not null").distinct().withColumn("block", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int"))
+def exhaustive_pairs(useqs: DataFrame, distance: int, measure: str | Verify = "levenshtein", blocks: int | None = None) -> DataFrame:
+    """As distinct_pairs, by comparing everything: a check for small inputs. Sequences are dealt into blocks, of about CROWD
+    unless told, and each block meets each other once, so that no task holds more than two blocks."""
+    held = distinct_seqs(useqs)
+    blocks = blocks or max(4, -(-held.count() // CROWD))
+    base = held.withColumn("block", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     a = base.select(F.col("seq").alias("seq_a"), F.col("block").alias("i"), F.explode(every).alias("j"))
     b = base.select(F.col("seq").alias("seq_b"), F.explode(every).alias("i"), F.col("block").alias("j"))
@@ -171,7 +224,9 @@ def neighbors_between(queries: DataFrame, index: DataFrame, distance: int = 1, m
     blocks = max(blocks_for(held_q), blocks_for(held_i))
     q = variants(held_q, distance, measure, blocks=blocks).withColumnRenamed("seq", "seq_q")
     i = variants(held_i, distance, measure, blocks=blocks, every_block=True).withColumnRenamed("seq", "seq_i")
-    return verified(q.join(i.hint("merge"), "key"), "seq_q", "seq_i", distance, measure).distinct()
+    met = verified(q.join(i.hint("merge"), "key").where("seq_q != seq_i"), "seq_q", "seq_i", distance, measure, "key")
+    equal = held_q.join(held_i, "seq").select(F.col("seq").alias("seq_q"), F.col("seq").alias("seq_i"), F.lit(0).alias("dist"))
+    return once(met, "seq_q", "seq_i", distance, measure, blocks).unionByName(equal)
 
 
 def variant_group_sizes(useqs: DataFrame, distance: int) -> DataFrame:

@@ -1,16 +1,27 @@
-"""Overlap of repertoires: abundance-weighted counts of exact and near matches."""
+"""Overlap of repertoires: abundance-weighted counts of exact and near matches.
+
+The overlap of two repertoires is a sum over sequences of products of counts: a sparse matrix product. Most sequences are
+in few repertoires; theirs are made by a join. One in r repertoires makes r * r products, so sequences that make many are
+multiplied in blocks: a task gets the counts of a slice of such sequences in two blocks of repertoires, and returns sums.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqsim.operators.neighbors import distinct_pairs, mirrored
+from seqsim.operators.neighbors import distinct_pairs
+from seqsim.operators.stats import carried, offsets
+from seqsim.sources.storage import saved, slight
 
 #: Columns that a matrix may have.
 COLUMNS = 5000
+#: Products from which a sequence is heavy; repertoires of a block, about, and rows of a slice of sequences in a block.
+HEAVY, BLOCK, SLICE = 1 << 12, 512, 1 << 18
 
 
 def profile(rows: DataFrame) -> DataFrame:
@@ -19,37 +30,86 @@ def profile(rows: DataFrame) -> DataFrame:
     return rows.where("seq is not null and rep is not null").groupBy("rep", "seq").agg(F.sum(F.col("freq").cast("bigint")).alias("freq"))
 
 
-def by_pair(products: DataFrame) -> DataFrame:
-    cell = products.groupBy(F.least("r1", "r2").alias("rep_x"), F.greatest("r1", "r2").alias("rep_y"))
-    return cell.agg(F.sum("freq").cast("bigint").alias("freq"))
-
-
-def exact_products(held: DataFrame) -> DataFrame:
-    """(r1, r2, freq), r1 <= r2, for each sequence and pair of repertoires that hold it."""
-    a = held.select("seq", F.col("rep").alias("r1"), F.col("freq").alias("f1"))
-    b = held.select("seq", F.col("rep").alias("r2"), F.col("freq").alias("f2"))
-    return a.join(b, "seq").where("r1 <= r2").select("r1", "r2", (F.col("f1") * F.col("f2")).alias("freq"))
-
-
-def near_products(held: DataFrame, distance: int, measure: str) -> DataFrame:
-    """(r1, r2, freq), r1 <= r2, for each sequence of r1: its count times the counts in r2 of the sequences near it, which
-    are summed before they meet the other side. Within one repertoire both orders count."""
-    pairs = mirrored(distinct_pairs(held, distance, measure).select("seq_a", "seq_b"), "seq_a", "seq_b")
-    b = held.select(F.col("seq").alias("seq_b"), F.col("rep").alias("r2"), F.col("freq").alias("f2"))
-    near = pairs.join(b, "seq_b").groupBy("seq_a", "r2").agg(F.sum("f2").alias("f2"))
-    a = held.select(F.col("seq").alias("seq_a"), F.col("rep").alias("r1"), F.col("freq").alias("f1"))
-    return near.join(a, "seq_a").where("r1 <= r2").select("r1", "r2", (F.col("f1") * F.col("f2")).alias("freq"))
+def joined_products(left: DataFrame, right: DataFrame) -> DataFrame:
+    a = left.select("seq", F.col("rep").alias("r1"), F.col("freq").alias("f1"))
+    b = right.select("seq", F.col("rep").alias("r2"), F.col("freq").alias("f2"))
+    return a.join(b, "seq").select("r1", "r2", (F.col("f1") * F.col("f2")).alias("freq"))
+
+
+def block_sums(one: pa.Table, two: pa.Table) -> pa.Table:
+    """(r1, r2, freq): sums of products over the sequences of rows (seq, rep, freq) and (seq, rep, freq)."""
+    (r1, r2), n = ((t.column("rep").combine_chunks().dictionary_encode() for t in (one, two)), one.num_rows)
+    codes = pa.concat_arrays([*one.column("seq").chunks, *two.column("seq").chunks]).dictionary_encode().indices.to_numpy()
+    rows = [(code, r.indices.to_numpy(), t.column("freq").to_numpy()) for code, r, t in ((codes[:n], r1, one), (codes[n:], r2, two))]
+    most = [int(np.abs(f).max(initial=0)) for _, _, f in rows]
+    kind = np.float64 if most[0] * most[1] * (int(codes.max(initial=0)) + 1) < 2**53 else object  # exact either way
+    out = np.zeros((len(r1.dictionary), len(r2.dictionary)), kind)
+    for k in range(0, int(codes.max(initial=-1)) + 1, 1024):
+        sides = []
+        for code, rep, freq in rows:
+            here = (code >= k) & (code < k + 1024)
+            side = np.zeros((len(out) if not sides else out.shape[1], 1024), kind)
+            side[rep[here], code[here] - k] = freq[here]
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    x, y = np.nonzero(out)
+    return pa.table({"r1": r1.dictionary.take(pa.array(x)), "r2": r2.dictionary.take(pa.array(y)), "freq": pa.array([int(v) for v in out[x, y]], pa.int64())})
+
+
+def blocked_products(left: DataFrame, right: DataFrame) -> DataFrame:
+    """As joined_products, summed within tasks. Each pair of blocks of repertoires and each slice of sequences is one task."""
+    rows, reps = left.unionByName(right).agg(F.count(F.lit(1)), F.approx_count_distinct("rep")).first()
+    blocks = max(1, -(-reps // BLOCK))
+    slices = max(1, -(-rows // (blocks * SLICE)))
+    deal = lambda n, by: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = [F.col(c).alias(c) for c in ("seq", "rep", "freq")]  # columns of their own, as both sides may be one table
+    one = left.select(*own, deal(slices, "seq").alias("s"), deal(blocks, "rep").alias("i")).withColumn("j", every)
+    two = right.select(*own, deal(slices, "seq").alias("s"), deal(blocks, "rep").alias("j")).withColumn("i", every)
+    rep = left.schema["rep"].dataType.simpleString()
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        return block_sums(x, y)
+
+    return one.groupBy("i", "j", "s").cogroup(two.groupBy("i", "j", "s")).applyInArrow(run, f"r1 {rep}, r2 {rep}, freq bigint")
+
+
+def products(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(r1, r2, freq), some in parts: over each sequence that both sides (rep, seq, freq) hold, the products of its counts
+    in each two repertoires. Both are stored tables with one row for each repertoire and sequence."""
+    sizes = left.groupBy("seq").agg(F.count(F.lit(1)).alias("n1")).join(right.groupBy("seq").agg(F.count(F.lit(1)).alias("n2")), "seq")
+    heavy = saved(sizes.where(F.col("n1") * F.col("n2") > HEAVY).select("seq"))
+    if not heavy.limit(1).count():
+        return joined_products(left, right)
+    named = slight(heavy)
+    light = joined_products(left.join(named, "seq", "left_anti"), right.join(named, "seq", "left_anti"))
+    return light.unionByName(blocked_products(left.join(named, "seq", "left_semi"), right.join(named, "seq", "left_semi")))
+
+
+def folded(sums: DataFrame) -> DataFrame:
+    """(rep_x, rep_y, freq), rep_x <= rep_y, from products in which the two orders of two repertoires have their sum twice."""
+    cell = sums.groupBy(F.least("r1", "r2").alias("rep_x"), F.greatest("r1", "r2").alias("rep_y")).agg(F.sum("freq").alias("freq"))
+    return cell.select("rep_x", "rep_y", F.when(F.col("rep_x") == F.col("rep_y"), F.col("freq")).otherwise(F.expr("freq div 2")).cast("bigint").alias("freq"))
 
 
 def exact_overlap(rows: DataFrame) -> DataFrame:
-    return by_pair(exact_products(profile(rows)))
+    """As repertoire_overlap, of equal sequences only."""
+    held = saved(profile(rows))
+    return folded(products(held, held))
 
 
 def repertoire_overlap(rows: DataFrame, distance: int = 1, measure: str = "levenshtein") -> DataFrame:
     """(rep_x, rep_y, freq), rep_x <= rep_y: the sum over ordered pairs of sequences within `distance`, one of each
-    repertoire, of the products of their counts; equal sequences count once, empty cells are left out."""
-    held = profile(rows)
-    return by_pair(exact_products(held).unionByName(near_products(held, distance, measure)))
+    repertoire, of the products of their counts; equal sequences count once, empty cells are left out.
+
+    Each pair of distinct sequences is used in one direction: the second's counts, twice, are added to those of the first,
+    which meet the first's own. Folding both orders of two repertoires gives both directions.
+    """
+    held = saved(profile(rows))
+    pairs = distinct_pairs(held, distance, measure).select(F.col("seq_a"), F.col("seq_b").alias("seq"))
+    near = pairs.join(held, "seq").select("rep", F.col("seq_a").alias("seq"), (2 * F.col("freq")).alias("freq"))
+    both = held.unionByName(near).groupBy("rep", "seq").agg(F.sum("freq").alias("freq"))
+    return folded(products(held, saved(both)))
 
 
 def symmetric(cells: DataFrame) -> DataFrame:
@@ -58,13 +118,20 @@ def symmetric(cells: DataFrame) -> DataFrame:
     return cells.select("rep_x", "rep_y", "freq").unionByName(flipped)
 
 
+def cells_of(known: DataFrame) -> DataFrame:
+    """(rep_x, rep_y) for every two of the distinct repertoires: each row's label is copied to all columns, which are dealt
+    into blocks of about BLOCK."""
+    blocks = max(1, -(-known.count() // BLOCK))
+    x = known.select(F.col("rep").alias("rep_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    y = known.select(F.col("rep").alias("rep_y"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"))
+    return x.join(y, "block").drop("block")
+
+
 def dense(cells: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep_x, rep_y, freq) for every two repertoires of reps (rep), 0 where cells are empty: as many rows as it is
     asked for, repertoires squared. Null is no repertoire."""
     known = reps.select("rep").where("rep is not null").distinct()
-    x, y = known.withColumnRenamed("rep", "rep_x"), known.withColumnRenamed("rep", "rep_y")
-    every = x.join(y, F.lit(True))
-    return every.join(symmetric(cells), ["rep_x", "rep_y"], "left").select("rep_x", "rep_y", F.coalesce("freq", F.lit(0)).alias("freq"))
+    return cells_of(known).join(symmetric(cells), ["rep_x", "rep_y"], "left").select("rep_x", "rep_y", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
 def matrix(cells: DataFrame, reps: Sequence[str] | None = None) -> DataFrame:
@@ -81,11 +148,13 @@ def matrix(cells: DataFrame, reps: Sequence[str] | None = None) -> DataFrame:
 
 
 def repertoire_rows(seqs: DataFrame, info: DataFrame) -> DataFrame:
-    """seqs (row from 0, ...) with `rep` from info (rep, count): repertoires follow each other in order of rep.
+    """seqs (row from 0, ...) with `rep` from info (rep, count): repertoires follow each other in order of rep. Rows beyond
+    the last repertoire are left out.
 
-    Repertoires are few, so their running sums take one task; their ranges are broadcast.
+    Rows and the starts of ranges are sorted together, and the last start is carried on.
     """
-    from seqsim.operators.stats import offsets
-
-    ranges = offsets(info, "rep", "count").select("rep", "start", "end")
-    return seqs.join(F.broadcast(ranges), (F.col("row") >= F.col("start")) & (F.col("row") < F.col("end"))).drop("start", "end")
+    ranges = offsets(info, "rep", "count").select(F.lit(0).alias("kind"), F.col("start").alias("pos"), "rep", "end", F.lit(None).cast(seqs.select(F.struct("*")).schema[0].dataType).alias("item"))
+    kinds = ranges.schema
+    rows = seqs.select(F.lit(1).alias("kind"), F.col("row").cast("bigint").alias("pos"), F.lit(None).cast(kinds["rep"].dataType).alias("rep"), F.lit(None).cast(kinds["end"].dataType).alias("end"), F.struct("*").alias("item"))
+    placed = carried(ranges.unionByName(rows), F.col("kind") == 0, ["rep", "end"], ["pos", "kind", "end"])
+    return placed.where("kind = 1 and pos < end").select("item.*", "rep")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from seqsim.functions.sequences import is_valid
 from seqsim.sources.storage import saved
 
+#: Bins of a round of order_statistics.
+BINS = 2048
+
 
 def valid_rows(df: DataFrame, seq: str = "seq", mode: str = "drop", least: int = 1, most: int | None = None) -> DataFrame:
     """Rows with a valid sequence. mode: "drop" leaves the others out, "fail" makes the job fail at the first one."""
@@ -58,10 +63,60 @@ def factorized(df: DataFrame, seq: str = "seq", order: str = "seq_id") -> DataFr
     return ranged.join(F.broadcast(before.select("part", "base", "before")), "part").select("seq", "first", (F.col("at") - F.col("base") + F.col("before")).alias("code"))
 
 
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int]) -> dict[int, object]:
+    """The values of these ranks, from 0, in the order of a numeric column without nulls; NaN isn't allowed.
+
+    Each round counts the values in bins between bounds that are known to hold a rank, and takes the least and the largest
+    value of the bin that holds it as new bounds; BINS rows for each rank come to the driver. Bounds are values of the
+    column, and bins only ever bring them nearer, so the result is exact for any type.
+    """
+    rows = df.select(F.col(value).alias("v"))
+    wide = F.col("v").cast("decimal(20,0)") if isinstance(rows.schema["v"].dataType, IntegralType) else F.col("v")
+    rows = rows.withColumn("w", wide)  # differences of longs may be beyond longs
+    n, low, high = rows.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if bad := [r for r in ranks if not 0 <= r < n]:
+        raise ValueError(f"no rank {bad[0]} among {n} values")
+    state = {r: (low, high, r, n) for r in ranks}  # bounds, rank within, values within
+    known = {}
+    while True:
+        for r, (a, b, k, m) in list(state.items()):
+            if a == b or k in (0, m - 1):
+                known[r] = a if k == 0 or a == b else b
+                del state[r]
+        if not state:
+            return known
+        kind = rows.schema["w"].dataType
+        asked = []
+        for i, (a, b, _, _) in enumerate(state.values()):
+            first, last = (F.lit(x).cast(kind) for x in (a, b))
+            part = ((F.col("w") - first).cast("double") / (last - first).cast("double") * BINS).cast("int")
+            asked.append(F.when((F.col("w") >= first) & (F.col("w") <= last), F.struct(F.lit(i).alias("i"), F.least(part, F.lit(BINS - 1)).alias("bin"))))
+        bins = rows.select("v", F.explode(F.array(*asked)).alias("at")).where("at is not null").groupBy("at.i", "at.bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        for i, (r, (_, _, k, _)) in enumerate(list(state.items())):
+            for x in sorted((x for x in bins if x["i"] == i), key=lambda x: x["bin"]):
+                if k < x["n"]:
+                    state[r] = (x["a"], x["b"], k, x["n"])
+                    break
+                k -= x["n"]
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles, linear between ranks, of a numeric column; nulls don't count. None for a column without values."""
+    rows = df.where(F.col(value).isNotNull())
+    n = rows.count()
+    if not n:
+        return [None for _ in shares]
+    spots = [q * (n - 1) for q in shares]
+    held = order_statistics(rows, value, sorted({r for s in spots for r in (math.floor(s), math.ceil(s))}))
+    low = [float(held[math.floor(s)]) for s in spots]
+    return [a + (float(held[math.ceil(s)]) - a) * (s - math.floor(s)) for a, s in zip(low, spots, strict=True)]
+
+
 def inside_quantiles(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Rows whose value lies strictly between two exact quantiles (linear between ranks)."""
-    q = df.agg(F.percentile(value, F.lit(low)).alias("_low"), F.percentile(value, F.lit(high)).alias("_high"))
-    return df.join(F.broadcast(q)).where((F.col(value) > F.col("_low")) & (F.col(value) < F.col("_high"))).drop("_low", "_high")
+    a, b = quantiles(df, value, [low, high])
+    held = F.col(value).cast("double")
+    return df.where(F.lit(False) if a is None else (held > a) & (held < b))
 
 
 def frequent_groups(df: DataFrame, by: Sequence[str], more_than: int) -> DataFrame:
@@ -111,9 +166,19 @@ def sample_repertoires(rows: DataFrame, info: DataFrame, n: int, without: Sequen
     return out if most is None else group_sample(out, ["rep"], [c for c in out.columns if c != "rep"], most, seed)
 
 
-def standardized(df: DataFrame, names: Mapping[str, str], seq: str = "CDR3B", gene: str | None = "TRBV", allele: str = "*01", longer_than: int = 5, order: Sequence[str] = ()) -> DataFrame:
-    """Receptor rows by the usual names: valid, distinct, longer sequences, each with a gene and an allele."""
+def first_value(df: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame:
+    """(by, value): the value of each group's first row by `order`; of rows equal in it the least value."""
+    return df.groupBy(*by).agg(F.min(F.struct(order, value)).getField(value).alias(value))
+
+
+def standardized(df: DataFrame, names: Mapping[str, str], seq: str = "CDR3B", gene: str | None = "TRBV", allele: str = "*01", longer_than: int = 5, order: Sequence[str] = (), starts: str = "", ends: str = "") -> DataFrame:
+    """Receptor rows by the usual names: valid, distinct, longer sequences, each with a gene and an allele. starts, ends: letters
+    of which a sequence has to begin and to end with one (usually C, and F, W or C), if given."""
     out = df.withColumnsRenamed(dict(names)).where(is_valid(F.col(seq)))
+    if starts:
+        out = out.where(F.substring(seq, 1, 1).isin(*starts))
+    if ends:
+        out = out.where(F.substring(seq, -1, 1).isin(*ends))
     if gene:
         out = out.na.drop(subset=[gene]).withColumn(gene, F.concat(F.col(gene), F.lit(allele)))
     out = first_of(out, [seq], list(order) or [c for c in out.columns if c != seq])

@@ -2,16 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import localcontext
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+
+from seqsim.sources.storage import saved
 
 
 def running_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), out: str = "total") -> DataFrame:
-    """df with the inclusive running sum of `value`, within each group of `by` if given."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+    """df with the inclusive running sum of `value`, within each group of `by` if given; nulls add nothing, and before the
+    first number the sum is null. `order` should leave no ties.
+
+    Without groups, rows are partitioned by range of `order`, each partition is summed up by itself as it is stored, and
+    the sums of those before it, of which there are as many as tasks, are added as rows are read again.
+    """
+    if by:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    kind = df.select(F.sum(value).alias(out)).schema[out].dataType
+    exact, part = to_arrow_type(kind), f"{out}_part"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            numbers = batch.column(value).cast(exact)
+            zero = pa.scalar(0, pa.int64()).cast(exact)
+            start, filled = carry if carry is not None else zero, pc.fill_null(numbers, zero)
+            if pa.types.is_decimal(exact):  # Arrow doesn't add decimals up
+                with localcontext(prec=76):
+                    sums = pa.array(list(accumulate(filled.to_pylist(), initial=start.as_py()))[1:], exact)
+            else:
+                sums = pc.cumulative_sum_checked(filled, start=start)
+            if carry is None:
+                known = np.maximum.accumulate(pc.is_valid(numbers).to_numpy(zero_copy_only=False)) if len(numbers) else np.zeros(0, bool)
+                sums = pc.if_else(pa.array(known), sums, pa.scalar(None, exact))
+            if len(sums) and sums[-1].is_valid:
+                carry = sums[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, sums.cast(exact)], [*names, out])
+
+    names = [*df.columns, part]
+    schema = StructType([*df.schema.fields, StructField(part, IntegerType()), StructField(out, kind)])
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
+    held = saved(placed.mapInArrow(run, schema))
+    sums = held.groupBy(part).agg(F.sum(value).alias("s")).collect()  # a row for each task
+    before, total = [], None
+    for r in sorted(sums):
+        before.append((r[0], total))
+        with localcontext(prec=76):  # for decimals
+            total = r["s"] if total is None else total if r["s"] is None else total + r["s"]
+    starts = df.sparkSession.createDataFrame(before, StructType([StructField(part, IntegerType()), StructField("before_part", kind)]))
+    whole = F.coalesce(F.col(out) + F.col("before_part"), out, "before_part").cast(kind)
+    return held.join(F.broadcast(starts), part).select(*df.columns, whole.alias(out))
+
+
+def carried(df: DataFrame, starts: Column, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with the values that `columns` have in the last row, by `order`, for which `starts` holds; null before the first.
+
+    Rows are partitioned by range of `order`; each partition carries on its own, and begins with what the one before it
+    ended with. `order` should leave no ties.
+    """
+    names, marks = list(df.columns), ["carried_start", "carried_part", "carried_at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, at = {}, False, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = pc.fill_null(batch.column("carried_start"), False).to_numpy(zero_copy_only=False)
+            place = np.maximum.accumulate(np.where(here, np.arange(len(here)), -1))
+            out = {c: batch.column(c) for c in names}
+            for c in columns:
+                own = out[c]
+                both = pa.concat_arrays([last.get(c, pa.nulls(1, own.type)), own])
+                out[c] = both.take(pa.array(place + 1))
+                last[c] = out[c][-1:]
+            started = seen | (place >= 0)
+            seen = bool(started[-1])
+            number = np.arange(at, at + len(here), dtype=np.int64)
+            at += len(here)
+            yield pa.RecordBatch.from_arrays([*(out[c] for c in names), pa.array(started), batch.column("carried_part"), pa.array(number)], [*names, *marks])
+
+    schema = StructType([*df.schema.fields, StructField(marks[0], BooleanType()), StructField(marks[1], IntegerType()), StructField(marks[2], LongType())])
+    schema = StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
+    placed = df.withColumn("carried_start", starts).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("carried_part", F.spark_partition_id())
+    held = saved(placed.mapInArrow(run, schema))
+    ends = held.groupBy("carried_part").agg(F.max_by(F.struct("carried_start", *columns), "carried_at").alias("last")).collect()  # a row for each task
+    firsts, now = [], None
+    for r in sorted(ends, key=lambda r: r["carried_part"]):
+        if now is not None:
+            firsts.append((r["carried_part"], *now))
+        now = tuple(r["last"][1:]) if r["last"]["carried_start"] else now
+    names_of = {c: f"carried_{i}" for i, c in enumerate(columns)}
+    known = df.sparkSession.createDataFrame(firsts, StructType([StructField("carried_part", IntegerType()), *(StructField(names_of[c], df.schema[c].dataType) for c in columns)]))
+    pick = lambda c: F.when(F.col("carried_start"), F.col(c)).otherwise(F.col(names_of[c])).alias(c) if c in names_of else F.col(c)
+    return held.join(F.broadcast(known), "carried_part", "left").select(*map(pick, names))
 
 
 def offsets(info: DataFrame, order: str, count: str) -> DataFrame:
