@@ -7,15 +7,14 @@ before rows are numbered. Counts have to be above 0.
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqsim.operators.prep import valid_rows
+from seqsim.sources.archives import read_zipped  # noqa: F401  one of the readers
+
 
 
 class InputError(ValueError):
@@ -90,22 +89,6 @@ def read_info(spark: SparkSession, path: str, expected_rows: int | None = None,
     return rows
 
 
-def read_zipped(spark: SparkSession, paths: str | Sequence[str], schema: str, sep: str = ",") -> DataFrame:
-    """Rows of the CSV files in zip archives, each archive unpacked by one task, a member after the other."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for content in part["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in sorted(archive.namelist()):
-                        with archive.open(member) as lines:
-                            for rows in pd.read_csv(lines, sep=sep, chunksize=100_000):
-                                yield rows[names]
-
-    return spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("content").mapInPandas(run, schema)
-
-
 def read_triples(spark: SparkSession, path: str, names: Sequence[str] = ("x", "y", "dist"), sep: str = " ", comment: str | None = None) -> DataFrame:
     """Three columns of whole numbers, which may have commas between thousands."""
     reader = spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", sep)
