@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
 from seqsim.functions import tcrdist
+from seqsim.operators import metric as M
 from seqsim.operators import neighbors as N
 from seqsim.operators import overlap as O
 from seqsim.operators import pipelines as L
 from seqsim.operators import prep as P
+from seqsim.operators import receptor_search as R
 from seqsim.operators import stats as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +95,28 @@ pair_query("nn_lookup", 1, "levenshtein", N.looked_up_pairs)
 pair_query("nn_custom_measure", 2, "hamming", lambda s: N.distinct_pairs(s, 2, S.hamming, edits=2))
 
 
+_SETS_SQL = "sets AS (SELECT DISTINCT " + " + ".join(f"CASE WHEN contains(seq, '{x}') THEN {1 << i} ELSE 0 END" for i, x in enumerate(S.ALPHABET)) + " AS letters FROM useqs)"
+
+
+@register("nn_metric_space", f"WITH {SEQS_SQL}, {_SETS_SQL}, p AS (SELECT a.letters AS a, b.letters AS b, 1 - bit_count(a.letters & b.letters)::DOUBLE / bit_count(a.letters | b.letters)::DOUBLE AS dist FROM sets a JOIN sets b ON a.letters < b.letters) SELECT a::BIGINT AS a, b::BIGINT AS b, round(dist, 9) AS dist FROM p WHERE dist <= 0.2")
+def nn_metric_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of letters of all sequences at a Jaccard distance, a metric that no number of edits bounds."""
+    letters = sum((F.when(F.contains("seq", F.lit(x)), 1 << i).otherwise(0) for i, x in enumerate(S.ALPHABET)), F.lit(0)).cast("bigint")
+    jaccard = lambda a, b: 1 - F.bit_count(a.bitwiseAND(b)).cast("double") / F.bit_count(a.bitwiseOR(b)).cast("double")
+    return M.metric_pairs(seqs(spark, sf_dir).select(letters.alias("value")), jaccard, 0.2).withColumn("dist", F.round("dist", 9))
+
+
+pair_query("nn_letter_counts_d3", 3, "levenshtein", lambda s: M.letter_count_pairs(s, 3))
+
+
+@register("search_counters", f"WITH {SEQS_SQL}, v AS (SELECT DISTINCT seq, unnest(list_append([substr(left(seq, 18), 1, i - 1) || substr(left(seq, 18), i + 1) for i in range(1, least(length(seq), 18) + 1)], left(seq, 18))) AS variant FROM useqs), met AS (SELECT a.seq AS s, b.seq AS t FROM v a JOIN v b ON a.variant = b.variant AND a.seq < b.seq), near AS (SELECT s, t FROM met WHERE levenshtein(s, t) <= 1) SELECT (SELECT count(*) FROM met) AS candidates, (SELECT count(*) FROM near) AS verified, (SELECT count(*) FROM (SELECT DISTINCT s, t FROM near)) AS pairs")
+def search_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search at one edit meets, verifies and gives, counted in its own job."""
+    counters = [Observation(name) for name in N.COUNTED]
+    N.distinct_pairs(seqs(spark, sf_dir), 1, counters=counters).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(c.get["n"] for c in counters)], ", ".join(f"{name} bigint" for name in N.COUNTED))
+
+
 @register("nn_symmetric", f"""WITH {SEQS_SQL}, p AS (SELECT a.seq AS x, b.seq AS y, levenshtein(a.seq, b.seq)::BIGINT AS dist FROM useqs a JOIN useqs b ON a.seq <> b.seq AND {NEAR_SQL["levenshtein"].format(d=1)}) SELECT * FROM p""")
 def nn_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = N.distinct_pairs(seqs(spark, sf_dir), 1).select(F.col("seq_a").alias("x"), F.col("seq_b").alias("y"), F.col("dist").cast("bigint").alias("dist"))
@@ -117,9 +141,16 @@ def nn_between_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.neighbors_between(rows.where(english), rows.where(~english), 1).withColumn("dist", F.col("dist").cast("bigint"))
 
 
-ROW_PAIRS_SQL = f"""WITH {SEQS_SQL}, rows AS (SELECT rep, seq, min(seq_id) AS seq_id FROM seqs GROUP BY 1, 2), p AS (
-  SELECT a.seq AS s, b.seq AS t, levenshtein(a.seq, b.seq) AS dist FROM useqs a JOIN useqs b ON {NEAR_SQL['levenshtein'].format(d=1)}
-) SELECT a.seq_id AS x, b.seq_id AS y, dist::BIGINT AS dist FROM p JOIN rows a ON a.seq = s JOIN rows b ON b.seq = t WHERE a.seq_id < b.seq_id"""
+#: Pairs at one edit, by halves: either the first half of the one is also the other's beginning, or the second its end.
+_HALVES = """halves AS (
+  SELECT seq, 0 AS side, length(seq) AS n, left(seq, length(seq) // 2) AS half FROM useqs UNION ALL SELECT seq, 1, length(seq), right(seq, length(seq) - length(seq) // 2) FROM useqs
+), others AS (
+  SELECT seq, 0 AS side, length(seq) + k AS n, left(seq, (length(seq) + k) // 2) AS half FROM useqs, range(-1, 2) AS r(k) UNION ALL
+  SELECT seq, 1, length(seq) + k, right(seq, length(seq) + k - (length(seq) + k) // 2) FROM useqs, range(-1, 2) AS r(k)
+), near AS (SELECT DISTINCT a.seq AS s, b.seq AS t FROM halves a JOIN others b USING (side, n, half) WHERE a.seq < b.seq AND levenshtein(a.seq, b.seq) <= 1)"""
+ROW_PAIRS_SQL = f"""WITH {SEQS_SQL}, rows AS (SELECT rep, seq, min(seq_id) AS seq_id FROM seqs GROUP BY 1, 2), {_HALVES}
+SELECT least(a.seq_id, b.seq_id) AS x, greatest(a.seq_id, b.seq_id) AS y, 1::BIGINT AS dist FROM near JOIN rows a ON a.seq = s JOIN rows b ON b.seq = t
+UNION ALL SELECT a.seq_id, b.seq_id, 0 FROM rows a JOIN rows b ON a.seq = b.seq AND a.seq_id < b.seq_id"""
 
 
 @register("nn_rows_d1", ROW_PAIRS_SQL)
@@ -191,6 +222,12 @@ def overlap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.exact_overlap(seqs(spark, sf_dir))
 
 
+@register("overlap_public", "WITH held AS (SELECT l_suppkey AS rep, l_quantity AS seq, count(*) AS freq FROM lineitem WHERE l_suppkey IS NOT NULL AND l_quantity IS NOT NULL GROUP BY 1, 2) SELECT a.rep AS rep_x, b.rep AS rep_y, sum(a.freq * b.freq)::BIGINT AS freq FROM held a JOIN held b ON a.seq = b.seq AND a.rep <= b.rep GROUP BY 1, 2")
+def overlap_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as repertoires of the quantities that they sell, each of which nearly all of them have."""
+    return O.exact_overlap(read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("rep"), F.col("l_quantity").cast("string").alias("seq"), F.lit(1).alias("freq")))
+
+
 @register("overlap_symmetric", f"SELECT rep_x, rep_y, freq FROM ({overlap_sql(1, 'levenshtein').replace('WHERE r.rep <= q.rep ', '')})")
 def overlap_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.symmetric(O.repertoire_overlap(seqs(spark, sf_dir), 1))
@@ -280,14 +317,28 @@ def quantile_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.inside_quantiles(rows, "len", 0.001, 0.999).groupBy("len").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("quantile_price_filter", "WITH p AS (SELECT l_returnflag, l_extendedprice::DECIMAL(12, 2)::DOUBLE AS price FROM lineitem), q AS (SELECT quantile_cont(price, 0.05) AS lo, quantile_cont(price, 0.95) AS hi FROM p) SELECT l_returnflag, count(*) AS n, min(price) AS least, max(price) AS most FROM p, q WHERE price > lo AND price < hi GROUP BY 1")
+def quantile_price_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column with about as many values as rows."""
+    rows = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    return P.inside_quantiles(rows, "price", 0.05, 0.95).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("price").cast("double").alias("least"), F.max("price").cast("double").alias("most"))
+
+
 def lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Antibody-like rows: v and j from the document's source and language, seq from its words."""
     rows = seqs(spark, sf_dir).select(F.col("seq_id").alias("id"), F.col("rep").alias("v"), F.col("lang").alias("j"), "seq")
     return rows.groupBy("v", "j", "seq").agg(F.min("id").alias("id"))
 
 
-LINEAGE_SQL = f"{SEQS_SQL}, rows AS (SELECT min(seq_id) AS id, rep AS v, lang AS j, seq, length(seq) AS len FROM seqs GROUP BY rep, lang, seq)"
-_EVERY = "SELECT a.id AS id_a, b.id AS id_b, hamming(a.seq, b.seq)::BIGINT AS dist, a.len::BIGINT AS len FROM rows a JOIN rows b ON a.v = b.v AND a.j = b.j AND a.len = b.len AND a.id < b.id WHERE CASE WHEN a.len = b.len THEN hamming(a.seq, b.seq) < 0.15 * a.len ELSE false END"
+LINEAGE_SQL = f"""{SEQS_SQL}, rows AS (SELECT min(seq_id) AS id, rep AS v, lang AS j, seq, length(seq) AS len FROM seqs GROUP BY rep, lang, seq
+), pieces AS (
+  SELECT *, substr(seq, len * i // (t + 1) + 1, len * (i + 1) // (t + 1) - len * i // (t + 1)) AS piece
+  FROM (SELECT *, unnest(range(t + 1)) AS i FROM (SELECT *, (ceil(0.15 * len) - 1)::INT AS t FROM rows))
+)"""
+#: Under 0.15 * len differences are t at most, so one of t + 1 pieces is the same.
+_EVERY = """SELECT DISTINCT a.id AS id_a, b.id AS id_b, hamming(a.seq, b.seq)::BIGINT AS dist, a.len::BIGINT AS len
+FROM pieces a JOIN pieces b ON a.v = b.v AND a.j = b.j AND a.len = b.len AND a.i = b.i AND a.piece = b.piece AND a.id < b.id
+WHERE CASE WHEN a.len = b.len THEN hamming(a.seq, b.seq) < 0.15 * a.len ELSE false END"""
 _MIDDLE = "hamming(substr(a.seq, greatest(a.len // 2 - 3, 0)::INT + 1, 6), substr(b.seq, greatest(b.len // 2 - 3, 0)::INT + 1, 6)) <= 1"
 
 
@@ -367,13 +418,24 @@ def tcrdist_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.tcrdist_neighbors(rows, edits=2, genes=gene_distances(rows)).withColumn("tcrdist", F.col("tcrdist").cast("bigint"))
 
 
+_LOOPS_SQL = f"""loops AS (SELECT *, substr(seq, 4, length(seq) - 5) AS loop FROM rows), q AS (SELECT DISTINCT loop FROM loops WHERE seq_id % 50 = 0), i AS (SELECT DISTINCT loop FROM loops
+), met AS (SELECT q.loop AS x, i.loop AS y, 'xxx' || q.loop || 'xx' AS a, 'xxx' || i.loop || 'xx' AS b, NULL AS ga, NULL AS gb FROM q JOIN i ON 4 * abs(length(q.loop) - length(i.loop)) <= 8), {SCORED_SQL}"""
+
+
+@register("tcrdist_lossless", f"WITH {RECEPTORS_SQL}, {_LOOPS_SQL} SELECT p.seq_id AS x, r.seq_id AS y, loops::BIGINT AS tcrdist FROM scores s JOIN loops p ON p.loop = s.x AND p.seq_id % 50 = 0 JOIN loops r ON r.loop = s.y WHERE loops <= 24 AND p.seq_id <> r.seq_id")
+def tcrdist_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All neighbours at 24 or less of each row whose id is divisible by 50, against all rows."""
+    rows = receptors(spark, sf_dir)
+    return R.tcrdist_within(rows.where("seq_id % 50 = 0"), rows, 24).withColumn("tcrdist", F.col("tcrdist").cast("bigint"))
+
+
 @register("tcrdist_recall")
 def tcrdist_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the neighbours at 24 or less, of each row whose id is divisible by 50, the filter of 2 edits finds."""
     rows = receptors(spark, sf_dir)
     asked = rows.where("seq_id % 50 = 0")
     found = L.tcrdist_neighbors(rows, 2, 24).join(asked.select(F.col("seq_id").alias("x")), "x", "left_semi")
-    return L.recall(found, L.tcrdist_of(asked, rows, 24))
+    return L.recall(found, R.tcrdist_within(asked, rows, 24))
 
 
 @register("hist_equal_width", "SELECT o_orderkey // 1000 AS bin, count(*) AS n FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1")
@@ -405,6 +467,21 @@ def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.running_sum(days(spark, sf_dir), "n", ["day"])
 
 
+@register("running_total", "SELECT l_orderkey, l_linenumber, l_partkey, (sum(l_quantity::BIGINT) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM lineitem")
+def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all rows in one order."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
+    return T.running_sum(rows, "q", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).drop("q", "l_suppkey")
+
+
+@register("rows_to_many_ranges", "WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_suppkey, l_orderkey, l_linenumber, l_partkey) - 1 AS row FROM lineitem), o AS (SELECT l_orderkey AS rep, count(*) AS n, sum(count(*)) OVER (ORDER BY l_orderkey) AS stop FROM lineitem GROUP BY 1) SELECT r.row, r.l_orderkey, r.l_linenumber, o.rep FROM r ASOF JOIN o ON r.row >= o.stop - o.n")
+def rows_to_many_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items, by supplier, dealt to as many ranges as there are orders."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.lit(1).cast("bigint").alias("one"))
+    rows = T.running_sum(items, "one", ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"], out="row").select((F.col("row") - 1).alias("row"), "l_orderkey", "l_linenumber")
+    return O.repertoire_rows(rows, items.groupBy(F.col("l_orderkey").alias("rep")).agg(F.count(F.lit(1)).alias("count")))
+
+
 @register("prefix_sum_by_key", "SELECT l_orderkey, l_linenumber, (sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM lineitem")
 def prefix_sum_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.running_sum(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_linenumber", ["l_linenumber"], ["l_orderkey"])
