@@ -93,7 +93,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
     return quality.quality(table(spark, sf_dir, "documents")).select(*names)
 
 
@@ -117,7 +117,7 @@ WITH docs AS (
 ), hosts AS (SELECT host, count(DISTINCT text) AS docs FROM docs GROUP BY host
 ), common AS (
   SELECT host, plain FROM held JOIN hosts USING (host) GROUP BY host, plain, docs
-  HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05 * docs
+  HAVING count(DISTINCT text) > 4 AND count(DISTINCT text) > 0.05 * docs
 ), gone AS (SELECT doc_id, sum(words) AS n FROM held JOIN common USING (host, plain) GROUP BY doc_id
 ), facts AS (
   SELECT doc_id, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars,
@@ -127,7 +127,7 @@ WITH docs AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.3 * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.3 * n_words AS kept, gone::BIGINT AS n_removed_words
 FROM facts
 """
 

@@ -36,7 +36,7 @@ class Limits:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    min_docs: int = 20
+    min_docs: int = 4
     host_share: float = 0.05
     left_share: float = 0.3
     distinct: str = "texts"

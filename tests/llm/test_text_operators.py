@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqsim.llm import byte_bpe, common, entries, exact_dedup, html_text, language, licenses, mixing, near_texts, quality, simhash, suffix_dedup, url_filter
+from seqsim.llm import byte_bpe, common, entries, exact_dedup, html_text, language, licenses, minhash_forest, mixing, near_texts, negatives, periodic, quality, simhash, suffix_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, uid string, ids string, key string, fp string, size string, kept string, host string, n int, lines string, _id string, _n int, _key string, row string, i int, k int, own string, stays string, common string, copies int, sha string"
@@ -216,13 +216,17 @@ def test_suffix_dedup_within_tasks(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"uid": pa.array(range(len(texts)), pa.int64()), "text": texts})
     monkeypatch.setattr(common, "CHUNK_BYTES", 3000)
     rows = [r for b in suffix_dedup.anchor_rows(iter([batch]), suffix_dedup.CONTEXTS[0], 12) for r in b.to_pylist()]
-    context = lambda r: texts[r["uid"]][r["anchor"] - r["before"] : r["anchor"] - r["after"] + 100]
-    first = {}
-    for r in rows:
-        if r["uid"] >= 0:
-            first[context(r)] = min(first.get(context(r), r["uid"]), r["uid"])
-    assert all(first[context(r)] < r["uid"] or context(r) in texts[r["uid"]][: r["anchor"]] for r in rows if r["repeat"])
-    assert sum(r["repeat"] for r in rows) > 100 and any(r["repeat"] and r["uid"] >= 60 for r in rows)
+    # a repeat that a task tells by itself is a stretch of bytes that strings of an earlier start cover
+    starts = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 99):
+            starts.setdefault(t[at : at + 100], (i, at))
+    repeats = [r for r in rows if r["repeat"]]
+    for r in repeats:
+        t, first, last = texts[r["uid"]], r["anchor"] - r["before"], r["anchor"] - r["after"]
+        covered = {k for at in range(len(t) - 99) if starts[t[at : at + 100]] < (r["uid"], at) for k in range(at, at + 100)}
+        assert set(range(first, last + 100)) <= covered
+    assert len(repeats) > 30 and sum(r["before"] - r["after"] > 35 for r in repeats) > 5 and any(r["uid"] >= 60 for r in repeats)
     assert any(r["uid"] < 0 for r in rows) and any(r["crowded"] and r["uid"] >= 0 for r in rows)
     seen = suffix_dedup.Seen()
     buffer, at, size = np.frombuffer(b"abcdefabcdxf", np.uint8), np.array([0]), np.array([6])
@@ -933,7 +937,7 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(entries.ORACLES))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     want = db.execute(entries.ORACLES[name]).df()
     got = entries.QUERIES[name](spark, SF).toPandas()
@@ -957,3 +961,222 @@ def test_bpe_query(spark):
         ids = known.encode_ordinary(t or "")
         want.append((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
     assert ordered(tuple(r) for r in entries.op1_byte_bpe(spark, SF).collect()) == ordered(want)
+
+
+# --- MinHash forest
+
+
+def shingle_set(text, width):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def linked_sets(rows, width, share):
+    """(id, size, component, kept) of rows (id, text), by comparing all."""
+    sets = [shingle_set(t, width) for _, t in rows]
+    tree = list(range(len(rows)))
+
+    def find(i):
+        while tree[i] != i:
+            i = tree[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= share * len(x | sets[j]):
+                tree[find(i)] = find(j)
+    ids = defaultdict(list)
+    for i, (k, _) in enumerate(rows):
+        if sets[i] and k is not None:
+            ids[find(i)].append(k)
+    out = []
+    for i, (k, _) in enumerate(rows):
+        own = min(ids[find(i)], default=None) if sets[i] else k
+        out.append((k, len(sets[i]), own, own == k))
+    return ordered(out)
+
+
+def edited_texts(seed, groups, size, edits):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200)]
+    out = []
+    for _ in range(groups):
+        base = rng.choices(words, k=rng.randint(1, size))
+        for _ in range(rng.randint(1, 9)):
+            t = list(base)
+            for _ in range(rng.randint(0, edits)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("leaf", [minhash_forest.LEAF, 2])
+def test_minhash_forest(spark, odd, empty, leaf, monkeypatch):
+    """leaf 2: nearly all regions are crowded, and prefix filtering finds the links."""
+    monkeypatch.setattr(minhash_forest, "LEAF", leaf)
+    got = lambda df: ordered(tuple(r) for r in minhash_forest.near_sets(df).collect())
+    assert got(odd) == linked_sets([(r[0], r[1]) for r in odd_rows()], 2, 80)
+    rows = list(enumerate(edited_texts(3, 25, 60, 8)))
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == linked_sets(rows, 2, 80)
+    assert got(empty) == []
+
+
+def test_minhash_forest_in_a_large_group_and_a_common_passage(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, passage = [word() for _ in range(90)], " ".join(word() for _ in range(40))
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for _ in range(2):
+            t[rng.randrange(len(t))] = word()
+        texts.append(" ".join(t))
+    texts += [" ".join(word() for _ in range(50)) + " " + passage for _ in range(60)] + ["far away words here"]
+    rows = list(enumerate(texts))
+    got = ordered(tuple(r) for r in minhash_forest.near_sets(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect())
+    assert got == linked_sets(rows, 2, 80)
+
+
+def test_minhash_regions_hold_similar_sets():
+    """How often a tree brings two sets together is as the similarity says."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    both = 0
+    for _ in range(60):
+        whole = rng.integers(-(2**63), 2**63, 180)
+        a, b = np.unique(whole[:162]), np.unique(whole[18:])  # 144 of 180: 0.8
+        _, long = minhash_forest.prefix_keys([a, b])
+        both += int((long[0] == long[1]).sum())
+    assert both / (60 * minhash_forest.TREES) == pytest.approx(0.8**3, abs=0.05)
+
+
+# --- periodic runs
+
+
+def plain_runs(words):
+    out = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(12, 2 * q):
+                out.setdefault((i, j + q), q)
+            i = j
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def plain_collapsed(words, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def periodic_texts(seed, n):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words, letters = [], "abcdefghij"[: rng.choice([1, 2, 3, 10])]
+        while len(words) < rng.choice([5, 30, 150, 400]):
+            part = rng.choices(letters, k=rng.randint(1, rng.choice([3, 10, 40]))) * rng.choice([1, 1, 2, 3, 5, 9])
+            words += part[: len(part) - rng.randint(0, 2)]
+        out.append(" \n".join(words))
+    return out
+
+
+def test_periodic_runs(spark, odd, empty, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(periodic_texts(5, 120))]
+    long = random.Random(1).choices(["a", "b", "c"], k=700)
+    rows += [(1000, " ".join(long * 3)), (1001, "a " * 5000), (1002, " ".join(["ab", "cd"] * 900 + ["e"] + ["ab"] * 900))]
+    monkeypatch.setattr(common, "CHUNK_BYTES", 5000)
+    for df, held in ((spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), rows), (odd, [(r[0], r[1]) for r in odd_rows()])):
+        got = [(r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in periodic.periodic_runs(df).collect()]
+        want = []
+        for i, t in held:
+            words = WORD.findall(t or "")
+            runs = plain_runs(words)
+            want.append((i, len(words), sorted(runs, key=lambda r: (r[0], r[2])), plain_collapsed(words, runs)))
+        assert ordered(got) == ordered(want)
+    assert periodic.periodic_runs(empty).collect() == []
+
+
+def test_op12_plants_and_digests(spark):
+    import zlib
+
+    got = {r.doc_id: r for r in entries.op12_periodic_runs(spark, SF).collect()}
+    planted = 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words, h = WORD.findall(r.text or ""), zlib.crc32(str(r.doc_id).encode())
+        n, g = len(words), h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+            planted += 1
+        if n > 1200:
+            continue
+        runs = sorted(plain_runs(words), key=lambda x: (x[0], x[2]))
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2]), default=(None,) * 3)
+        milli = 1000 * best[1] // best[2] if runs else None
+        lines = "".join(f"{a},{b},{c}\n" for a, b, c in runs)
+        o = got[r.doc_id]
+        assert (o.n_runs, o.start, o.length, o.period, o.exponent_milli) == (len(runs), *best, milli)
+        assert (o.runs_sha256, o.collapsed_sha256) == (sha(lines.encode()), sha(plain_collapsed(words, runs).encode()))
+    assert planted > 5 and len(got) == 200
+
+
+# --- hard negatives
+
+
+def plain_negatives(rows, anchor):
+    held = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            new = (label, v)
+            held[i] = min(held.get(i, new), new)
+    q = {i: (label, [math.floor(256 * x) for x in v]) for i, (label, v) in held.items()}
+    score = lambda a, b: sum(x * y for x, y in zip(q[a][1], q[b][1], strict=False))
+    out = []
+    for a in filter(anchor, q):
+        rest = sorted(((-score(a, i), i) for i in q if i != a))
+        for s, p in [x for x in rest if q[x[1]][0] == q[a][0]][:5]:
+            some = [(t, i) for t, i in rest if q[i][0] != q[a][0] and -50 * s <= -100 * t <= -95 * s][:3]
+            out += [(a, p, k + 1, i, -s, -t) for k, (t, i) in enumerate(some)]
+    return ordered(out)
+
+
+@pytest.mark.parametrize("window, rows_of_a_task", [(256, 1 << 13), (3, 20)])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_hard_negatives(spark, kind, window, rows_of_a_task, monkeypatch):
+    monkeypatch.setattr(negatives, "WINDOW", window)
+    monkeypatch.setattr(negatives, "ROWS", rows_of_a_task)
+    monkeypatch.setattr(negatives, "ANCHORS", rows_of_a_task)
+    rng = random.Random(4)
+    near = [rng.gauss(0, 0.3) for _ in range(6)]
+    vector = lambda i: [x + rng.gauss(0, 0.02) for x in near] if i % 3 == 0 else [rng.gauss(0, 0.5) for _ in range(6)]
+    rows = [(i, vector(i), i % 4 if i % 5 else 1) for i in range(150)]
+    rows += [(200 + i, [0.5] * 6, i % 2) for i in range(20)]  # equal vectors: ties by id
+    rows += [(300, None, 1), (301, [0.1, None], 1), (302, [float("nan")] * 6, 1), (303, [float("inf")] * 6, 0), (304, [0.1] * 6, None), (None, [0.2] * 6, 1), (305, [], 1), (306, [1.0], 2), (307, [0.2] * 9, 3), (308, [0.0] * 6, 1), (309, [1e4] * 6, 1), (310, [3e7] * 6, 2), (311, [-1e5] * 6, 2)]
+    rows += [rows[7], (11, [0.3] * 6, 0)]  # ids again
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, label int").withColumns({"id": F.lit(1), "q": F.lit("q"), "norm": F.lit(2)})
+    held = [tuple(r) for r in df.select("vec_id", "embedding", "label").collect()]
+    got = negatives.hard_negatives(df.repartition(3), F.col("id") % 10 == 0)
+    assert ordered(tuple(r) for r in got.collect()) == plain_negatives(held, lambda i: i % 10 == 0)
+    assert negatives.hard_negatives(df.limit(0), F.col("id") % 10 == 0).collect() == []
+
+
+def test_hard_negatives_beyond_doubles(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(10**5, 3 * 10**6)) for _ in range(3)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = negatives.hard_negatives(df, F.col("id") % 5 == 0)
+    assert ordered(tuple(r) for r in got.collect()) == plain_negatives(rows, lambda i: i % 5 == 0)
+    import numpy as np
+
+    a = np.array([[2.0**40, 1.0], [1.0, 1.0]])
+    assert negatives.scores(a, np.array([[2.0**40, -1.0]])).tolist() == [[2**63 - 1], [2**40 - 1]]
+
