@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
+from seqsim.operators.stats import running_sum
 from seqsim.sources.storage import discarded, saved, slight
 
-__all__ = ["discarded", "first_rows", "keyed", "pieces", "saved", "slight", "table", "texts"]
+__all__ = ["discarded", "first_rows", "keyed", "pieces", "saved", "slight", "table", "texts", "whole_id"]
 
 #: Bytes of text that a Python task turns into numpy arrays at a time; a longer text is one piece of its own.
 CHUNK_BYTES = 1 << 20
@@ -41,17 +43,30 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def whole_id(docs: DataFrame, id_col: str) -> Column:
+    """The ids as BIGINT if they are whole numbers, else as they are."""
+    return F.col(id_col).cast("bigint") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.col(id_col)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs as (uid, id, text), uid a BIGINT unique to each row and ordered as (id, text), nulls first.
 
-    Where ids are unique BIGINTs the uid is the id itself. Otherwise (null or repeated ids) rows are sorted by
-    range and numbered in that order; rows equal in both id and text get successive numbers.
+    Where ids are unique whole numbers the uid is the id itself. Otherwise (null or repeated ids, or ids of another type)
+    distinct ids are numbered in their order; only rows whose id is null or repeated are sorted by text, and numbered
+    within their id. Rows equal in both id and text get successive numbers.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    odd = rows.groupBy("id").count().where("id is null or count > 1").limit(1).count()
+    rows = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    odd = not isinstance(rows.schema["id"].dataType, LongType) or ids.where("id is null or n > 1").limit(1).count()
     if not odd:
         return rows.select(F.col("id").alias("uid"), "id", "text")
-    return saved(rows.orderBy("id", "text").select(F.monotonically_increasing_id().alias("uid"), "id", "text"))
+    based = running_sum(ids, "n", ["id"], out="last").select(F.col("id").alias("own"), "n", (F.col("last") - F.col("n")).alias("base"))
+    many = slight(saved(based.where("n > 1").select("own", "base")))
+    same = F.col("id").eqNullSafe(F.col("own"))
+    plain = rows.join(slight(saved(based.where("n = 1").select("own", "base"))), same).select(F.col("base").alias("uid"), "id", "text")
+    repeated = running_sum(rows.join(many, same).select("id", "text", "base", F.lit(1).cast("bigint").alias("one")), "one", ["id", "text"], out="place")
+    first = repeated.groupBy("base").agg(F.min("place").alias("first"))
+    return saved(plain.unionByName(repeated.join(first, "base").select((F.col("base") + F.col("place") - F.col("first")).alias("uid"), "id", "text")))
 
 
 def first_rows(rows: DataFrame, by: list[str], row: str = "row") -> DataFrame:

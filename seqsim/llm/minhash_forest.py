@@ -34,7 +34,7 @@ from seqsim.llm.suffix_dedup import mixed
 TREES, SHALLOW, DEPTH = 26, 2, 3
 #: Sets that a region may have without being split by a longer prefix, or by prefix filtering.
 LEAF = 32
-SKETCH = "uid bigint, id bigint, n int, digest binary, p binary, " + ", ".join(f"{p} bigint" for p in P) + ", short array<bigint>, long array<bigint>"
+SKETCH = "uid bigint, id {id}, n int, digest binary, p binary, " + ", ".join(f"{p} bigint" for p in P) + ", short array<bigint>, long array<bigint>"
 
 
 def functions(many: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
             columns = [batch.column("uid"), batch.column("id"), pa.array(size), pa.array(digest, pa.binary()), pa.array(whole, pa.binary()), *map(pa.array, p.T.copy()), *keys]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SKETCH.split(", ")])
 
-    return saved(rows.select("uid", "id", "text").mapInArrow(run, SKETCH))
+    return saved(rows.select("uid", "id", "text").mapInArrow(run, SKETCH.format(id=rows.schema["id"].dataType.simpleString())))
 
 
 def forest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +100,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Words are A-Z lower-cased stretches other than ASCII white space. A text of fewer words is one shingle, its whole
     sequence. Null, empty and blank texts have an empty set and are linked with nothing, not even each other. Rows that repeat
     an id or are equal in all are rows of their own; a null id is no component's id unless it has no other. Ids are
-    whole numbers. Texts of any length are taken whole; other columns play no part.
+    of any type that can be ordered. Texts of any length are taken whole; other columns play no part.
     """
     rows = keyed(docs, id_col, text_col)
     found = sketches(rows, width)
@@ -122,7 +122,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     tree = saved(components(center_links(held, facts, share, verify)).withColumnRenamed("node", "uid"))
     rest = open_members(held, tree, facts)
-    tree = joined_tree(tree, cross_links(rest, share, verify))
+    tree = joined_tree(tree, cross_links(rest, facts, share, verify))
     rooted = saved(classes.join(tree.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = found.select("id", "n", "digest").join(rooted.join(least, "root").select("digest", "component_id"), "digest", "left")

@@ -1,6 +1,6 @@
 """Near-duplicate texts at a shingle similarity, found exactly by prefix filtering of their shingle sets.
 
-Shingles have one order for all texts: frequent ones last, as a sample shows, others by their hash. Two sets of Jaccard
+Shingles have one order for all texts: by frequency, as a sample shows for buckets of hashes, then by their hash. Two sets of Jaccard
 similarity `share` or more have a shingle in common among the first of each, n - ceil(share * n) + 1 of a set of n, whatever
 the order; so texts that share an entry (a shingle of both prefixes), and have fitting sizes and places, are all that has
 to be compared. Parities of hash buckets bound the difference of two sets from below and rule most pairs out; what is
@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsim.llm.common import discarded, first_rows, keyed, pieces, saved, slight, texts
+from seqsim.llm.common import discarded, first_rows, keyed, pieces, saved, slight, texts, whole_id
 from seqsim.llm.simhash import components
 from seqsim.llm.suffix_dedup import Prefixes, mixed
 
-#: One text in SAMPLE shows which shingles are frequent, and HOT of them at most come last. Any choice gives the same links.
-SAMPLE, HOT = 16, 20_000
+#: One text in SAMPLE shows how frequent shingles are, by BUCKETS of their hashes. Any order gives the same links.
+SAMPLE, BUCKETS = 16, 1 << 21
+#: Pairs of an entry that a task compares, about; entries that have more are dealt into blocks.
+CROSS = 1 << 22
 #: Shingles that a Python task orders at a time.
 CHUNK_SHINGLES = 1 << 18
 #: Longs of 64 parities each that a set is described by.
@@ -87,30 +89,24 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return saved(rows.select("uid", "text").mapInArrow(run, "uid bigint, s array<bigint>, n int, h bigint, p binary, " + ", ".join(f"{p} bigint" for p in P)))
 
 
-def frequent(sets: DataFrame) -> np.ndarray:
-    """Shingles that a sample of the texts repeats most, the most frequent last."""
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often a sample of the texts has the shingles of each of BUCKETS buckets, by their hash: as many numbers whatever the
+    vocabulary is."""
     some = sets.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).select(F.explode("s").alias("key"))
-    most = some.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(HOT)
-    return most.select("key").toArrow().column("key").to_numpy()[::-1].copy()
+    counts = some.groupBy(F.col("key").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().where("count > 2").toArrow()
+    out = np.zeros(BUCKETS, np.int32)
+    out[counts["bucket"].to_numpy()] = np.minimum(counts["count"].to_numpy(), np.iinfo(np.int32).max)
+    return out
 
 
 def prefixes(sets: DataFrame, share: float) -> DataFrame:
     """(key, uid, at) for each shingle of a set's prefix, the at-th of the set in the common order. The key is half
     of its hash; shingles that agree in it are candidates more."""
-    last = frequent(sets)
-    sorter = np.argsort(last)
-    known = last[sorter]
+    held = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # of BUCKETS numbers
 
     def prefix(own: np.ndarray) -> np.ndarray:
         size = len(own) - int(np.ceil(share * len(own) - 1e-9)) + 1
-        if not len(known):
-            return own[:size]
-        spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        rank = np.where(known[spot] == own, sorter[spot] + 1, 0)
-        rare = own[rank == 0]
-        if len(rare) >= size:
-            return rare[:size]
-        return np.concatenate([rare, own[np.argsort(rank, kind="stable")[len(rare) : size]]])
+        return own[np.argsort(held.value[own & (BUCKETS - 1)], kind="stable")[:size]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -196,12 +192,12 @@ def entries(sets: DataFrame, same: DataFrame, share: float) -> DataFrame:
     return saved(prefix_entries(sets.join(slight(same.select(F.col("b").alias("uid"))), "uid", "left_anti"), share))
 
 
-def center_links(held: DataFrame, sets: DataFrame, share: float, verify: Verify) -> DataFrame:
+def center_links(held: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None) -> DataFrame:
     """Links between members of an entry and its center."""
     mine = sets.select("uid", "n", *P)
     met = held.where("uid > cu").select(F.col("cu").alias("a"), F.col("uid").alias("b")).distinct()
     met = met.join(mine.alias("x"), F.col("a") == F.col("x.uid")).join(mine.alias("y"), F.col("b") == F.col("y.uid")).where(near_enough(share, "x", "y"))
-    return verify(met.select("a", "b"))
+    return verify(met.select("a", "b")) if verify else verified(met.select("a", "b"), sets, share)
 
 
 def open_members(held: DataFrame, tree: DataFrame, sets: DataFrame) -> DataFrame:
@@ -214,13 +210,18 @@ def open_members(held: DataFrame, tree: DataFrame, sets: DataFrame) -> DataFrame
     return saved(rest.withColumn("o", F.xxhash64("uid")), instead_of=named)
 
 
-def cross_links(rest: DataFrame, share: float, verify: Verify) -> DataFrame:
-    """Links between members of different components."""
-    x, y = rest.where("root != bulk").alias("x"), rest.alias("y")
+def cross_links(rest: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None) -> DataFrame:
+    """Links between members of different components. Where the outsiders and members of an entry make very many pairs, outsiders
+    are dealt into blocks, each of which meets all members, so that no task has all of them."""
+    pairs = F.count(F.lit(1)) * F.count_if(F.col("root") != F.col("bulk"))
+    large = slight(saved(rest.groupBy("key").agg(F.ceil(pairs / CROSS).cast("int").alias("blocks")).where("blocks > 1")))
+    rest = rest.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = rest.where("root != bulk").withColumn("block", F.pmod(F.col("o"), F.col("blocks")).cast("int")).alias("x")
+    y = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.root") == F.col("y.bulk")) | (F.struct("x.o", "x.uid") < F.struct("y.o", "y.uid"))
-    new = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & fits(share, "x.n", "y.n", "x.at", "y.at") & near_enough(share, "x", "y")
+    new = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once & fits(share, "x.n", "y.n", "x.at", "y.at") & near_enough(share, "x", "y")
     cross = x.join(y, new).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
-    return verify(cross.distinct())
+    return verify(cross.distinct()) if verify else verified(cross.distinct(), sets, share)
 
 
 def joined_tree(tree: DataFrame, more: DataFrame) -> DataFrame:
@@ -240,10 +241,9 @@ def near_tree(rows: DataFrame, width: int, share: float) -> DataFrame:
     sets = shingle_sets(rows, width)
     same = equal_links(sets, share)
     held = entries(sets, same, share)
-    verify = lambda pairs: verified(pairs, sets, share)
-    tree = saved(components(same.unionByName(center_links(held, sets, share, verify))).withColumnRenamed("node", "uid"))
+    tree = saved(components(same.unionByName(center_links(held, sets, share))).withColumnRenamed("node", "uid"))
     rest = open_members(held, tree, sets)
-    more = cross_links(rest, share, verify)
+    more = cross_links(rest, sets, share)
     discarded(rest, sets)
     return joined_tree(tree, more)
 
@@ -252,7 +252,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(uid, id, text_key, root) for each row of docs: rows of one root are near duplicates, linked directly or over others.
 
     Words are A-Z lower-cased; null, empty and blank texts count as equal. Equal texts should be removed before: they
-    are compared like any others. Repeated rows and null ids are rows of their own. See common.keyed for uids.
+    are compared like any others. Repeated rows and null ids are rows of their own; ids may be of any type that can be ordered. See common.keyed for uids.
     """
     rows = keyed(docs, id_col, text_col)
     tree = near_tree(rows, width, share)
@@ -271,7 +271,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     first = F.col("uid") == F.col("root")
     each = found.groupBy("id", F.col("text_key").alias("key")).agg(F.max(first).alias("stays"), F.count(F.lit(1)).alias("n"))
     special = slight(saved(each.where("n > 1 or not stays")).select("id", "key", "stays"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text_col).alias("k"))
+    rows = docs.select(F.struct("*").alias("row"), whole_id(docs, id_col).alias("i"), F.xxhash64(text_col).alias("k"))
     match = F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key"))
     plain = rows.join(special, match, "left_anti").select("row")
     repeated = rows.join(special.where("stays"), match, "left_semi")

@@ -409,7 +409,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         raise RuntimeError("contexts collide under every hash")
     out = rows.select("uid", "id", "text").join(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("marks")), "uid", "left")
-    return out.select("id", "text", "marks").mapInArrow(keep, "id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary").withColumnRenamed("id", id_col)
+    return out.select("id", "text", "marks").mapInArrow(keep, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary").withColumnRenamed("id", id_col)
 
 
 def repeated_spans(rows: DataFrame, base: int) -> DataFrame | None:

@@ -483,8 +483,10 @@ def test_near_texts_among_odd_ids(spark):
     assert ordered(got) == ordered([r for k, r in enumerate(rows) if root[k] == k])
 
 
-def test_near_texts_in_large_groups(spark):
+@pytest.mark.parametrize("cross", [near_texts.CROSS, 20])
+def test_near_texts_in_large_groups(spark, cross, monkeypatch):
     """Thousands of near copies and of texts that share a passage: one class, and none; pairs stay few."""
+    monkeypatch.setattr(near_texts, "CROSS", cross)
     rng = random.Random(51)
     word = lambda: f"w{rng.randrange(20_000)}"
     base, passage, texts = [word() for _ in range(140)], [word() for _ in range(60)], []
@@ -1180,3 +1182,18 @@ def test_hard_negatives_beyond_doubles(spark):
     a = np.array([[2.0**40, 1.0], [1.0, 1.0]])
     assert negatives.scores(a, np.array([[2.0**40, -1.0]])).tolist() == [[2**63 - 1], [2**40 - 1]]
 
+
+
+def test_rows_are_numbered_by_id_and_text(spark, odd):
+    """Null, repeated and other ids: numbers are in the order of (id, text), and only odd rows are sorted by their texts."""
+    strings = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    for df in (odd, strings, odd.where("doc_id in (3, 4, 9)"), strings.limit(0)):
+        got = sorted(tuple(r) for r in common.keyed(df, "doc_id", "text").collect())
+        key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())
+        want = sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=key)
+        assert [r[1:] for r in got] == want and len({r[0] for r in got}) == len(got)
+    one = [(r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(odd.where("doc_id is not null")).collect()]
+    two = [(r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(strings.where("doc_id is not null").withColumn("doc_id", F.lpad(F.substring("doc_id", 2, 9), 4, "0"))).collect()]
+    assert ordered((int(r[0]), *r[1:]) for r in two) == ordered(one)
+    kept = near_texts.keep_one(strings).collect()
+    assert len(kept) == near_texts.keep_one(odd).count()
