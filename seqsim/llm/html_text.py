@@ -8,8 +8,8 @@ log-odds and those of the subtrees kept below sum up to more than nothing.
 
 Tokens and trees are learned from a bounded sample of pages. What lies in an <article> or <main> element is labelled
 article, the elements around it too, the rest not. Each page is also taken with blocks of other kinds around and in the
-article, made of its own words, and its words are set into a page of another make; there, names of classes are those usual
-for the kind of block, or invented. What a token says is its share of article elements in the other half of the sample,
+article, made of its own words, and its words are set into a page of another make; there, names of classes are those that
+the page itself has in its article or around it, or invented. What a token says is its share of article elements in the other half of the sample,
 so that trees learn how far to trust it.
 """
 
@@ -34,9 +34,11 @@ from seqsim.llm.common import saved
 
 #: Bounds of the fit: pages in the sample, bytes of a page and elements of a page that are learned from.
 SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_NODES = 150, 200_000, 400
-TREES, DEPTH, RATE, BINS = 60, 4, 0.25, 24
+TREES, DEPTH, RATE, BINS = 60, 5, 0.25, 24
 #: Buckets of tokens, and how many elements of no account are added to those of each.
 TOKENS, PRIOR = 1 << 12, 4.0
+#: Log-odds from which the likeliest text of a page is kept if nothing else is.
+UNLIKELY = -2.0
 #: Pages whose nodes are scored at a time, at most, and bytes of html.
 PAGES, PAGE_BYTES = 256, 2 << 20
 
@@ -54,6 +56,7 @@ KIND = {t: k for k, names in enumerate(KINDS) for t in names.split()}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
 OPEN = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ENDED = re.compile(r"(?:^|[\s\"'])/\s*\Z")  # a slash that is no part of an unquoted value
 LABEL = re.compile(r"x-label=([01])")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -133,7 +136,7 @@ def parse(source: str) -> Page:
             at = len(source) if end < 0 else end
             # the end tag is a token of its own, and has the element on the stack
             stack.append(node)
-        elif name not in VOID and not (attributes and attributes.rstrip().endswith("/")):
+        elif name not in VOID and not (attributes and ENDED.search(attributes)):
             stack.append(node)
     return page
 
@@ -190,6 +193,17 @@ def features(page: Page, said: np.ndarray) -> np.ndarray:
     for i in range(heart + 1, n):
         if page.parent[i] == heart or place[page.parent[i]] == 2:
             place[i] = 2
+    # places to the first element that calls itself the article
+    first = next((i for i in range(1, n) if page.tag[i] == "main"), 0) or next((i for i in range(1, n) if page.tag[i] == "article"), 0)
+    called = [int(first > 0 and i > first) for i in range(n)]  # 0: before it or none, 1: after it, 2: in it, 3: above it
+    for i in range(first, n) if first else ():
+        if i == first or called[page.parent[i]] == 2:
+            called[i] = 2
+    k = page.parent[first] if first else -1
+    while k >= 0:
+        called[k] = 3
+        k = page.parent[k]
+    called = np.array(called)
     total, link, stop, size, fields, prose = map(np.array, (total, link, stop, size, fields, prose))
     around, title = np.array(children)[np.maximum(parent, 0)], np.minimum(title, 2)
     same = np.array([kinds[x] for x in alike])
@@ -198,7 +212,7 @@ def features(page: Page, said: np.ndarray) -> np.ndarray:
         low, high, under, near, depth, np.log1p(total), np.log1p(own), np.log1p(size), np.log1p(total / size),
         link / np.maximum(total, 1), np.array(sibling) / np.maximum(around, 1), np.log1p(around), np.log1p(same), stop / np.maximum(total, 1), total / max(total[0], 1),
         total / np.maximum(total[np.maximum(parent, 0)], 1), np.minimum(fields, 4), np.log1p(prose), prose / max(prose[heart], 1),
-        title, title[np.maximum(parent, 0)], ahead / max(total[0], 1), place == 0, place == 1, place == 2, place == 3, *(kind == k for k in range(len(KINDS) + 1)),
+        title, title[np.maximum(parent, 0)], ahead / max(total[0], 1), place == 0, place == 1, place == 2, place == 3, np.full(n, first > 0), called == 1, called == 2, called == 3, *(kind == k for k in range(len(KINDS) + 1)),
     ]).astype(np.float32)
 
 
@@ -211,6 +225,13 @@ def main_text(page: Page, odds: np.ndarray) -> str:
     kept = [False] * len(gain)
     for i, p in enumerate(page.parent):
         kept[i] = gain[i] > 0 and (p < 0 or kept[p])
+    if not any(kept[node] and text and text.strip() for node, text in page.parts):
+        # nothing is likely: the likeliest element with text, if it isn't unlikely, and what holds it
+        best = max((node for node, text in page.parts if text and text.strip()), key=lambda i: odds[i], default=-1)
+        if best >= 0 and (odds[best] > UNLIKELY or len(gain) == 1):
+            kept = [gain[i] > 0 and (p < 0 or kept[p]) for i, p in enumerate(page.parent)]
+            while best >= 0:
+                kept[best], best = True, page.parent[best]
     return " ".join("".join(" " if text is None else text for node, text in page.parts if text is None or kept[node]).split())
 
 
@@ -229,66 +250,81 @@ def labels(page: Page) -> np.ndarray | None:
     return np.array([x == 1 or (x < 0 and h) for x, h in zip(own, holds, strict=True)])
 
 
-#: Blocks of other kinds in training pages: form, and names of classes usual for it. {n}: attributes; a, b, c: words, more and more.
+#: Forms of blocks of other kinds in training pages. {n}: attributes; a, b, c: words, more and more.
 BLOCK_FORMS = (
-    ("<header{n}><h2>{a}</h2><p>{b}</p></header>", "header site-header masthead top-bar page-header kopfbereich"),
-    ("<div{n}><a href='/'>{a}</a><p>{b}</p></div>", "header masthead topbar banner site-header logo"),
-    ("<nav{n}><a href='/'>{a}</a> <a href='/b'>{b}</a></nav>", "nav menu breadcrumbs pagination navigation"),
-    ("<div{n}><ul><li><a href='/'>{a}</a></li><li><a href='/b'>{a}</a></li><li><a href='/c'>{b}</a></li></ul></div>", "nav navbar menu navigation toc tags related-posts sitemap"),
-    ("<aside{n}><h3>{a}</h3><p>{c}</p><ul><li>{a}</li><li>{b}</li></ul></aside>", "sidebar rail widget-area seitenleiste"),
-    ("<div{n}><div><p>{c}</p></div></div>", "sidebar rail widget right-column barre-laterale sidenav"),
-    ("<div{n}><h4>{a}</h4><ul><li><a href='/'>{b}</a></li><li><a href='/d'>{b}</a></li></ul></div>", "related recommended trending more-stories widget promo"),
-    ("<div{n}><p>{c}</p><button>{a}</button></div>", "cookie-notice gdpr consent modal notification hinweis alert"),
-    ("<p{n}>{b}</p>", "notice disclaimer copyright alert advert-note"),
-    ("<div{n}>{c}</div>", "ad ads advert banner sponsored promo werbung publicite"),
-    ("<div{n}><p>{b}</p></div>", "advert ads sponsor promotion anzeige ad-slot"),
-    ("<form{n}><label>{a}</label><input name='q'><p>{b}</p></form>", "search newsletter login signup contact-form subscribe"),
-    ("<div{n}><p>{c}</p><form><input><button>{a}</button></form></div>", "newsletter-signup subscribe respond reply-form"),
-    ("<section{n}><h2>{a}</h2><div><p>{c}</p><p>{c}</p></div><article><p>{c}</p></article></section>", "comments discussion disqus_thread kommentare commentaires comentarios replies responses"),
-    ("<section{n}><h3>{a}</h3><ol><li><p>{c}</p></li><li><p>{c}</p></li></ol></section>", "comments reader-comments kommentare replies commentlist"),
-    ("<div{n}><article><b>{a}</b><p>{c}</p></article><article><b>{a}</b><p>{c}</p></article></div>", "comments disqus_thread discussion feedback-list comment-thread"),
-    ("<div{n}><p>{c}</p></div>", "comment reply shout user-comment response"),
-    ("<div{n}><p>{c}</p><p>{c}</p></div>", "comments comment-thread disqus_thread discussion"),
-    ("<div{n}><a href='#'>{a}</a><a href='#'>{a}</a></div>", "share social sharing toolbar tools follow"),
-    ("<footer{n}><p>{b}</p><a href='/i'>{a}</a></footer>", "footer site-footer colophon legal fusszeile"),
-    ("<noscript{n}>{b}</noscript>", "noscript"),
+    "<header{n}><h2>{a}</h2><p>{b}</p></header>",
+    "<div{n}><a href='/'>{a}</a><p>{b}</p></div>",
+    "<nav{n}><a href='/'>{a}</a> <a href='/b'>{b}</a></nav>",
+    "<div{n}><ul><li><a href='/'>{a}</a></li><li><a href='/b'>{a}</a></li><li><a href='/c'>{b}</a></li></ul></div>",
+    "<aside{n}><h3>{a}</h3><p>{c}</p><ul><li>{a}</li><li>{b}</li></ul></aside>",
+    "<div{n}><div><p>{c}</p></div></div>",
+    "<div{n}><h4>{a}</h4><ul><li><a href='/'>{b}</a></li><li><a href='/d'>{b}</a></li></ul></div>",
+    "<div{n}><p>{c}</p><button>{a}</button></div>",
+    "<p{n}>{b}</p>",
+    "<div{n}>{c}</div>",
+    "<div{n}><p>{b}</p></div>",
+    "<form{n}><label>{a}</label><input name='q'><p>{b}</p></form>",
+    "<div{n}><p>{c}</p><form><input><button>{a}</button></form></div>",
+    "<section{n}><h2>{a}</h2><div><p>{c}</p><p>{c}</p></div><article><p>{c}</p></article></section>",
+    "<section{n}><h3>{a}</h3><ol><li><p>{c}</p></li><li><p>{c}</p></li></ol></section>",
+    "<div{n}><article><b>{a}</b><p>{c}</p></article><article><b>{a}</b><p>{c}</p></article></div>",
+    "<div{n}><p>{c}</p></div>",
+    "<div{n}><p>{c}</p><p>{c}</p></div>",
+    "<div{n}><a href='#'>{a}</a><a href='#'>{a}</a></div>",
+    "<div{n}><a href='#'>{a}</a></div>",
+    "<p{n}><a href='#'>{a}</a></p>",
+    "<div{n}><span><a href='#'>{a}</a></span></div>",
+    "<footer{n}><p>{b}</p><a href='/i'>{a}</a></footer>",
+    "<noscript{n}>{b}</noscript>",
 )
-#: Elements that hold the article of training pages, and names of classes of those in it.
-HOLDERS = ("article", "main", "div", "div", "div", "section", "td")
-HOLDER_NAMES = "content article post entry story main-content post-body article-body text page-content beitrag"
-INNER_NAMES = "title headline section-header lead paragraph search-results-text text first caption intro dropcap note-body list-text"
+BEFORE = tuple(x for x in BLOCK_FORMS if "<article>" not in x)
+#: Elements that hold the article of training pages; "": none, it lies in the body.
+HOLDERS = ("article", "article", "main", "div", "div", "section", "td", "td", "")
+NAME = re.compile(r"\b(?:class|id)\s*=\s*[\"']([^\"'<>]+)[\"']", re.I)
 
 
-def named(usual: str, rng: random.Random) -> str:
-    """Attributes: a usual name, an invented one, or none."""
-    chance = rng.random()
-    if chance < 0.15:
-        return ""
-    name = rng.choice(usual.split()) if chance < 0.7 else "".join(rng.choices("bcdfghklmnprst", k=2)) + "".join(rng.choices("aeioubdfgklmnrst", k=rng.randint(2, 7)))
-    return f' {rng.choice(("class", "class", "id"))}="{name}"'
+@dataclass
+class Words:
+    """What training pages are made of: a page's words, and the names that it gives to elements in its article and to others."""
+
+    words: list[str]
+    inside: list[str]
+    outside: list[str]
+
+    def some(self, rng: random.Random, least: int, most: int) -> str:
+        at = rng.randrange(len(self.words))
+        return html.escape(" ".join(self.words[at : at + rng.randint(least, most)]))
+
+
+def words_of(source: str, rng: random.Random) -> Words:
+    found = re.search(r"<(article|main)\b[^>]*>(.*)</\1\s*>", source, re.S | re.I)
+    inner = found[0] if found else ""
+    names = lambda part: sorted({n for x in NAME.findall(part) for n in x.split()})
+    words = re.sub(r"<[^>]*>", " ", source).split() or ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
+    return Words(words, names(inner), names(source.replace(inner, " ") if inner else source))
 
 
-def block(words: list[str], rng: random.Random) -> str:
-    """A block that isn't of the article."""
+def named(usual: list[str], rng: random.Random) -> str:
+    """Attributes: a name that the page has for such elements, an invented one, or none."""
+    chance = rng.random()
+    if chance < 0.25:
+        return ""
+    invented = "".join(rng.choices("bcdfghklmnprst", k=2)) + "".join(rng.choices("aeioubdfgklmnrst", k=rng.randint(2, 7)))
+    return f' {rng.choice(("class", "class", "id"))}="{rng.choice(usual) if usual and chance < 0.5 else invented}"'
 
-    def some(least: int, most: int) -> str:
-        at = rng.randrange(len(words))
-        return html.escape(" ".join(words[at : at + rng.randint(least, most)]))
 
-    form, usual = rng.choice(BLOCK_FORMS)
-    return form.format(n=named(usual, rng) + " x-label=0", a=some(1, 4), b=some(1, 15), c=some(5, 80))
+def block(made: Words, rng: random.Random, after: bool = True) -> str:
+    """A block that isn't of the article; readers' articles come after it only."""
+    return rng.choice(BLOCK_FORMS if after else BEFORE).format(n=named(made.outside, rng) + " x-label=0", a=made.some(rng, 1, 4), b=made.some(rng, 1, 15), c=made.some(rng, 5, 80))
 
 
-def several(words: list[str], rng: random.Random, most: int) -> str:
-    return "".join(block(words, rng) for _ in range(rng.randint(0, most)))
+def several(made: Words, rng: random.Random, most: int, after: bool = True) -> str:
+    return "".join(block(made, rng, after) for _ in range(rng.randint(0, most)))
 
 
 def varied(source: str, rng: random.Random) -> str:
     """The page with more blocks, names of classes in the article, and perhaps another element in place of <article>."""
-    words = re.sub(r"<[^>]*>", " ", source).split()
-    if not words:
-        return source
-    found = re.search(r"<(article|main)\b[^>]*>(.*)</\1\s*>", source, re.S | re.I)
+    made, found = words_of(source, rng), re.search(r"<(article|main)\b[^>]*>(.*)</\1\s*>", source, re.S | re.I)
     if not found:
         return source
     inner = found[2]
@@ -296,43 +332,69 @@ def varied(source: str, rng: random.Random) -> str:
         spots = [m.end() for m in re.finditer(r"</p>", inner)][: rng.choice((1, 1, 2, 3))]
         inner = inner[: spots[-1]] if spots else inner
     if rng.random() < 0.5:
-        inner = re.sub(r"<(p|h1|h2|h3|ul|li)>", lambda m: f"<{m[1]}{named(INNER_NAMES, rng)}>" if rng.random() < 0.3 else m[0], inner)
+        inner = re.sub(r"<(p|h1|h2|h3|ul|li)>", lambda m: f"<{m[1]}{named(made.inside, rng)}>" if rng.random() < 0.3 else m[0], inner)
     if rng.random() < 0.3:
-        inner = re.sub(r"(<h1\b.*?</h1>)", lambda m: f"<header{named('entry-header article-header', rng) if rng.random() < 0.5 else ''}>{m[0]}</header>", inner, count=1, flags=re.S)
+        inner = re.sub(r"(<h1\b.*?</h1>)", lambda m: f"<header{named(made.inside, rng) if rng.random() < 0.5 else ''}>{m[0]}</header>", inner, count=1, flags=re.S)
     spots = [m.start() for m in re.finditer(r"<p>", inner)]
     if spots and rng.random() < 0.4:
         k = rng.choice(spots)
-        inner = inner[:k] + block(words, rng) + inner[k:]
-    name = "article" if rng.random() < 0.4 else rng.choice(HOLDERS)
-    own = "" if name in ("article", "main") and rng.random() < 0.6 else named(HOLDER_NAMES, rng)
-    made = f"<{name}{own} x-label=1>{inner}{several(words, rng, 2)}</{name}>"
-    return source[: found.start()] + several(words, rng, 3) + made + several(words, rng, 3) + source[found.end() :]
-
-
-def composed(words: list[str], rng: random.Random) -> str:
+        inner = inner[:k] + block(made, rng, False) + inner[k:]
+    if rng.random() < 0.15:  # paragraphs that aren't marked as such
+        inner = inner.replace("<p>", "<div>").replace("</p>", "</div>")
+    name = "article" if rng.random() < 0.4 else rng.choice([x for x in HOLDERS if x])
+    own = "" if name in ("article", "main") and rng.random() < 0.6 else named(made.inside, rng)
+    body = f"<{name}{own} x-label=1>{inner}{several(made, rng, 2)}</{name}>"
+    return source[: found.start()] + several(made, rng, 3, False) + body + several(made, rng, 3) + source[found.end() :]
+
+
+def part_of_article(tag: str, made: Words, rng: random.Random, mark: str) -> str:
+    """A part of an article: a heading, a paragraph, or one of the makes of lists, tables and figures."""
+    text = made.some(rng, 2, 10) if tag[0] == "h" else made.some(rng, 4, 90)
+    own = (named(made.inside, rng) if rng.random() < 0.3 else "") + mark
+    if tag == "links":
+        return f"<ul{own}>" + "".join(f"<li><a href='/{k}'>{made.some(rng, 1, 5)}</a></li>" for k in range(rng.randint(2, 5))) + "</ul>"
+    if tag == "figure":
+        return f"<figure{own}><img src='x.png'><figcaption>{made.some(rng, 2, 20)}</figcaption></figure>"
+    if tag == "table":
+        head = f"<tr><th>{made.some(rng, 1, 3)}</th><th>{made.some(rng, 1, 3)}</th></tr>" if rng.random() < 0.6 else ""
+        return f"<table{own}>{head}<tr><td>{made.some(rng, 1, 6)}</td><td>{text}</td></tr></table>"
+    if rng.random() < 0.2:
+        text = text.replace(" ", f" <a href='/x'>{made.some(rng, 1, 2)}</a> ", 1)
+    text = {"ul": f"<li>{made.some(rng, 2, 20)}</li><li>{text}</li>", "blockquote": f"<p>{text}</p>", "lines": text.replace(" ", "<br><br>", 1)}.get(tag, text)
+    return f"<{tag}{own}>{text}</{tag}>" if tag != "lines" else f"<div{own}>{text}</div>"
+
+
+def composed(made: Words, rng: random.Random) -> str:
     """The words as a page of another make, with its article marked."""
-
-    def some(least: int, most: int) -> str:
-        at = rng.randrange(len(words))
-        return html.escape(" ".join(words[at : at + rng.randint(least, most)]))
-
-    inner = []
-    for k in range(rng.choice((2, 2, 3, 4, 5, 6, 8))):
-        tag = "h1" if k == 0 else rng.choice(["p", "p", "p", "p", "p", "h2", "h3", "ul", "blockquote", "table", "pre"])
-        text = some(2, 10) if tag[0] == "h" else some(4, 90)
-        text = {"ul": f"<li>{some(2, 20)}</li><li>{text}</li>", "table": f"<tr><td>{some(1, 6)}</td><td>{text}</td></tr>", "blockquote": f"<p>{text}</p>"}.get(tag, text)
-        if rng.random() < 0.2:
-            text = text.replace(" ", " <a href='/x'>" + some(1, 2) + "</a> ", 1)
-        part = f"<{tag}{named(INNER_NAMES, rng) if rng.random() < 0.3 else ''}>{text}</{tag}>"
-        inner.append(f"<header>{part}</header>" if k == 0 and rng.random() < 0.3 else f"<div>{part}</div>" if rng.random() < 0.1 else part)
+    inner, name = [], rng.choice(HOLDERS)
+    mark = "" if name else " x-label=1"
+    prose = rng.choice(("p", "p", "p", "div", "lines"))
+    for k in range(rng.choice((1, 2, 2, 3, 4, 5, 6, 8))):
+        tag = ("div" if prose in ("div", "lines") and rng.random() < 0.3 else "h1") if k == 0 and rng.random() < 0.8 else rng.choice([prose] * 5 + ["h2", "h3", "ul", "blockquote", "table", "pre", "links", "links", "figure"])
+        part = f"<div{mark}>{made.some(rng, 1, 8)}</div>" if k == 0 and tag == "div" else part_of_article(tag, made, rng, mark)
+        inner.append(f"<header{mark}>{part}</header>" if k == 0 and rng.random() < 0.3 else f"<div{mark}>{part}</div>" if rng.random() < 0.1 else part)
         if rng.random() < 0.08:
-            inner.append(block(words, rng))
-    name = rng.choice(HOLDERS)
-    main = f"<{name}{named(HOLDER_NAMES, rng)} x-label=1>{''.join(inner)}{several(words, rng, 1)}</{name}>"
-    column = f"{several(words, rng, 2)}{main}{several(words, rng, 3)}"
-    for _ in range(rng.randint(0, 2)):
-        column = f"<div{named('page wrapper container row column layout', rng)}>{column}</div>{several(words, rng, 1)}"
-    return f"<html><head><title>{some(2, 8)}</title></head><body>{several(words, rng, 2)}{column}{several(words, rng, 2)}</body></html>"
+            inner.append(block(made, rng, False))
+    inner.append(part_of_article(prose, made, rng, mark))
+    held = "".join(inner)
+    body = f"<{name}{named(made.inside, rng)} x-label=1>{held}{several(made, rng, 2)}</{name}>" if name else held
+    if name == "td":  # a table that lays the page out, with other columns
+        cell = f"<td x-label=0>{several(made, rng, 1, False)}" + "<br>".join(f"<a href='/{k}'>{made.some(rng, 1, 3)}</a>" for k in range(rng.randint(1, 5))) + "</td>"
+        body = f"<table><tr>{cell if rng.random() < 0.7 else ''}{body}{cell if rng.random() < 0.3 else ''}</tr></table>"
+    plain = rng.random() < 0.15  # nothing else on the page
+    around = (lambda most, after=True: "") if plain else (lambda most, after=True: several(made, rng, most, after))
+    column = f"{around(2, False)}{body}{around(3)}"
+    for _ in range(rng.randint(0, 2) if name else 0):
+        column = f"<div{named(made.outside, rng)}>{column}</div>{around(1)}"
+    head = "" if plain and rng.random() < 0.5 else f"<head><title>{made.some(rng, 2, 8)}</title></head>"
+    return f"<html>{head}<body>{around(2, False)}{column}{around(2)}</body></html>"
+
+
+def plain_page(made: Words, rng: random.Random) -> Page:
+    """A page without any markup: all of it is the article."""
+    page = parse("\n".join(made.some(rng, 5, 60) for _ in range(rng.randint(1, 6))))
+    page.label[0] = 1
+    return page
 
 
 @dataclass
@@ -392,9 +454,9 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 def lessons(number: int, source: str) -> list[Page]:
     """What a page of the sample teaches: itself, varied and composed anew, each with an article marked."""
     rng = random.Random(number)
-    words = re.sub(r"<[^>]*>", " ", source).split() or ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
-    made = [source, *(varied(source, rng) for _ in range(3)), *(composed(words, rng) for _ in range(3))]
-    return [p for p in map(parse, made) if labels(p) is not None]
+    made = words_of(source, rng)
+    pages = [source, *(varied(source, rng) for _ in range(3)), *(composed(made, rng) for _ in range(5))]
+    return [p for p in [*map(parse, pages), *([plain_page(made, rng)] if number % 4 == 0 else [])] if labels(p) is not None]
 
 
 def token_counts(page: Page, y: np.ndarray) -> np.ndarray:
@@ -457,8 +519,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Tr
 def extract(pages: DataFrame, model: Trees, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text) for each row of pages: the article's text from the whole html.
 
-    Null, empty and textless html give an empty text, malformed html what its parts give. Repeated rows get equal
-    results; other columns are left out.
+    Null, empty and textless html give an empty text, html without markup its whole text, malformed html what its parts
+    give. Where no element is likely to be of an article, the likeliest with text is taken, if its log-odds are over
+    UNLIKELY. Repeated rows get equal results; other columns are left out.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
 
