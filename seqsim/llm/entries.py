@@ -169,6 +169,24 @@ def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_sets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+OP11_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM docs, unnest(range(1, greatest(len(w), 2))) AS r(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM docs UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text): a tenth of the documents, by the id's CRC-32, repeats a stretch of their words from some word on."""
     words, h = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.crc32(F.col("doc_id").cast("string"))
@@ -215,4 +233,4 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIF
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_simhash, op6_mixing, op7_exact_dedup, op8_quality, op9_licenses, op10_language, op11_minhash_forest, op12_periodic_runs, op13_hard_negatives)}
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_licenses": OP9_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_licenses": OP9_SQL, "op11_minhash_forest": OP11_SQL, "op13_hard_negatives": OP13_SQL}

@@ -155,7 +155,8 @@ def exact_dedup(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_
 
     `incoming` tells the new batch's rows from the snapshot's. Texts are equal when their bytes are; null counts as
     empty, and empty texts are equal to each other. Of equal texts the row with the largest id stays, null being
-    smaller than all; of rows that repeat both id and text, one stays. Other columns are left out.
+    smaller than all; of rows that repeat both id and text, one stays. Bytes are compared between one row of each
+    side, by its id; where all rows of a text on a side have no id, its SHA-256 alone decides. Other columns are left out.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = saved(
