@@ -127,6 +127,12 @@ def bin_bounds(hist: DataFrame, key: str, count: str, bits: int) -> DataFrame:
     return bin_assignment(hist, key, count, bits).groupBy("part").agg(F.max(key).alias("bound"))
 
 
+def bin_offsets(hist: DataFrame, key: str, count: str, bits: int) -> DataFrame:
+    """(part, bound, start, n): the largest key of each part, how many items come before it, and how many it has."""
+    items = F.col(count).cast("bigint")
+    return bin_assignment(hist, key, count, bits).groupBy("part").agg(F.max(key).alias("bound"), F.min(F.col("total") - items).alias("start"), F.sum(items).alias("n"))
+
+
 def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, n, mean, sem): sem is the sample deviation over the root of n."""
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"))

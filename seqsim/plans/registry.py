@@ -497,6 +497,17 @@ def bin_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bin_bounds(days(spark, sf_dir), "day", "n", 8)
 
 
+@register("bin_offsets", f"WITH {DAYS_SQL}, t AS (SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS total FROM days) SELECT total >> 8 AS part, max(day) AS bound, min(total - n)::BIGINT AS start, sum(n)::BIGINT AS n FROM t GROUP BY 1")
+def bin_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.bin_offsets(days(spark, sf_dir), "day", "n", 8)
+
+
+@register("first_per_group", "SELECT o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice) = 1")
+def first_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's first order's price."""
+    return P.first_value(read(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", "o_orderdate")
+
+
 @register("group_mean_sem", "SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 8) AS sem FROM lineitem GROUP BY 1, 2")
 def group_mean_sem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
