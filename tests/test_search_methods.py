@@ -255,6 +255,8 @@ def test_sizes_and_limits_of_a_growth():
 def test_small_preparations(spark):
     df = spark.createDataFrame([("a", 3, 1.5), ("a", 1, 2.5), ("b", 2, 0.5)], "s string, t int, r double")
     assert values(P.first_value(df, ["s"], "r", "t")) == [("a", 2.5), ("b", 0.5)]
+    hist = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 40)], "k int, n int")
+    assert values(T.bin_offsets(hist, "k", "n", 2)) == [(0, 1, 0, 3), (1, 2, 3, 3), (11, 3, 6, 40)]
     raw = spark.createDataFrame([("CASSLGF", "V1"), ("AASSLGF", "V1"), ("CASSLGA", "V1"), ("CASSLGW", None)], "CDR3B string, TRBV string")
     assert values(P.standardized(raw, {}, starts="C", ends="FWC")) == [("CASSLGF", "V1*01")]
     some = spark.createDataFrame([(f"r{i % 4}", i) for i in range(40)], "rep string, v int")
