@@ -467,11 +467,11 @@ def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.running_sum(days(spark, sf_dir), "n", ["day"])
 
 
-@register("running_total", "SELECT l_orderkey, l_linenumber, l_partkey, (sum(l_quantity::BIGINT) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM lineitem")
+@register("running_total", "SELECT l_orderkey, l_linenumber, l_partkey, (sum(l_quantity::BIGINT) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM lineitem")
 def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all rows in one order."""
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
-    return T.running_sum(rows, "q", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).drop("q", "l_suppkey")
+    return T.running_sum(rows, "q", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q"]).drop("q", "l_suppkey")
 
 
 @register("rows_to_many_ranges", "WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_suppkey, l_orderkey, l_linenumber, l_partkey) - 1 AS row FROM lineitem), o AS (SELECT l_orderkey AS rep, count(*) AS n, sum(count(*)) OVER (ORDER BY l_orderkey) AS stop FROM lineitem GROUP BY 1) SELECT r.row, r.l_orderkey, r.l_linenumber, o.rep FROM r ASOF JOIN o ON r.row >= o.stop - o.n")
