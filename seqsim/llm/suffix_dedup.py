@@ -184,8 +184,9 @@ def anchor_rows(batches: Iterator[pa.RecordBatch], base: int, limit: int) -> Ite
         own, key, context, m, a, b, uid, both, repeat, many = (v[keep] for v in (own, key, context, m, a, b, uid, both, repeat, many))
         alone = mixed((uid * 1_000_003 + m).view(np.uint64)).view(np.int64)
         key = np.where(repeat, alone, np.where(many, mixed(both.view(np.uint64)).view(np.int64), key))
+        told = np.array(told, np.int64)  # an empty list would turn keys into floats, which lose their low bits
         none = np.zeros(len(told), np.int64)
-        columns = [np.append(key, told).astype(np.int64), np.append(context, none), np.append(uid, none - 1), np.append(m, none), np.append(m - a, none).astype(np.int32), np.append(m - b, none).astype(np.int32), np.append(repeat, none > 0), np.append(many & ~repeat, none == 0)]
+        columns = [np.append(key, told), np.append(context, none), np.append(uid, none - 1), np.append(m, none), np.append(m - a, none).astype(np.int32), np.append(m - b, none).astype(np.int32), np.append(repeat, none > 0), np.append(many & ~repeat, none == 0)]
         yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [c.split()[0] for c in MARKS.split(", ")])
 
 

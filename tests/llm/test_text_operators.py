@@ -235,6 +235,21 @@ def test_suffix_dedup_within_tasks(monkeypatch):
     assert ask(2, 0) == [True] and ask(1, 0) == [False] and ask(2, 6) == [False]  # a later text, the same one, other bytes
 
 
+@pytest.mark.parametrize("limit", [1, 256])
+def test_suffix_dedup_keys_keep_all_bits(limit):
+    """Anchors have one key in all tasks, those that meet no crowded anchor too; texts are of one anchor each or periodic."""
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("abcdefgh", k=400)) for _ in range(20)] + ["ab" * 300]
+    want = {(u, int(k)) for u, t in enumerate(texts) for k in suffix_dedup.anchors([t.encode()], suffix_dedup.CONTEXTS[0])[1]}
+    for some in (range(20), range(21)):
+        batch = pa.RecordBatch.from_pydict({"uid": pa.array(some, pa.int64()), "text": [texts[i] for i in some]})
+        rows = [r for b in suffix_dedup.anchor_rows(iter([batch]), suffix_dedup.CONTEXTS[0], limit) for r in b.to_pylist()]
+        assert {r["uid"] for r in rows if r["uid"] >= 0} == set(some)
+        assert {(r["uid"], r["key"]) for r in rows if 0 <= r["uid"] < 20} == {(u, k) for u, k in want if u < 20}
+
+
 @pytest.mark.parametrize("in_task", [256, 8])
 def test_suffix_dedup_of_a_common_passage(spark, in_task, monkeypatch):
     rng = random.Random(19)
