@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqsim.llm.common import discarded, keyed, pieces, saved, slight, texts
-from seqsim.llm.near_texts import PARITIES, P, center_links, compared, cross_links, joined_tree, likely, open_members, parities, prefix_entries, shingle_sets, shingle_sets_of
+from seqsim.llm.near_texts import PARITIES, P, center_links, compared, cross_links, further_centers, joined_tree, likely, merged, open_members, parities, prefix_entries, shingle_sets, shingle_sets_of
 from seqsim.llm.simhash import components
 from seqsim.llm.suffix_dedup import mixed
 
@@ -121,8 +121,8 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         return out
 
     tree = saved(components(center_links(held, facts, share, verify)).withColumnRenamed("node", "uid"))
-    rest = open_members(held, tree, facts)
-    tree = joined_tree(tree, cross_links(rest, facts, share, verify))
+    rest, tree = further_centers(open_members(held, tree, facts), tree, facts, share, verify)
+    tree = joined_tree(tree, merged(tree, cross_links(rest, facts, share, verify)))
     rooted = saved(classes.join(tree.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = found.select("id", "n", "digest").join(rooted.join(least, "root").select("digest", "component_id"), "digest", "left")

@@ -1,4 +1,7 @@
-"""Near-duplicate texts at a shingle similarity, found exactly by prefix filtering of their shingle sets.
+"""Near-duplicate texts at a shingle similarity: SimHash by multi-index hashing, and the links it misses by prefix filtering.
+
+Fingerprints over the same shingles (see simhash) that differ in few bits propose pairs, which are verified. That joins copies with
+few edits. SimHash can miss a link at a shingle similarity, so what it has not joined is searched exactly, by prefix filtering:
 
 Shingles have one order for all texts: by frequency, as a sample shows for buckets of hashes, then by their hash. Two sets of Jaccard
 similarity `share` or more have a shingle in common among the first of each, n - ceil(share * n) + 1 of a set of n, whatever
@@ -11,8 +14,11 @@ Only components are asked for, so an entry's members aren't all compared with ea
 
 1. Each member is compared with the entry's center, one of them. That joins most of a large group of near copies, by as
    many pairs as it has members.
-2. Members in the center's component are done with each other. Those outside it (outsiders) are compared with all members
-   that are in another component than themselves. Then no pair that could join two components is untested.
+2. Members in the center's component are done with each other. In groups whose members aren't all near to one, further centers
+   follow, in ROUNDS, as long as they join something: members are compared with them if they are in another component. Entries take
+   different ones, so that a member, which is in many entries, meets several.
+3. Those outside the first center's component (outsiders) are compared with all members that are in another component than themselves. Then no pair that could join two
+   components is untested.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsim.llm.common import discarded, first_rows, keyed, pieces, saved, slight, texts, whole_id
-from seqsim.llm.simhash import components
+from seqsim.llm.simhash import components, fingerprints, links
 from seqsim.llm.suffix_dedup import Prefixes, mixed
 
 #: One text in SAMPLE shows how frequent shingles are, by BUCKETS of their hashes. Any order gives the same links.
 SAMPLE, BUCKETS = 16, 1 << 21
 #: Pairs of an entry that a task compares, about; entries that have more are dealt into blocks.
 CROSS = 1 << 22
+#: Further centers of an entry before its components are compared member by member, and orders that entries take theirs by.
+ROUNDS, ORDERS = 2, 64
 #: Shingles that a Python task orders at a time.
 CHUNK_SHINGLES = 1 << 18
 #: Longs of 64 parities each that a set is described by.
@@ -180,6 +188,17 @@ def equal_links(sets: DataFrame, share: float) -> DataFrame:
     return verified(saved(sets.select("uid", "h", "n").join(firsts, ["h", "n"]).where("uid > a").select("a", F.col("uid").alias("b"))), sets, share)
 
 
+def fingerprint_links(rows: DataFrame, sets: DataFrame, width: int, share: float) -> DataFrame:
+    """Links (a, b) that SimHash finds: a fingerprint's first text with its other texts, and with that of the least fingerprint at
+    2 or fewer differing bits. Each text is verified with one or two others, however many are alike."""
+    fps = saved(fingerprints(rows, "uid", "text", width))
+    first = saved(fps.groupBy("fp").agg(F.min("uid").alias("first")))
+    near = links(first.select("fp")).groupBy("b").agg(F.min("a").alias("a"))
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    pairs = near.select("x", "y").unionByName(fps.join(first, "fp").where("uid > first").select(F.col("first").alias("x"), F.col("uid").alias("y")))
+    return verified(saved(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), sets, share)
+
+
 def prefix_entries(sets: DataFrame, share: float) -> DataFrame:
     """(key, uid, at, cu): the members of entries of several texts, each with its entry's center."""
     every = prefixes(sets, share)
@@ -192,12 +211,15 @@ def entries(sets: DataFrame, same: DataFrame, share: float) -> DataFrame:
     return saved(prefix_entries(sets.join(slight(same.select(F.col("b").alias("uid"))), "uid", "left_anti"), share))
 
 
-def center_links(held: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None) -> DataFrame:
-    """Links between members of an entry and its center."""
+def center_links(held: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """Links between members of an entry and its center, but for those that a tree (uid, root) has joined before."""
     mine = sets.select("uid", "n", *P)
     met = held.where("uid > cu").select(F.col("cu").alias("a"), F.col("uid").alias("b")).distinct()
-    met = met.join(mine.alias("x"), F.col("a") == F.col("x.uid")).join(mine.alias("y"), F.col("b") == F.col("y.uid")).where(near_enough(share, "x", "y"))
-    return verify(met.select("a", "b")) if verify else verified(met.select("a", "b"), sets, share)
+    met = met.join(mine.alias("x"), F.col("a") == F.col("x.uid")).join(mine.alias("y"), F.col("b") == F.col("y.uid")).where(near_enough(share, "x", "y")).select("a", "b")
+    if tree is not None:
+        root = lambda end: tree.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}"))
+        met = met.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return verify(met) if verify else verified(met, sets, share)
 
 
 def open_members(held: DataFrame, tree: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,6 +232,31 @@ def open_members(held: DataFrame, tree: DataFrame, sets: DataFrame) -> DataFrame
     return saved(rest.withColumn("o", F.xxhash64("uid")), instead_of=named)
 
 
+def further_centers(rest: DataFrame, tree: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None) -> tuple[DataFrame, DataFrame]:
+    """The open members without those that rounds of further centers have joined or compared with all others, and the tree (uid,
+    root) with what they have joined. An entry's next center is its first member in one of ORDERS orders."""
+    for nth in range(ROUNDS):
+        own = F.struct(F.xxhash64("uid", F.pmod(F.xxhash64("key"), F.lit(ORDERS)), F.lit(nth)).alias("place"), "uid", "root", "at", "n", *P)
+        centers = rest.groupBy("key").agg(F.min(own).alias("c"))
+        met = rest.alias("x").join(centers, "key").where((F.col("root") != F.col("c.root")) & fits(share, "x.n", "c.n", "x.at", "c.at") & near_enough(share, "x", "c"))
+        met = met.select(F.least("x.uid", "c.uid").alias("a"), F.greatest("x.uid", "c.uid").alias("b")).distinct()
+        more = verify(met) if verify else verified(met, sets, share)
+        some = bool(more.limit(1).count())
+        if some:
+            joined = merged(tree, more)
+            tree = joined_tree(tree, joined).withColumnRenamed("node", "uid")
+        left = rest.join(centers.select("key", F.col("c.uid").alias("done")), "key", "left").where(F.col("done").isNull() | (F.col("uid") != F.col("done"))).drop("done")
+        for c in ("root", "bulk") if some else ():
+            top = slight(joined).select(F.col("node").alias("old"), "top")
+            left = left.join(top, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("top", c)).drop("old", "top")
+        left = saved(left.select(*rest.columns), instead_of=rest)
+        open_ = left.groupBy("key").agg(F.min(F.least("root", "bulk")).alias("low"), F.max(F.greatest("root", "bulk")).alias("high")).where("low < high")
+        rest = saved(left.join(open_.select("key"), "key", "left_semi"), instead_of=left)
+        if not some:
+            break
+    return rest, tree
+
+
 def cross_links(rest: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None) -> DataFrame:
     """Links between members of different components. Where the outsiders and members of an entry make very many pairs, outsiders
     are dealt into blocks, each of which meets all members, so that no task has all of them."""
@@ -224,11 +271,15 @@ def cross_links(rest: DataFrame, sets: DataFrame, share: float, verify: Verify |
     return verify(cross.distinct()) if verify else verified(cross.distinct(), sets, share)
 
 
-def joined_tree(tree: DataFrame, more: DataFrame) -> DataFrame:
-    """The tree (uid, root) with links (a, b) between its components, as (node, root)."""
+def merged(tree: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, top): the roots of the tree (uid, root) that links (a, b) join, with the least of what they are joined to."""
     ends = more.select(F.explode(F.array("a", "b")).alias("uid"), "a", "b")
     ends = ends.join(tree, "uid", "left").groupBy("a", "b").agg(F.min(F.coalesce("root", "uid")).alias("low"), F.max(F.coalesce("root", "uid")).alias("high"))
-    joined = saved(components(ends.select(F.col("low").alias("a"), F.col("high").alias("b"))).select("node", F.col("root").alias("top")))
+    return saved(components(ends.select(F.col("low").alias("a"), F.col("high").alias("b"))).select("node", F.col("root").alias("top")))
+
+
+def joined_tree(tree: DataFrame, joined: DataFrame) -> DataFrame:
+    """The tree (uid, root) with its roots (node) below their tops, as (node, root)."""
     both = tree.join(joined, F.col("root") == F.col("node"), "left").select(F.col("uid").alias("node"), F.coalesce("top", "root").alias("root"))
     alone = joined.join(tree, F.col("node") == F.col("uid"), "left_anti").select("node", F.col("top").alias("root"))
     return saved(both.unionByName(alone))
@@ -240,12 +291,13 @@ def near_tree(rows: DataFrame, width: int, share: float) -> DataFrame:
     Each step is a function of its own, so that what it shuffled can go when its result is stored."""
     sets = shingle_sets(rows, width)
     same = equal_links(sets, share)
+    tree = saved(components(same.unionByName(fingerprint_links(rows, sets, width, share))).withColumnRenamed("node", "uid"))
     held = entries(sets, same, share)
-    tree = saved(components(same.unionByName(center_links(held, sets, share))).withColumnRenamed("node", "uid"))
-    rest = open_members(held, tree, sets)
-    more = cross_links(rest, sets, share)
+    tree = joined_tree(tree, merged(tree, center_links(held, sets, share, tree=tree))).withColumnRenamed("node", "uid")
+    rest, tree = further_centers(open_members(held, tree, sets), tree, sets, share)
+    joined = merged(tree, cross_links(rest, sets, share))
     discarded(rest, sets)
-    return joined_tree(tree, more)
+    return joined_tree(tree, joined)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8) -> DataFrame:

@@ -552,6 +552,44 @@ def test_near_texts_in_large_groups(spark, cross, monkeypatch):
     assert sorted(r.doc_id for r in near_texts.keep_one(df).collect()) == [0, *range(1, 4000, 2)]
 
 
+def test_near_texts_by_fingerprints(spark):
+    """SimHash links copies with a word changed; what it proposes is verified: equal fingerprints of other texts are no links."""
+    rng = random.Random(29)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
+    base = [rng.choices(words, k=400) for _ in range(6)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], f"new{i}"]) for i, x in enumerate(base)]
+    df = spark.createDataFrame(list(enumerate(texts)), "uid bigint, text string").repartition(3)
+    sets = near_texts.shingle_sets(df, 5)
+    fp = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    near = {(i, j) for i in range(12) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2}
+    got = {(r.b, r.a) for r in near_texts.fingerprint_links(df, sets, 5, 0.8).collect()}
+    assert got == near and got <= {(i + 6, i) for i in range(6)} and len(got) > 2
+    assert near_texts.fingerprint_links(df, sets, 5, 1.0).collect() == []
+
+
+def test_near_texts_meet_further_centers(spark, monkeypatch):
+    """Two families with shingles in common whose members are near their own, after a first center that is near to none."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(4000)]
+    shared, one, two = (rng.sample(words, 70) for _ in range(3))
+    texts = [" ".join(shared + rng.sample(words, 60))]
+    texts += [" ".join(shared + own + rng.sample(words, 3)) for own in (one, two) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    tried, plain = [], near_texts.likely
+    monkeypatch.setattr(near_texts, "likely", lambda pairs, *a: tried.append(pairs.count()) or plain(pairs, *a))
+    sets = near_texts.shingle_sets(common.keyed(df, "doc_id", "text"), 5)
+    held = near_texts.entries(sets, near_texts.equal_links(sets, 0.8), 0.8).withColumn("cu", F.lit(0).cast("bigint"))
+    alone = spark.createDataFrame([], "uid bigint, root bigint")
+    rest = near_texts.open_members(common.saved(held), alone, sets)
+    rest, tree = near_texts.further_centers(rest, alone, sets, 0.8)
+    more = near_texts.cross_links(rest, sets, 0.8)
+    roots = {r.node: r.root for r in near_texts.joined_tree(tree, near_texts.merged(tree, more)).collect()}
+    assert roots == {i: 1 if i <= 40 else 41 for i in range(1, 81)}
+    assert tried[-1] < 200 < 2 * 40 * 39 / 2  # what is compared member by member
+    got = {r.id: r.root for r in near_texts.near_classes(df).collect()}
+    assert got == {0: 0} | roots
+
+
 def test_near_texts_on_odd_rows(spark, odd):
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     root = near_roots([r[1] for r in rows])
