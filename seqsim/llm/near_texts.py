@@ -42,10 +42,12 @@ SAMPLE, BUCKETS = 16, 1 << 21
 CROSS = 1 << 22
 #: Further centers of an entry before its components are compared member by member, and orders that entries take theirs by.
 ROUNDS, ORDERS = 2, 64
+#: Entries of a text, those of its least keys, by which it is told in which one a pair meets first.
+SEEN = 64
 #: Shingles that a Python task orders at a time.
 CHUNK_SHINGLES = 1 << 18
 #: Longs of 64 parities each that a set is described by.
-PARITIES = 4
+PARITIES = 8
 P = [f"p{i}" for i in range(PARITIES)]
 
 #: What confirms candidate pairs (a, b).
@@ -257,18 +259,34 @@ def further_centers(rest: DataFrame, tree: DataFrame, sets: DataFrame, share: fl
     return rest, tree
 
 
-def cross_links(rest: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None) -> DataFrame:
-    """Links between members of different components. Where the outsiders and members of an entry make very many pairs, outsiders
-    are dealt into blocks, each of which meets all members, so that no task has all of them."""
+def with_earlier(rest: DataFrame) -> DataFrame:
+    """The open members with the keys, below the row's own, of other entries that the text is in: of its SEEN least keys."""
+    seen = rest.groupBy("uid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, SEEN).alias("seen"))
+    return rest.join(seen, "uid").withColumn("earlier", F.filter("seen", lambda key: key < F.col("key"))).drop("seen")
+
+
+def cross_pairs(rest: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of an entry's outsiders and members of another component. Where these are very many, outsiders are dealt into
+    blocks, each of which meets all members, so that no task has all of them.
+
+    Texts put together from the same passages meet in many entries. A pair is given at the entry of least key only; again at others
+    where neither entry is among the SEEN first of both. Places say nothing there: what two texts have in common at a key may be
+    half a hash, and only one of their entries is asked."""
     pairs = F.count(F.lit(1)) * F.count_if(F.col("root") != F.col("bulk"))
     large = slight(saved(rest.groupBy("key").agg(F.ceil(pairs / CROSS).cast("int").alias("blocks")).where("blocks > 1")))
-    rest = rest.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rest = with_earlier(rest).join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     x = rest.where("root != bulk").withColumn("block", F.pmod(F.col("o"), F.col("blocks")).cast("int")).alias("x")
     y = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.root") == F.col("y.bulk")) | (F.struct("x.o", "x.uid") < F.struct("y.o", "y.uid"))
-    new = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once & fits(share, "x.n", "y.n", "x.at", "y.at") & near_enough(share, "x", "y")
-    cross = x.join(y, new).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
-    return verify(cross.distinct()) if verify else verified(cross.distinct(), sets, share)
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once
+    new = met & near_enough(share, "x", "y") & ~F.arrays_overlap("x.earlier", "y.earlier")
+    return x.join(y, new).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+
+
+def cross_links(rest: DataFrame, sets: DataFrame, share: float, verify: Verify | None = None) -> DataFrame:
+    """Links between members of different components."""
+    cross = cross_pairs(rest, share).distinct()
+    return verify(cross) if verify else verified(cross, sets, share)
 
 
 def merged(tree: DataFrame, more: DataFrame) -> DataFrame:

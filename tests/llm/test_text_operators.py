@@ -12,6 +12,7 @@ import duckdb
 import pytest
 import regex
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -590,6 +591,19 @@ def test_near_texts_meet_further_centers(spark, monkeypatch):
     assert got == {0: 0} | roots
 
 
+@pytest.mark.parametrize("seen", [near_texts.SEEN, 3])
+def test_near_texts_meet_in_one_entry(spark, seen, monkeypatch):
+    """Outsiders that share many entries, some of them not the first, are one row a pair; with fewer keys known, none is lost."""
+    monkeypatch.setattr(near_texts, "SEEN", seen)
+    facts = {"at": 0, "cu": 0, "bulk": 0, "n": 100} | dict.fromkeys(near_texts.P, 0)
+    held = {uid: [k for k in range(60) if k % (1 + uid % 3) == 0 and k >= uid % 20] for uid in range(1, 31)}
+    rows = [Row(key=k, uid=uid, root=uid if uid % 5 else 0, o=uid * 7919 % 31, **facts) for uid, keys in held.items() for k in keys]
+    want = {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b]) and (a % 5 or b % 5)}
+    got = [tuple(r) for r in near_texts.cross_pairs(common.saved(spark.createDataFrame(rows).withColumn("n", F.col("n").cast("int"))), 0.8).collect()]
+    assert set(got) == want
+    assert len(got) == len(want) or seen == 3
+
+
 def test_near_texts_on_odd_rows(spark, odd):
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     root = near_roots([r[1] for r in rows])
