@@ -1009,6 +1009,18 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
     assert ordered(tuple(r) for r in docs.collect()) == ordered(r for k, r in enumerate(rows) if root[k] == k)
 
 
+def test_stages_send_few_rows_at_a_time(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(12_000).selectExpr("id as doc_id", "string(id) as text", "'a' as source").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        stage(spark, docs.limit(0), SF)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == corpus_pipeline.ARROW_ROWS
+    got = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) == 12_000 and max(got) == corpus_pipeline.ARROW_ROWS
+
+
 def test_pipeline(spark):
     rows = documents()
     v = verdicts([(t, s) for _, t, _, s in rows], quality.Limits())
