@@ -85,7 +85,9 @@ def differing(x: bytes, y: bytes) -> int:
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     """(uid, s, n, h, p, p0, ...): each text's shingle set, its size, a hash of the whole set and its parities, about as
-    many as shingles and 64 * PARITIES of them."""
+    many as shingles and 64 * PARITIES of them.
+
+    Hashes can't be compressed, and a codec would hold buffers as large as the largest pages of sets, outside the heap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 18):
@@ -96,7 +98,8 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
             whole = pa.array([parities(x, 1 << max(6, (len(x) - 1).bit_length())) for x in own], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own))), pa.array(np.diff(at)), hashes, whole, *map(pa.array, p.T.copy())], ["uid", "s", "n", "h", "p", *P])
 
-    return saved(rows.select("uid", "text").mapInArrow(run, "uid bigint, s array<bigint>, n int, h bigint, p binary, " + ", ".join(f"{p} bigint" for p in P)))
+    out = rows.select("uid", "text").mapInArrow(run, "uid bigint, s array<bigint>, n int, h bigint, p binary, " + ", ".join(f"{p} bigint" for p in P))
+    return saved(out, compression="none")
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:

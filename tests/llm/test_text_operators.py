@@ -9,6 +9,8 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import xxhash
@@ -518,6 +520,15 @@ def near_roots(texts):
     return classes(texts, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
 
 
+def test_shingle_sets_are_stored_as_they_are(spark):
+    """Compression would gain nothing and hold large buffers."""
+    sets = near_texts.shingle_sets(spark.createDataFrame([(i, f"some words of text {i}") for i in range(20)], "uid bigint, text string"), 5)
+    files = [pq.ParquetFile(x.removeprefix("file://")) for x in sets.inputFiles()]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+    assert groups and {g.column(c).compression for g in groups for c in range(g.num_columns)} == {"UNCOMPRESSED"}
+    assert sets.count() == 20
+
+
 def test_near_texts_among_odd_ids(spark):
     rng = random.Random(21)
     words = ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(900)]
