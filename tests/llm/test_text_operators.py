@@ -1032,6 +1032,15 @@ def test_stages_send_few_rows_at_a_time(spark):
     assert sum(got) == 12_000 and max(got) == corpus_pipeline.ARROW_ROWS
 
 
+def test_stages_read_without_vectored_io(spark):
+    docs = spark.createDataFrame([(1, "some words", "a")], "doc_id bigint, text string, source string")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(corpus_pipeline.VECTORED)
+        stage(spark, docs, SF)
+        seen = spark._jsparkSession.sessionState().newHadoopConf()  # what Parquet's readers are given
+        assert seen.get(corpus_pipeline.VECTORED) == "false"
+
+
 def test_pipeline(spark):
     rows = documents()
     v = verdicts([(t, s) for _, t, _, s in rows], quality.Limits())
