@@ -75,6 +75,23 @@ def test_heavy_and_light_sequences_agree(spark, rep, monkeypatch):
         assert [values(O.exact_overlap(df)), values(O.repertoire_overlap(df, 1)), values(O.repertoire_overlap(df, 2, "hamming"))] == plain
 
 
+def test_whole_cells_are_not_shuffled(spark, monkeypatch):
+    """Every two repertoires have a cell, of public sequences and of others; those of one slice leave their task as they are."""
+    rng = random.Random(6)
+    rows = [(s, r, rng.randint(1, 9)) for s in "ACD" for r in range(30)] + [(f"E{r // 3}", r, 2) for r in range(33)]
+    monkeypatch.setattr(O, "HEAVY", 20)
+    monkeypatch.setattr(O, "BLOCK", 4)
+    got = O.exact_overlap(spark.createDataFrame(rows, "seq string, rep int, freq bigint"))
+    above = plan(got).split("FlatMapGroupsInArrow")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    want = {}
+    for s, r, f in rows:
+        for t, q, g in rows:
+            if s == t and r <= q:
+                want[r, q] = want.get((r, q), 0) + f * g
+    assert values(got) == sorted((r, q, f) for (r, q), f in want.items())
+
+
 def test_products_beyond_doubles(spark, monkeypatch):
     monkeypatch.setattr(O, "HEAVY", 0)
     df = spark.createDataFrame([("A", 0, 94906267), ("A", 1, 94906269), ("B", 0, 1), ("B", 1, 1)], "seq string, rep int, freq bigint")
