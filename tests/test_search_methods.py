@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import bench
 from seqsim.functions import sequences as S
 from seqsim.functions import tcrdist as D
+from seqsim.operators import blocks as B
 from seqsim.operators import metric as M
 from seqsim.operators import neighbors as N
 from seqsim.operators import overlap as O
@@ -170,6 +171,25 @@ def test_lineages_at_lengths_without_differences(spark):
     assert values(L.lineage_pairs(df)) == values(L.lineage_pairs_exhaustive(df)) == [(1, 2, 0, 5), (1, 6, 0, 5), (2, 6, 0, 5)]
 
 
+@pytest.mark.parametrize("size", [1 << 14, 7])
+def test_lineages_by_bits_in_blocks(spark, size, monkeypatch):
+    """Groups in one task or many, letters beyond ASCII, places beyond a word's bits, repeated and null ids."""
+    monkeypatch.setattr(L, "block_pairs", lambda *a: B.block_pairs(*a, size))
+    rng = random.Random(9)
+    seqs = ["".join(rng.choices("ACé\u1f41", k=n)) for n in (7, 7, 7, 14, 14, 20, 40, 70) for _ in range(12)]
+    seqs += ["".join(x if rng.random() < 0.9 else "A" for x in s) for s in seqs]
+    rows = [(i if i != 30 else None, "v", "jk"[i % 2] if i % 9 else None, s) for i, s in enumerate(seqs)] + [(5, "v", "k", seqs[5])]
+    got = L.lineage_pairs_exhaustive(spark.createDataFrame(rows, "id int, v string, j string, seq string"))
+    want = []
+    for a, _, j, s in rows:
+        for b, _, k, t in rows:
+            far = sum(x != y for x, y in zip(s, t, strict=False))
+            if a is not None and b is not None and a < b and j == k and j and len(s) == len(t) and far < 0.15 * len(s):
+                want.append((a, b, far, len(s)))
+    assert values(got) == sorted(want) and max(x[2] for x in want) > 5
+    assert "SortMergeJoin" not in plan(got).split("FlatMapGroupsInArrow")[0].split("Union")[-1]
+
+
 def test_metric_space(spark, monkeypatch):
     """A pseudo-metric on numbers that no edits bound, with crowded homes, and one on strings."""
     rng = random.Random(6)
