@@ -6,27 +6,24 @@ home meets what lives or was copied there. Distances to all pivots bound that of
 inequality); only pairs that no pivot rules out are measured. Whatever pivots are chosen, results are the same.
 
 Letter counts: an edit changes the counts of at most two letters by one, so sequences within d edits have counts that differ
-by 2 * d at most, summed over letters. Letters are put into a few groups; sequences with the same sums are a cell. Cells whose
-sums differ by little enough are enumerated, and their sequences meet; counts of all letters, as bits, then rule out most
-before a distance is computed.
+by 2 * d at most, summed over letters, and by less if their lengths differ. Blocks of sequences meet, and counts as bits rule out most
+pairs before a distance is computed (see blocks).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsim.functions import sequences as S
+from seqsim.operators.blocks import block_pairs, by_letter_counts
 from seqsim.operators.neighbors import CROWD, distinct_seqs, spread
 from seqsim.sources.storage import saved
 
 #: Pivots, and sampled values of which they are the first by hash.
 PIVOTS = 48
-#: Groups of letters, and occurrences of each letter that bits can tell apart.
-GROUPS, TIMES = 3, 3
 
 
 def dealt(df: DataFrame, by: str, block: str = "block") -> tuple[DataFrame, DataFrame]:
@@ -66,54 +63,15 @@ def metric_pairs(values: DataFrame, measure: Callable[[Column, Column], Column],
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist")
 
 
-def group_sums(seq: Column) -> Column:
-    """The sums of the letter counts of GROUPS groups, as one number with 16 bits each."""
-    out = F.lit(0).cast("bigint")
-    for g in range(GROUPS):
-        own = F.length(seq) - F.length(F.translate(seq, S.ALPHABET[g::GROUPS], ""))
-        out = out + F.least(own, F.lit(1 << 14)).cast("bigint") * F.lit(1 << 16 * g)
-    return out
-
-
-def count_bits(seq: Column) -> Column:
-    """For each letter a bit for its first, second and third occurrence: two sequences' counts differ in as many, at least."""
-    out = F.lit(0).cast("bigint")
-    for i, x in enumerate(S.ALPHABET):
-        many = F.least(F.length(seq) - F.length(F.replace(seq, F.lit(x), F.lit(""))), F.lit(TIMES))
-        out = out.bitwiseOR((F.pow(F.lit(2.0), many).cast("bigint") - 1) * F.lit(1 << TIMES * i))
-    return out
-
-
-def neighbour_offsets(distance: int) -> list[int]:
-    """What to add to a cell's number for those whose sums differ by 2 * distance at most, and in total by `distance`; of
-    each two opposite ones the one above 0."""
-    steps = range(-2 * distance, 2 * distance + 1)
-    found = (v for v in product(steps, repeat=GROUPS) if sum(map(abs, v)) <= 2 * distance and abs(sum(v)) <= distance)
-    return sorted(k for k in (sum(x << 16 * g for g, x in enumerate(v)) for v in found) if k >= 0)
-
-
-def letter_count_candidates(useqs: DataFrame, distance: int) -> DataFrame:
-    """(seq_a, seq_b), each unordered pair once, of distinct sequences whose letter counts allow `distance` edits."""
-    held = saved(distinct_seqs(useqs).select("seq", group_sums(F.col("seq")).alias("cell"), count_bits(F.col("seq")).alias("bits")))
-    cells = held.select("cell").distinct()
-    near = cells.select("cell", F.explode(F.transform(F.array(*map(F.lit, neighbour_offsets(distance))), lambda k: F.col("cell") + k)).alias("other"))
-    near = near.join(cells.select(F.col("cell").alias("other")), "other")
-    one, _ = dealt(held, "cell")
-    blocks = one.groupBy("cell").agg(F.max("block").alias("last"))
-    a = near.join(one, "cell").select("other", "cell", "block", F.col("seq").alias("seq_a"), F.col("bits").alias("bits_a"))
-    b = held.select(F.col("cell").alias("other"), F.col("seq").alias("seq_b"), F.col("bits").alias("bits_b"))
-    if blocks.where("last > 0").limit(1).count():  # else a sequence of the other cell meets each block without being copied
-        spots = near.join(blocks, "cell").select("other", "cell", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"))
-        met = spread(a, "other", "cell", "block").join(b.join(spots, "other").hint("merge"), ["other", "cell", "block"])
-    else:
-        met = spread(a, "other").join(b.hint("merge"), "other")
-    fits = (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * distance) & (F.abs(F.length("seq_a") - F.length("seq_b")) <= distance)
-    return met.where(((F.col("cell") != F.col("other")) | (F.col("seq_a") < F.col("seq_b"))) & fits).select("seq_a", "seq_b")
+def letter_count_candidates(useqs: DataFrame, distance: int, within: bool = False) -> DataFrame:
+    """(seq_a, seq_b), each unordered pair once, of distinct sequences whose letter counts, and counts of neighbouring letters, allow
+    `distance` edits; within: but for very long ones only those that are as near."""
+    return block_pairs(distinct_seqs(useqs), [], ["seq"], by_letter_counts(distance, verify=within), 4 * CROWD, 4)
 
 
 def letter_count_pairs(useqs: DataFrame, distance: int) -> DataFrame:
     """As neighbors.distinct_pairs at a Levenshtein distance, by letter counts. Its cost grows slowly with the distance, and
-    with the square of how many sequences have similar counts."""
-    met = letter_count_candidates(useqs, distance)
+    with the square of the number of sequences."""
+    met = letter_count_candidates(useqs, distance, within=True)
     pairs = met.select(F.least("seq_a", "seq_b").alias("seq_a"), F.greatest("seq_a", "seq_b").alias("seq_b"))
     return pairs.withColumn("dist", S.within_levenshtein(F.col("seq_a"), F.col("seq_b"), distance)).where("dist >= 0")

@@ -218,6 +218,30 @@ def test_letter_counts(spark, crowd, monkeypatch):
     assert values(M.letter_count_candidates(df, 2).groupBy("seq_a", "seq_b").count().where("count > 1")) == []
 
 
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_every_two_blocks_meet_as_bits(spark, d):
+    """Pairs by comparing everything come from blocks, not from a join of all sequences, and none is lost: letters beyond ASCII, empty
+    sequences, more letters than a word has bits."""
+    rng = random.Random(d)
+    seqs = [*strings(d, 90, "ACDé\u1f41"), *(c * n for c in "Aé" for n in (29, 30, 63, 64, 65, 66, 70)), "AC" * 40, "AC" * 40 + "D"]
+    seqs += ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randint(7, 10))) for _ in range(60)]
+    seqs += ["".join(x for x in s if rng.random() < 0.9) for s in seqs[-60:]]
+    df = spark.createDataFrame([(s,) for s in [*seqs, None]], "seq string")
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = sorted((a, b, n) for a in set(seqs) for b in set(seqs) if a < b and abs(len(a) - len(b)) <= d and (n := far(a, b)) <= d)
+    got = N.exhaustive_pairs(df, d, blocks=5)
+    assert values(got) == want == values(M.letter_count_pairs(df, d))
+    assert "Join" not in plan(got).split("FlatMapGroupsInArrow")[0] and "Join" not in plan(M.letter_count_pairs(df, d)).split("FlatMapGroupsInArrow")[0]
+
+
 def test_quantiles_by_rounds(spark, monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(P, "BINS", 3)
