@@ -242,6 +242,25 @@ def test_every_two_blocks_meet_as_bits(spark, d):
     assert "Join" not in plan(got).split("FlatMapGroupsInArrow")[0] and "Join" not in plan(M.letter_count_pairs(df, d)).split("FlatMapGroupsInArrow")[0]
 
 
+@pytest.mark.parametrize("d", [1, 2])
+def test_keys_are_shuffled_in_rounds(spark, d, monkeypatch):
+    """Where keys are very many a part of them is shuffled at a time; pairs are the same, each once."""
+    head = "ACDEFGHIKLMNPQRSTV"
+    seqs = strings(11, 70, "ACD", 7) + [head[:n] + x for n in (16, 17, 18) for x in ("", "A", "AC", "ACAC", "CACA")]
+    df = spark.createDataFrame([(s,) for s in [*seqs, None]], "seq string")
+    for measure in ("levenshtein", "hamming"):
+        want = values(N.distinct_pairs(df, d, measure))
+        with monkeypatch.context() as m:
+            m.setattr(N, "KEYS", 2000)
+            rounds = N.rounds_for(N.distinct_seqs(df), d, 1)
+            assert (rounds > 1) == (d == 2)
+            m.setattr(N, "KEYS", 500)
+            m.setattr(N, "CROWD", 6)
+            got = N.distinct_pairs(df, d, measure)
+            assert values(got) == want == values(N.exhaustive_pairs(df, d, measure)) and want
+            assert "SortMergeJoin" not in plan(got)  # each round's pairs are stored
+
+
 def test_quantiles_by_rounds(spark, monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(P, "BINS", 3)
